@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foliant.llm.packing import pack_best_fit
+from foliant.llm.simhash import near_duplicates
 from foliant.llm.sstable import token_tables
 
 
@@ -18,10 +19,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_tables(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return rows.select("doc_id", "start", F.floor(F.length("ids") / 4).alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op10_token_tables)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_simhash_near_dedup, op10_token_tables)}
 ORACLE_SQL: dict[str, str] = {}
