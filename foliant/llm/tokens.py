@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ BYTE_LEVEL = r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)
 WORD_LEVEL = r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 #: ASCII without control characters other than white space, and the letters of Latin-1.
 PLAIN = re.compile("[^\t\n\r\x20-\x7eÀ-ÿ]")
-MOST_CACHED = 600_000
+MOST_CACHED = 800_000
 WHITE = re.compile(r"\s+")
 
 
@@ -29,7 +31,7 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -37,36 +39,39 @@ class Encoder:
         self.lower = normalizer is not None
         pattern = WORD_LEVEL if self.lower else BYTE_LEVEL
         self.cut = re.compile(pattern).findall
+        self.model = self.tokenizer.model
+        to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        plain = [c for c in map(chr, range(256)) if not PLAIN.match(c)]
+        self.signs = {ord(c): "".join(x for x, _ in to_bytes(c)) for c in plain}  # characters as the model's byte signs
         self.cache: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, parts: list[str]) -> None:
-        if len(self.cache) + len(parts) > MOST_CACHED:
+        """Have the library's model encode the pre-tokens that are not known yet."""
+        if len(self.cache) > MOST_CACHED:
             self.cache.clear()
-        new = [x for x in dict.fromkeys(parts) if x not in self.cache]
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            lists = [e.ids for e in found]
-            flat = np.fromiter((x for ids in lists for x in ids), dtype="<u4").tobytes()
-            at = 0
-            for part, ids in zip(some, lists):
-                self.cache[part] = flat[at : (at := at + 4 * len(ids))]
+        cache, tokenize, signs = self.cache, self.model.tokenize, self.signs
+        for part in parts:
+            if part not in cache:
+                found = [t.id for t in tokenize(part.translate(signs))]
+                cache[part] = struct.pack(f"<{len(found)}I", *found)
 
     def one(self, text: str) -> bytes:
         """Ids of one text, without an end mark."""
         if PLAIN.search(text):
             return self.whole([text])[0]
         parts = self.cut(text.lower() if self.lower else text)
-        cache = self.cache
+        if len(parts) < 2:
+            self.learn(parts)
+            return b"".join([self.cache[x] for x in parts])
+        found = itemgetter(*parts)
         try:
-            return b"".join([cache[x] for x in parts])
+            return b"".join(found(self.cache))
         except KeyError:
             self.learn(parts)
-            cache = self.cache
-            return b"".join([cache[x] for x in parts])
+            return b"".join(found(self.cache))
 
     def batch(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """Ids of each text (null: empty), each followed by ``end_id``."""
