@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foliant.llm.packing import pack_best_fit
+from foliant.llm import quality
 from foliant.llm.simhash import near_duplicates
 from foliant.llm.sstable import token_tables
 
@@ -23,10 +24,17 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, quality.training_labels(table(spark, sf_dir, "labels")))
+    found = quality.classify(docs, model)
+    return found.select("doc_id", quality.held_out("doc_id").alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
+
+
 def op10_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_tables(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return rows.select("doc_id", "start", F.floor(F.length("ids") / 4).alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_simhash_near_dedup, op10_token_tables)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_simhash_near_dedup, op8_quality_classifier, op10_token_tables)}
 ORACLE_SQL: dict[str, str] = {}
