@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from foliant.llm import pii, quality, secrets
 from foliant.llm.packing import pack_best_fit
-from foliant.llm import quality
 from foliant.llm.simhash import near_duplicates
 from foliant.llm.sstable import token_tables
 
@@ -24,6 +24,12 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("pii_base", lambda s: s["kind"] == F.lit(kind))).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.listed("pii_base"), 256).alias("base_sha256"), pii.listed("pii_spans").alias("spans"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, quality.training_labels(table(spark, sf_dir, "labels")))
@@ -31,10 +37,14 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", quality.held_out("doc_id").alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(table(spark, sf_dir, "documents"))
+
+
 def op10_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_tables(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return rows.select("doc_id", "start", F.floor(F.length("ids") / 4).alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_simhash_near_dedup, op8_quality_classifier, op10_token_tables)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_simhash_near_dedup, op6_pii_spans, op8_quality_classifier, op9_secret_scan, op10_token_tables)}
 ORACLE_SQL: dict[str, str] = {}
