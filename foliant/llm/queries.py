@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foliant.llm import pii, quality, secrets
 from foliant.llm.packing import pack_best_fit
+from foliant.llm.sharding import shard_by_bytes
 from foliant.llm.simhash import near_duplicates
 from foliant.llm.sstable import token_tables
 
@@ -24,6 +25,12 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_histogram_sort_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = shard_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    return dealt.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(F.filter("pii_base", lambda s: s["kind"] == F.lit(kind))).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
@@ -46,5 +53,5 @@ def op10_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", F.floor(F.length("ids") / 4).alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_simhash_near_dedup, op6_pii_spans, op8_quality_classifier, op9_secret_scan, op10_token_tables)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_simhash_near_dedup, op5_histogram_sort_sharding, op6_pii_spans, op8_quality_classifier, op9_secret_scan, op10_token_tables)}
 ORACLE_SQL: dict[str, str] = {}
