@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foliant.llm import pii, quality, secrets
+from foliant.llm.ann import nearest
 from foliant.llm.packing import pack_best_fit
 from foliant.llm.sharding import shard_by_bytes
 from foliant.llm.simhash import near_duplicates
@@ -25,6 +26,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_histogram_sort_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = shard_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
@@ -53,5 +58,5 @@ def op10_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", F.floor(F.length("ids") / 4).alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_simhash_near_dedup, op5_histogram_sort_sharding, op6_pii_spans, op8_quality_classifier, op9_secret_scan, op10_token_tables)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_simhash_near_dedup, op4_cross_polytope_ann, op5_histogram_sort_sharding, op6_pii_spans, op8_quality_classifier, op9_secret_scan, op10_token_tables)}
 ORACLE_SQL: dict[str, str] = {}
