@@ -102,4 +102,5 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Ite
 
 
 def _offset_type(batch: pa.RecordBatch, column: str) -> type:
-    return np.int64 if pa.types.is_large_string(batch.schema.field(column).type) else np.int32
+    kind = batch.schema.field(column).type
+    return np.int64 if pa.types.is_large_string(kind) or pa.types.is_large_binary(kind) else np.int32
