@@ -129,7 +129,7 @@ def _bitmap(wanted: DataFrame, n: int) -> np.ndarray:
 
 
 def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``sig, content`` (shingle hashes) of the paragraphs of ``docs`` whose signature is in ``wanted(sig)``."""
+    """``sig, content`` (32 bits of each shingle's hash) of the paragraphs of ``docs`` whose signature is in ``wanted(sig)``."""
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, wanted.count()))
     schema = pa.schema([("sig", pa.int64()), ("content", pa.binary())])
 
@@ -142,7 +142,7 @@ def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 at = mix(sig, 5) % np.uint64(8 * len(held))
                 hit = np.flatnonzero(held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
                 hit = hit[np.unique(sig[hit], return_index=True)[1]]
-                rows = np.ascontiguousarray(sets[hit].astype("<u8"))
+                rows = np.ascontiguousarray(sets[hit].astype("<u4"))
                 content = pa.array([r.tobytes() for r in rows], pa.binary())
                 yield pa.RecordBatch.from_arrays([_long(sig[hit]), content], schema=schema)
 
@@ -151,13 +151,13 @@ def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def jaccard(a: bytes, b: bytes) -> float:
-    x, y = set(np.frombuffer(a, "<u8").tolist()), set(np.frombuffer(b, "<u8").tolist())
+    x, y = set(np.frombuffer(a, "<u4").tolist()), set(np.frombuffer(b, "<u4").tolist())
     return len(x & y) / max(1, len(x | y))
 
 
 def _forest(sigs: list[int], contents_: list[bytes], parts: list[int], cross: bool, similarity: float) -> list[tuple[int, int]]:
     """Links of a spanning forest of all pairs of ``similarity``; ``cross``: only pairs of different parts."""
-    sets = [frozenset(np.frombuffer(c, "<u8").tolist()) for c in contents_]
+    sets = [frozenset(np.frombuffer(c, "<u4").tolist()) for c in contents_]
     up = list(range(len(sigs)))
 
     def top(i: int) -> int:
@@ -210,7 +210,7 @@ def verified_links(met: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, row, word, class_id, kept``: each paragraph of ``docs(doc_id, text)`` whose class occurs again.
+    """``doc_id, row, word, class_id, kept``: each paragraph of ``docs(doc_id, text)`` whose class occurs in another row.
 
     ``word`` is the number of its first word; ``class_id`` a number of the class; ``kept``
     marks the occurrence that stays, the first by doc_id (null ids last), row and word, and what
@@ -220,22 +220,23 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> Data
     """
     all_ = written(paragraphs(docs), "paragraphs")
     bands = F.explode(F.array(*[f"h{b}" for b in range(BANDS)]))
-    keyed = all_.select("sig", bands.alias("h"))
-    shared = keyed.groupBy("h").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low != high")
-    shared = shared.select(dealt_anew("h").alias("h"))
-    met = written(keyed.join(shared, "h", "left_semi").distinct(), "paragraphs-met")
+    keyed = all_.select("row", "sig", bands.alias("h"))
+    shared = keyed.groupBy("h").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low != high")
+    shared = shared.select(dealt_anew("h").alias("h"))  # neighbours in one text overlap and meet: those alone are left out
+    met = written(keyed.join(shared, "h", "left_semi").select("h", "sig").distinct(), "paragraphs-met")
+    several = met.groupBy("h").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low != high")
+    met = written(met.join(several.select(dealt_anew("h").alias("h")), "h", "left_semi"), "paragraphs-several")
     wanted = written(met.select("sig").distinct(), "paragraphs-wanted")
     held = contents(docs, wanted).select(dealt_anew("sig").alias("sig"), "content")
     links = written(verified_links(met.join(held, "sig").select("h", "sig", "content"), similarity), "paragraph-links")
     roots = written(components(links), "paragraph-roots")
 
-    counts = all_.groupBy("sig").agg(F.count("*").alias("n"))
-    known = counts.join(roots.withColumnRenamed("node", "sig"), "sig", "left").where("n > 1 or root is not null")
+    rows = all_.groupBy("sig").agg(F.min("row").alias("low"), F.max("row").alias("high"))
+    known = rows.join(roots.withColumnRenamed("node", "sig"), "sig", "left").where("low != high or root is not null")
     known = written(known.select("sig", F.coalesce("root", "sig").alias("class_id")), "paragraph-classes")
     found = written(all_.join(known, "sig").select("doc_id", "row", "word", "class_id"), "paragraphs-repeated")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "word")
-    # neighbours that overlap are as alike as a repeat: a class must occur apart from itself
-    apart = (F.min("row") != F.max("row")) | (F.max("word") - F.min("word") >= WORDS)
+    apart = F.min("row") != F.max("row")
     first = found.groupBy("class_id").agg(F.min(place).alias("first"), apart.alias("apart")).where("apart").select(dealt_anew("class_id").alias("class_id"), "first")
     kept = (F.col("first.row") == F.col("row")) & (F.col("word") < F.col("first.word") + WORDS)
     return found.join(first, "class_id").select("doc_id", "row", "word", "class_id", kept.alias("kept"))

@@ -69,7 +69,7 @@ def test_repeats_are_found_and_clean_documents_left(spark, corpus, monkeypatch):
 
 def test_forest_is_that_of_all_pairs():
     rng = np.random.default_rng(2)
-    base = rng.integers(0, 1 << 60, 40)
-    sets = [np.where(rng.random(40) < 0.05, rng.integers(0, 1 << 60, 40), base).astype("<u8").tobytes() for _ in range(30)]
+    base = rng.integers(0, 1 << 31, 40)
+    sets = [np.where(rng.random(40) < 0.05, rng.integers(0, 1 << 31, 40), base).astype("<u4").tobytes() for _ in range(30)]
     links = P._forest(list(range(30)), sets, [0] * 30, False, 0.8)
     assert all(P.jaccard(sets[a], sets[b]) >= 0.8 for a, b in links) and len(links) <= 29
