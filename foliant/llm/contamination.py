@@ -1,8 +1,8 @@
 """Benchmark contamination by latent semantic retrieval, then subsequence and answer checks.
 
 Texts are read as words of letters and figures. The vocabulary is that of the benchmark:
-other words weigh nothing in any comparison with it. Passages are windows of two blocks of
-``BLOCK`` words. Document frequencies and the sketch of the TF-IDF matrix of all blocks are
+other words weigh nothing in any comparison with it. Passages are blocks of ``BLOCK``
+words and windows of two of them. Document frequencies and the sketch of the TF-IDF matrix of all blocks are
 summed over partitions; its randomised SVD gives the latent space. Passages whose cosine
 to an item is ``COSINE`` or more and that have enough of its telling words are candidates.
 A candidate is verified by the longest common subsequence of the item and the words around
@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -32,8 +33,8 @@ from foliant.llm.wordhash import word_hashes
 ITEMS = 2000
 BLOCK = 32
 RANK, POWER = 128, 1
-COMMON = 0.02
-COSINE = 0.35
+COMMON = 0.005
+COSINE = 0.25
 TELLING = 0.4
 EXACT, PARAPHRASE, ANSWERS = 0.8, 0.55, 0.75
 MARGIN = 16
@@ -96,6 +97,10 @@ def blocks_of(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return start[text] + (np.arange(len(codes)) - first[text]) // BLOCK, np.repeat(np.arange(len(counts)), n_blocks)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
 def _block_sums(rows: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros((n, rows.shape[1]), rows.dtype)
     if len(block):
@@ -124,8 +129,8 @@ def search(model: Model, codes: np.ndarray, counts: np.ndarray) -> list[list[tup
         joined[: min(n, hi + 1) - lo - 1] = text_of[lo : min(n, hi + 1) - 1] == text_of[lo + 1 : min(n, hi + 1)]
         p = x[: hi - lo].copy()
         p[joined] += x[1:][joined[: len(x) - 1]] if len(x) > 1 else 0
-        p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
-        cosine = p @ model.latent.T
+        cosine = _unit(p) @ model.latent.T
+        np.maximum(cosine, _unit(x[: hi - lo]) @ model.latent.T, out=cosine)
         row, item = np.nonzero(cosine >= COSINE)
         if not len(row):
             continue
@@ -159,7 +164,7 @@ def search(model: Model, codes: np.ndarray, counts: np.ndarray) -> list[list[tup
 
 
 def _words(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    w = word_hashes(texts, only_letters=True)
+    w = word_hashes(pc.utf8_lower(texts), only_letters=True)
     return model.codes(w.hash), np.diff(w.first)
 
 
@@ -168,7 +173,7 @@ def item_blocks(benchmark: DataFrame, size: int = ITEMS) -> Iterator[Model]:
     held: list[tuple[int, str]] = []
 
     def model() -> Model:
-        w = word_hashes(pa.array([t for _, t in held]), only_letters=True)
+        w = word_hashes(pa.array([t.lower() for _, t in held]), only_letters=True)
         out = Model([i for i, _ in held], [], np.unique(w.hash))
         out.items = [out.codes(w.hash[a:b]) for a, b in zip(w.first, w.first[1:])]
         return out
