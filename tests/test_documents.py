@@ -121,19 +121,19 @@ def test_layout(spark):
 @pytest.fixture(scope="module")
 def library(spark, tmp_path_factory):
     lib = Library(spark, str(tmp_path_factory.mktemp("lib")))
-    files = frame(spark, [("AIA_AR2023.md", REPORT), ("Other_IR2022.md", "# Other\nNothing about profit margins, only sheep.\n" * 3)], "name string, text string")
+    files = frame(spark, [("Acme_AR2023.md", REPORT), ("Other_IR2022.md", "# Other\nNothing about profit margins, only sheep.\n" * 3)], "name string, text string")
     assert lib.index(files) == 2 and lib.index(files) == 0
     return lib
 
 
 def test_library_search_and_reading(spark, library):
     hits = library.search_pages("profit 6610")
-    assert hits[0]["name"] == "AIA_AR2023.md" and hits[0]["page"] == 1 and "**6,610**" in hits[0]["snippet"] and hits[0]["section"].startswith("Annual report")
-    assert library.search_pages("sheep", "AIA_AR2023.md") == []
+    assert hits[0]["name"] == "Acme_AR2023.md" and hits[0]["page"] == 1 and "**6,610**" in hits[0]["snippet"] and hits[0]["section"].startswith("Annual report")
+    assert library.search_pages("sheep", "Acme_AR2023.md") == []
     docs = {d["name"]: d for d in library.browse()}
-    assert docs["AIA_AR2023.md"]["period"] == "FY2023" and docs["Other_IR2022.md"]["report_type"] == "interim"
-    assert [p["page"] for p in library.page_content("AIA_AR2023.md", "1-2,9")["pages"]] == [1, 2]
-    assert library.structure("AIA_AR2023.md")["nodes"][0]["title"] == "Annual report"
+    assert docs["Acme_AR2023.md"]["period"] == "FY2023" and docs["Other_IR2022.md"]["report_type"] == "interim"
+    assert [p["page"] for p in library.page_content("Acme_AR2023.md", "1-2,9")["pages"]] == [1, 2]
+    assert library.structure("Acme_AR2023.md")["nodes"][0]["title"] == "Annual report"
     questions = frame(spark, [("q1", "operating profit", "6,610", [1]), ("q2", "sheep", "sheep", [])], "query_id string, query string, expected string, pages array<int>")
     row = library.evaluated(questions).first()
     assert row.judged == 2 and row.recall_5 == 1.0 and "6,610" in library.context(questions).where("query_id = 'q1'").first().context
@@ -143,8 +143,8 @@ def test_library_search_and_reading(spark, library):
 
 def test_library_tools(library):
     assert library.call_tool("calculate", '{"expression": "1 + 1"}')["result"]["result"] == "2"
-    assert library.call_tool("nothing")["errorCode"] == "UNKNOWN_TOOL" and library.call_tool("get_document", {"name": "AIA_AR2024.md"})["errorCode"] == "INVALID_INPUT"
-    assert library.call_tool("get_page_content", {"name": "AIA_AR2023.md", "pages": "x"})["success"] is False
+    assert library.call_tool("nothing")["errorCode"] == "UNKNOWN_TOOL" and library.call_tool("get_document", {"name": "Acme_AR2024.md"})["errorCode"] == "INVALID_INPUT"
+    assert library.call_tool("get_page_content", {"name": "Acme_AR2023.md", "pages": "x"})["success"] is False
     assert library.call_tool("calculate", "{broken")["success"] is False
 
 
