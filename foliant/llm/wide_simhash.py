@@ -13,6 +13,8 @@ the bit counts of 64 other bits is tested as a lower bound, then their Hamming d
 rows that pass with any other row of their cell are joined to whole fingerprints, which are
 verified exactly. Equal fingerprints are one node. Crowded cells are dealt to pairs of
 chunks, and a chunk pair returns marked rows and then a spanning forest, never all pairs.
+Verification goes over a few bands first; of the other bands only cells with rows of
+different components so far are left to verify.
 """
 
 from __future__ import annotations
@@ -26,12 +28,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from foliant.llm.components import components, dealt_anew
 from foliant.llm.storage import written
-from foliant.llm.tokens import slices
+from foliant.llm.tokens import forget, slices
 from foliant.llm.wordhash import mix, shingles, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, SEGMENTS, BANDS = 2048, 11, 90
-CHUNK = 512
+CHUNK = 2048
+#: Bands of the first round of verification; the rest only joins what that leaves apart.
+FIRST_BANDS = 6
+#: Crowded cells are broadcast up to so many, and joined by a shuffle beyond.
+MOST_BROADCAST = 200_000
 SIGNS = np.random.default_rng(41).choice(np.array([-1.0, 1.0], np.float32), BITS)
 
 #: Which bits make up the bands; the first 64 are kept for the test in a cell.
@@ -87,7 +93,8 @@ def cells_of(prints: np.ndarray) -> np.ndarray:
     cell = np.zeros((len(prints), BANDS), np.uint64)
     for k in range(SEGMENTS):
         cell = cell * np.uint64(3) + counts[:, :, k]
-    return mix(cell * np.uint64(128) + np.arange(BANDS, dtype=np.uint64), 13)
+    band = np.arange(BANDS, dtype=np.uint64)
+    return mix(cell * np.uint64(128) + band, 13) & ~np.uint64(127) | band
 
 
 def _counts_form(x: np.ndarray) -> np.ndarray:
@@ -135,9 +142,11 @@ def _by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
 
 def _dealt(rows: DataFrame) -> DataFrame:
     """``rows(cell, ...)`` dealt to pairs of chunks ``cell, i, j`` of crowded cells, sorted by them."""
-    sizes = rows.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = sizes.select(dealt_anew("cell").alias("cell"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    rows = rows.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("sig"), "chunks").cast("int"))
+    crowded = written(rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK), "wide-crowded")
+    crowded = crowded.select("cell", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    crowded = F.broadcast(crowded) if crowded.count() <= MOST_BROADCAST else crowded
+    rows = rows.join(crowded, "cell", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("sig"), "chunks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
     rows = rows.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other")
     return rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
@@ -151,8 +160,9 @@ def near_classes(docs: DataFrame, row: str, shingle: int = SHINGLE, similarity:
     schema = pa.schema([("row", pa.int64()), ("sig", pa.int64()), ("fp", pa.binary())])
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
-            for some in slices(batch, "text", 2 << 20):
+            for some in slices(batch, "text", 1 << 20):
                 fp = wide_fingerprints(some.column("text"), shingle)
                 words = np.ascontiguousarray(fp).view("<u8")
                 sig = np.zeros(len(fp), np.uint64)
@@ -202,8 +212,17 @@ def near_classes(docs: DataFrame, row: str, shingle: int = SHINGLE, similarity:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     whole = distinct.select(dealt_anew("sig").alias("sig"), "fp")
-    links = written(_dealt(met.join(whole, "sig")).mapInArrow(verified, "a long, b long").distinct(), "wide-links")
-    roots = components(links).select(dealt_anew("node").alias("sig"), "root")
+
+    def linked(rows: DataFrame) -> DataFrame:
+        return written(_dealt(rows.join(whole, "sig").select("cell", "sig", "fp")).mapInArrow(verified, "a long, b long").distinct(), "wide-links")
+
+    band = F.col("cell").bitwiseAND(F.lit(127).cast("long"))
+    first = linked(met.where(band < FIRST_BANDS))
+    roots = written(components(first), "wide-roots").select(dealt_anew("node").alias("sig"), "root")
+    rest = written(met.where(band >= FIRST_BANDS).join(roots, "sig", "left").select("cell", "sig", F.coalesce("root", "sig").alias("root")), "wide-rest")
+    apart = rest.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    second = linked(rest.join(apart.select(dealt_anew("cell").alias("cell")), "cell", "left_semi"))
+    roots = components(first.union(second)).select(dealt_anew("node").alias("sig"), "root")
     return rows.select("row", "sig").join(roots, "sig", "left").select("row", "sig", F.coalesce("root", "sig").alias("root"))
 
 
