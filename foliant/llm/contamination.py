@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foliant.llm.storage import written
 from foliant.llm.sums import summed
-from foliant.llm.tokens import slices
+from foliant.llm.tokens import forget, slices
 from foliant.llm.wordhash import word_hashes
 
 ITEMS = 2000
@@ -164,6 +164,7 @@ def search(model: Model, codes: np.ndarray, counts: np.ndarray) -> list[list[tup
 
 
 def _words(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    forget()
     w = word_hashes(pc.utf8_lower(texts), only_letters=True)
     return model.codes(w.hash), np.diff(w.first)
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T, Window
 
 from foliant.llm.storage import written
-from foliant.llm.tokens import encoder, slices
+from foliant.llm.tokens import encoder, slices, tidy
 
 CAPACITY = 1024
 END_ID = 2
@@ -129,6 +129,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: in
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         part, code = TaskContext.get().partitionId(), encoder(tokenizer)
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foliant.llm.storage import written
+from foliant.llm.tokens import forget
 
 #: Bound of the labelled rows that a model is fitted on.
 SAMPLE = 60_000
@@ -60,6 +61,7 @@ def statistics(text: str | None) -> np.ndarray:
 
 
 def matrix(texts: list[str | None]) -> np.ndarray:
+    forget()
     return np.array([statistics(t) for t in texts]).reshape(len(texts), N_STATISTICS)
 
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, Window
 
 from foliant.llm.storage import fresh_path, written
-from foliant.llm.tokens import encoder, slices
+from foliant.llm.tokens import encoder, slices, tidy
 
 MAGIC = b"FOLSST01"
 BLOCK_BYTES = 64 << 10
@@ -222,6 +222,7 @@ def write_tables(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
     n = shards or max(1, docs.rdd.getNumPartitions())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         context, code = TaskContext.get(), encoder(tokenizer)
         shard = context.partitionId()
         place = Store.of(f"{folder}/shard-{shard:06d}.sst")

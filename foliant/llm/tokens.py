@@ -8,6 +8,8 @@ the library whole. Both ways give the library's ids.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import struct
@@ -22,7 +24,7 @@ BYTE_LEVEL = r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)
 WORD_LEVEL = r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 #: ASCII without control characters other than white space, and the letters of Latin-1.
 PLAIN = re.compile("[^\t\n\r\x20-\x7eÀ-ÿ]")
-MOST_CACHED = 800_000
+MOST_CACHED = 600_000
 WHITE = re.compile(r"\s+")
 
 
@@ -91,7 +93,23 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def forget() -> None:
+    """Give back the memory of encoders in a worker that goes on to other work."""
+    if _encoders:
+        _encoders.clear()
+        tidy()
+
+
+def tidy() -> None:
+    """Return what earlier tasks of a worker have freed to the system: allocators keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """``batch`` in slices of about ``most_bytes`` of ``column``, each of one row at least."""
     sizes = np.diff(np.frombuffer(batch.column(column).buffers()[1], dtype=_offset_type(batch, column))[batch.column(column).offset :][: batch.num_rows + 1])
     at = np.cumsum(sizes) // most_bytes
