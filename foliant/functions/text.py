@@ -88,7 +88,7 @@ def contains_term(term: str | Column, text: str | Column, whole: bool = False) -
     term, text = F.lower(col(term)), F.lower(col(text))
     quoted = F.regexp_replace(term, r"([^a-z0-9\s])", r"\\$1")
     pattern = F.concat(F.lit("(?<![a-z])"), quoted, F.lit("(?![a-z])" if whole else ""))
-    return F.when(term.rlike(r"^[\x00-\x7f]+$"), F.expr("true") & F.regexp_like(text, pattern)).otherwise(F.contains(text, term))
+    return F.when(term.rlike(r"^[\x00-\x7f]+$"), F.regexp_like(text, pattern)).otherwise(F.contains(text, term))
 
 
 def title_key(title: str | Column) -> Column:

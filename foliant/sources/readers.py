@@ -7,14 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-MARKDOWN = ["*.md", "*.markdown"]
 QUESTION = "id string, question string, expected string, doc array<string>, extra map<string,string>"
 
 
 def markdown_files(spark: SparkSession, folder: str) -> DataFrame:
     """``path, name, text`` of a folder's Markdown files, however deep: UTF-8, wrong bytes replaced."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,markdown}").load(folder)
-    # what is no UTF-8 becomes the replacement character
     text = F.make_valid_utf8(F.col("content").cast("string"))
     text = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "^﻿", "")
     return raw.select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("name"), text.alias("text")).orderBy("path")
