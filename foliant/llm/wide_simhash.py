@@ -13,8 +13,8 @@ the bit counts of 64 other bits is tested as a lower bound, then their Hamming d
 rows that pass with any other row of their cell are joined to whole fingerprints, which are
 verified exactly. Equal fingerprints are one node. Crowded cells are dealt to pairs of
 chunks, and a chunk pair returns marked rows and then a spanning forest, never all pairs.
-Verification goes over a few bands first; of the other bands only cells with rows of
-different components so far are left to verify.
+Verification goes over bands in rounds: of later bands only cells with rows of different
+components so far are left to verify.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ from foliant.llm.wordhash import mix, shingles, word_hashes
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, SEGMENTS, BANDS = 2048, 11, 90
 CHUNK = 2048
-#: Bands of the first round of verification; the rest only joins what that leaves apart.
-FIRST_BANDS = 6
+#: Bands at which rounds of verification end, before the last; a round joins only what those before left apart.
+ROUNDS = [6, 24]
 #: Crowded cells are broadcast up to so many, and joined by a shuffle beyond.
 MOST_BROADCAST = 200_000
 SIGNS = np.random.default_rng(41).choice(np.array([-1.0, 1.0], np.float32), BITS)
@@ -149,7 +149,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("part", F.pmod(F.xxhash64("sig"), "chunks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
     rows = rows.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other")
-    return rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    return rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "sig")
 
 
 def near_classes(docs: DataFrame, row: str, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -201,29 +201,36 @@ def near_classes(docs: DataFrame, row: str, shingle: int = SHINGLE, similarity:
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_group(batches, ["cell", "i", "j"]):
-            cell, sig, part, i, j = (t.column(c).to_numpy() for c in ("cell", "sig", "part", "i", "j"))
+            cell, root, part, i, j = (t.column(c).to_numpy() for c in ("cell", "root", "part", "i", "j"))
             fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), "<u8").reshape(-1, BITS // 64)
             edge = np.flatnonzero(np.diff(cell) | np.diff(i) | np.diff(j)) + 1
             a, b = [], []
-            for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(sig)]):
+            for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(root)]):
                 for x, y in forest(fp[lo:hi], part[lo:hi], i[lo] != j[lo], far):
-                    a.append(sig[lo + x])
-                    b.append(sig[lo + y])
+                    a.append(root[lo + x])
+                    b.append(root[lo + y])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     whole = distinct.select(dealt_anew("sig").alias("sig"), "fp")
 
     def linked(rows: DataFrame) -> DataFrame:
-        return written(_dealt(rows.join(whole, "sig").select("cell", "sig", "fp")).mapInArrow(verified, "a long, b long").distinct(), "wide-links")
+        """Links between roots of ``rows(cell, sig, root)``."""
+        found = _dealt(rows.join(whole, "sig").select("cell", "sig", "root", "fp")).mapInArrow(verified, "a long, b long")
+        return written(found.where("a != b").distinct(), "wide-links")
 
     band = F.col("cell").bitwiseAND(F.lit(127).cast("long"))
-    first = linked(met.where(band < FIRST_BANDS))
-    roots = written(components(first), "wide-roots").select(dealt_anew("node").alias("sig"), "root")
-    rest = written(met.where(band >= FIRST_BANDS).join(roots, "sig", "left").select("cell", "sig", F.coalesce("root", "sig").alias("root")), "wide-rest")
-    apart = rest.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    second = linked(rest.join(apart.select(dealt_anew("cell").alias("cell")), "cell", "left_semi"))
-    roots = components(first.union(second)).select(dealt_anew("node").alias("sig"), "root")
-    return rows.select("row", "sig").join(roots, "sig", "left").select("row", "sig", F.coalesce("root", "sig").alias("root"))
+    first = linked(met.where(band < ROUNDS[0]).withColumn("root", F.col("sig")))
+    roots = written(components(first).select(F.col("node").alias("sig"), "root"), "wide-roots")
+    for low, high in zip(ROUNDS, [*ROUNDS[1:], BANDS]):
+        now = met.where((band >= low) & (band < high)).join(roots, "sig", "left").select("cell", "sig", F.coalesce("root", "sig").alias("root"))
+        now = written(now, "wide-round")
+        apart = now.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+        links = linked(now.join(apart.select(dealt_anew("cell").alias("cell")), "cell", "left_semi"))
+        over = written(components(links), "wide-over")  # of roots, and of nodes that had no link so far
+        moved = roots.join(over.select(dealt_anew("node").alias("root"), F.col("root").alias("to")), "root", "left").select("sig", F.coalesce("to", "root").alias("root"))
+        fresh = over.join(roots.select(F.col("sig").alias("node")), "node", "left_anti").select(F.col("node").alias("sig"), "root")
+        roots = written(moved.union(fresh), "wide-roots")
+    return rows.select("row", "sig").join(roots.select(dealt_anew("sig").alias("sig"), "root"), "sig", "left").select("row", "sig", F.coalesce("root", "sig").alias("root"))
 
 
 def forest(fp: np.ndarray, part: np.ndarray, cross: bool, most: int) -> list[tuple[int, int]]:
