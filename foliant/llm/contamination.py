@@ -2,14 +2,15 @@
 
 Texts are read as words of letters and figures. The vocabulary is that of the benchmark:
 other words weigh nothing in any comparison with it. Passages are blocks of ``BLOCK``
-words and windows of two of them. Document frequencies and the sketch of the TF-IDF matrix of all blocks are
+words and windows of two of them. Items are searched for in parts that a passage can hold,
+``PART`` words each and half of that apart. Document frequencies and the sketch of the TF-IDF matrix of all blocks are
 summed over partitions; its randomised SVD gives the latent space. Passages whose cosine
-to an item is ``COSINE`` or more and that have enough of its telling words are candidates.
-A candidate is verified by the longest common subsequence of the item and the words around
-the passage: ``EXACT`` of the item's words decide alone; from ``PARAPHRASE`` on the item's
+to a part is ``COSINE`` or more and that have enough of its telling words are candidates.
+A candidate is verified by the longest common subsequence of the whole item and as many words
+around the passage as the item can take there: ``EXACT`` of the item's words decide alone; from ``PARAPHRASE`` on the item's
 answer words, its most telling third, must be there too.
 
-Items are taken in blocks of ``ITEMS``; each block is a query set against all documents.
+Items are taken in blocks of about ``ITEMS`` parts; each block is a query set against all documents.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from foliant.llm.wordhash import word_hashes
 
 ITEMS = 2000
 BLOCK = 32
+PART = 2 * BLOCK
 RANK, POWER = 128, 1
 COMMON = 0.005
 COSINE = 0.25
@@ -41,6 +43,7 @@ MARGIN = 16
 LEAST_TELLING = 8
 #: Items of fewer words must be there whole, word after word.
 SHORT = 8
+WORD = re.compile(r"[A-Za-z0-9\x80-\U0010ffff]+")
 LEAKS = "array<struct<item_id:long,cosine:double,lcs:double,answers:double,word:int>>"
 
 
@@ -60,22 +63,36 @@ class Model:
 
     def finish(self) -> None:
         """What the search needs besides, from weights and space."""
-        telling = [np.unique(c[self.weight[c] > 0]) for c in self.items]
+        parts = [(i, at, c[at : at + PART]) for i, c in enumerate(self.items) for at in part_starts(len(c))]
+        self.part_item, self.part_at = [i for i, _, _ in parts], [at for _, at, _ in parts]
+        telling = [np.unique(c[self.weight[c] > 0]) for _, _, c in parts]
         self.n_telling = np.array([max(1, len(t)) for t in telling])
-        self.has = np.zeros((len(self.items), len(self.weight)), bool)
+        #: (part, telling word) as one number each, sorted
+        self.has = np.concatenate([p * len(self.weight) + t.astype(np.int64) for p, t in enumerate(telling)] + [np.array([np.iinfo(np.int64).max])])
         self.answer_words = []
         self.masks = []
-        for i, (codes, t) in enumerate(zip(self.items, telling)):
-            self.has[i, t] = True
+        for codes in self.items:
+            t = np.unique(codes[self.weight[codes] > 0])
             self.answer_words.append({int(c) for c in t[np.argsort(-self.weight[t], kind="stable")][: max(3, len(t) // 3)]})
             masks: dict[int, int] = {}
             for k, c in enumerate(codes.tolist()):
                 masks[c] = masks.get(c, 0) | 1 << k
             self.masks.append(masks)
-        q = np.array([self.space[c].sum(0) for c in self.items]).reshape(len(self.items), -1)
+        q = np.array([self.space[c].sum(0) for _, _, c in parts]).reshape(len(parts), -1)
         self.latent = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
+def part_starts(length: int) -> list[int]:
+    """First words of an item's parts; the last part ends with the item."""
+    return [*range(0, max(0, length - PART), PART // 2), max(0, length - PART)]
+
+
+def around(length: int, at: int, start: int) -> tuple[int, int]:
+    """Words of a text that may belong to an item of ``length`` words whose part ``at`` is met in the passage at ``start``."""
+    margin = MARGIN + max(0, length - PART) // 2
+    return max(0, start - at - margin), start + 2 * BLOCK + max(0, length - at - PART) + margin
+
+
 def lcs(masks: dict[int, int], length: int, sequence: list[int]) -> int:
     """Length of the longest common subsequence, a machine word of the item at a time."""
     full = (1 << length) - 1
@@ -121,8 +138,9 @@ def search(model: Model, codes: np.ndarray, counts: np.ndarray) -> list[list[tup
     begin = np.cumsum(counts) - counts
     first_block = np.searchsorted(text_of, np.arange(len(counts)))
     spans = np.searchsorted(at, np.arange(n + 1))
-    for lo in range(0, n, 4096):  # blocks; a passage is a block and the next of its text
-        hi = min(n, lo + 4096)
+    some_blocks = max(64, 4096 * ITEMS // max(ITEMS, len(model.part_item)))
+    for lo in range(0, n, some_blocks):  # blocks; a passage is a block and the next of its text
+        hi = min(n, lo + some_blocks)
         a, b = spans[lo], spans[min(n, hi + 1)]
         x = _block_sums(model.space[word[a:b]], at[a:b] - lo, min(n, hi + 1) - lo)
         joined = np.zeros(hi - lo, bool)
@@ -131,23 +149,26 @@ def search(model: Model, codes: np.ndarray, counts: np.ndarray) -> list[list[tup
         p[joined] += x[1:][joined[: len(x) - 1]] if len(x) > 1 else 0
         cosine = _unit(p) @ model.latent.T
         np.maximum(cosine, _unit(x[: hi - lo]) @ model.latent.T, out=cosine)
-        row, item = np.nonzero(cosine >= COSINE)
+        row, part = np.nonzero(cosine >= COSINE)
         if not len(row):
             continue
-        # telling words of the item in the passage, each once
+        # telling words of the part in the passage, each once
         stop = np.where(joined[row], spans[np.minimum(row + lo + 2, n)], spans[row + lo + 1])
         length = stop - spans[row + lo]
         pair = np.repeat(np.arange(len(row)), length)
         place = np.arange(len(pair)) - np.repeat(np.cumsum(length) - length, length) + np.repeat(spans[row + lo], length)
-        hit = model.has[item[pair], word[place]]
+        key = part[pair] * len(model.weight) + word[place].astype(np.int64)
+        hit = model.has[np.searchsorted(model.has, key)] == key
         some = np.unique(np.stack((pair[hit], word[place[hit]].astype(np.int64))), axis=1)[0] if hit.any() else np.zeros(0, np.int64)
-        enough = np.bincount(some, minlength=len(row)) >= TELLING * model.n_telling[item]
-        for r, i in zip(row[enough].tolist(), item[enough].tolist()):
-            t = int(text_of[r + lo])
-            start = (r + lo - first_block[t]) * BLOCK
-            a, b = max(0, start - MARGIN), min(int(counts[t]), start + 2 * BLOCK + MARGIN)
-            sequence = codes[begin[t] + a : begin[t] + b].tolist()
+        enough = np.bincount(some, minlength=len(row)) >= TELLING * model.n_telling[part]
+        for r, p in zip(row[enough].tolist(), part[enough].tolist()):
+            t, i = int(text_of[r + lo]), model.part_item[p]
+            if found[t].get(i, (0, 0, -1))[2] == 1:
+                continue  # the whole item is found
+            start = int(r + lo - first_block[t]) * BLOCK
             size = len(model.items[i])
+            a, b = around(size, model.part_at[p], start)
+            sequence = codes[begin[t] + a : begin[t] + min(int(counts[t]), b)].tolist()
             share = lcs(model.masks[i], size, sequence) / size
             if share < PARAPHRASE:
                 continue
@@ -159,7 +180,7 @@ def search(model: Model, codes: np.ndarray, counts: np.ndarray) -> list[list[tup
             else:
                 good = share >= EXACT or answers >= ANSWERS
             if good and share > found[t].get(i, (0, 0, -1))[2]:
-                found[t][i] = (model.item_ids[i], float(cosine[r, i]), share, answers, start)
+                found[t][i] = (model.item_ids[i], float(cosine[r, p]), share, answers, start)
     return [sorted(x.values()) for x in found]
 
 
@@ -170,8 +191,9 @@ def _words(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def item_blocks(benchmark: DataFrame, size: int = ITEMS) -> Iterator[Model]:
-    """The items of ``benchmark(item_id, text)``, ``size`` at a time; those without words are left out."""
+    """The items of ``benchmark(item_id, text)``, about ``size`` parts at a time; those without words are left out."""
     held: list[tuple[int, str]] = []
+    parts = 0
 
     def model() -> Model:
         w = word_hashes(pa.array([t.lower() for _, t in held]), only_letters=True)
@@ -180,11 +202,13 @@ def item_blocks(benchmark: DataFrame, size: int = ITEMS) -> Iterator[Model]:
         return out
 
     for r in benchmark.select("item_id", "text").toLocalIterator():
-        if r["item_id"] is not None and re.search(r"[A-Za-z0-9\x80-\U0010ffff]", r["text"] or ""):
+        n_words = sum(1 for _ in WORD.finditer(r["text"] or ""))
+        if r["item_id"] is not None and n_words:
             held.append((r["item_id"], r["text"]))
-        if len(held) == size:
+            parts += len(part_starts(n_words))
+        if parts >= size:
             yield model()
-            held = []
+            held, parts = [], 0
     if held:
         yield model()
 
@@ -233,7 +257,7 @@ def fit(codes: DataFrame, model: Model, rank: int = RANK) -> Model:
     df, n = total[:size], total[size]
     idf = np.maximum(np.log((1 + n) / (1 + df)), 1e-3)
     telling = df <= max(COMMON * n, 2)
-    for c in model.items:  # an item of common words is told by the least common of them
+    for c in (c[at : at + PART] for c in model.items for at in part_starts(len(c))):  # common words are told by the least common of them
         c = np.unique(c)
         if telling[c].sum() < LEAST_TELLING:
             telling[c[np.argsort(df[c], kind="stable")][:LEAST_TELLING]] = True

@@ -84,3 +84,21 @@ def test_latent_space_is_that_of_the_svd(spark):
     _, s, vt = np.linalg.svd(a, full_matrices=False)
     basis = np.linalg.qr(model.space / np.maximum(model.weight, 1e-9)[:, None])[0]
     assert np.linalg.norm(a @ basis) ** 2 >= 0.9 * (s[:12] ** 2).sum()
+
+
+def test_long_items_are_found_whole(spark):
+    rng = random.Random(5)
+    sizes = [150, 300, 1000]
+    items = [words(n, rng) for n in sizes for _ in range(4)]
+    docs, want = [(d, " ".join(words(300, rng))) for d in range(300)], set()
+    for i, item in enumerate(items):
+        for d, text in ((1000 + i, item), (2000 + i, [w if rng.random() > 0.1 else "newword" for w in item])):
+            docs.append((d, " ".join(words(rng.randint(0, 200), rng) + text + words(rng.randint(0, 200), rng))))
+            want.add((d, i))
+        docs.append((3000 + i, " ".join(item[: len(item) // 3])))  # a third of an item is no leak
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    rows = C.leaks(frame, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want)
+    assert all(r.lcs == 1 for r in rows if r.doc_id < 2000)
+    assert C.clean(frame, bench).count() == len(docs) - len(want)
