@@ -10,7 +10,8 @@ Equal paragraphs are one node. Bands of one MinHash each give the chance of
 several paragraphs). Those that meet are verified by the exact Jaccard similarity of their
 shingles; crowded buckets are dealt to pairs of chunks, each of which is compared in full
 and returns a spanning forest of the links it finds. Connected components of the links are
-classes; the first occurrence of a class stays, the others are removals.
+classes; the first occurrence of a class stays, the others are removals. Banding and
+verification see a paragraph once a text; removals are made of every occurrence.
 """
 
 from __future__ import annotations
@@ -39,8 +40,11 @@ N_SHINGLES = WORDS - SHINGLE + 1
 MOST = np.uint64((1 << 64) - 1)
 
 
-def paragraphs_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, shingle hashes) of the paragraphs of a batch, without repeats in a text."""
+def paragraphs_of(texts: pa.Array, again: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, shingle hashes) of the paragraphs of a batch, without repeats in a text.
+
+    ``again``: with them; of a run of equal shingles every ``WORDS``-th is an anchor.
+    """
     words = word_hashes(texts)
     first = words.first
     counts = np.diff(first)
@@ -64,9 +68,16 @@ def paragraphs_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     least[~inside] = 0
     back = np.concatenate((np.zeros(SPREAD - 1, np.uint64), least))[:size]  # the window that ends here begins SPREAD - 1 before
     chosen = (sliding(back, SPREAD, np.maximum) == line) & (line != MOST)
-    chosen[1:] &= ~(chosen[:-1] & (line[1:] == line[:-1]))
+    goes_on = np.zeros(size, bool)
+    goes_on[1:] = chosen[1:] & chosen[:-1] & (line[1:] == line[:-1])
+    if again:
+        nth_of_run = np.arange(size) - np.maximum.accumulate(np.where(goes_on, 0, np.arange(size)))
+        goes_on &= nth_of_run % WORDS != 0
+    chosen &= ~goes_on
     at = np.flatnonzero(chosen[place] & may)
     sets = value[at[:, None] + np.arange(N_SHINGLES)]
+    if again:
+        return text[at], nth[at], sets
     _, once = np.unique(np.stack((text[at].astype(np.uint64), signature(sets))), axis=1, return_index=True)
     once.sort()
     return text[at][once], nth[at][once], sets[once]
@@ -128,6 +139,12 @@ def _bitmap(wanted: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+def _in_filter(sig: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Places of the signatures that may be in the filter ``held``."""
+    at = mix(sig, 5) % np.uint64(8 * len(held))
+    return np.flatnonzero(held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+
+
 def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``sig, content`` (32 bits of each shingle's hash) of the paragraphs of ``docs`` whose signature is in ``wanted(sig)``."""
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, wanted.count()))
@@ -139,8 +156,7 @@ def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for some in slices(batch, "text", 1 << 20):
                 _, _, sets = paragraphs_of(some.column("text"))
                 sig = signature(sets)
-                at = mix(sig, 5) % np.uint64(8 * len(held))
-                hit = np.flatnonzero(held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+                hit = _in_filter(sig, held)
                 hit = hit[np.unique(sig[hit], return_index=True)[1]]
                 rows = np.ascontiguousarray(sets[hit].astype("<u4"))
                 content = pa.array([r.tobytes() for r in rows], pa.binary())
@@ -150,6 +166,24 @@ def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("content").alias("content"))
 
 
+def occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc_id, row, word, sig``: every occurrence in ``docs`` of what may be in ``wanted(sig)``, repeats in a text too."""
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, wanted.count()))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for some in slices(batch, "text", 1 << 20):
+                text, word, sets = paragraphs_of(some.column("text"), again=True)
+                sig = signature(sets)
+                hit = _in_filter(sig, bits.value)
+                columns = [some.column("doc_id").take(pa.array(text[hit])), pa.array(row + text[hit]), pa.array(word[hit].astype(np.int32)), _long(sig[hit])]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "word", "sig"])
+                row += some.num_rows
+
+    return _texts(docs).mapInArrow(read, "doc_id long, row long, word int, sig long")
+
+
 def jaccard(a: bytes, b: bytes) -> float:
     x, y = set(np.frombuffer(a, "<u4").tolist()), set(np.frombuffer(b, "<u4").tolist())
     return len(x & y) / max(1, len(x | y))
@@ -210,11 +244,11 @@ def verified_links(met: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, row, word, class_id, kept``: each paragraph of ``docs(doc_id, text)`` whose class occurs in another row.
+    """``doc_id, row, word, class_id, kept``: each occurrence of a paragraph of ``docs(doc_id, text)`` whose class occurs in another row.
 
     ``word`` is the number of its first word; ``class_id`` a number of the class; ``kept``
     marks the occurrence that stays, the first by doc_id (null ids last), row and word, and what
-    overlaps it. Null, empty
+    overlaps it; further copies in its own text do not stay. Null, empty
     and short texts (under ``WORDS`` words) have no paragraphs. Repeated rows are documents
     of their own. No rows: no rows. Other columns are not read.
     """
@@ -234,7 +268,8 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> Data
     rows = all_.groupBy("sig").agg(F.min("row").alias("low"), F.max("row").alias("high"))
     known = rows.join(roots.withColumnRenamed("node", "sig"), "sig", "left").where("low != high or root is not null")
     known = written(known.select("sig", F.coalesce("root", "sig").alias("class_id")), "paragraph-classes")
-    found = written(all_.join(known, "sig").select("doc_id", "row", "word", "class_id"), "paragraphs-repeated")
+    everywhere = written(occurrences(docs, known.select("sig")), "paragraphs-everywhere")
+    found = written(everywhere.join(known.withColumn("sig", dealt_anew("sig")), "sig").select("doc_id", "row", "word", "class_id"), "paragraphs-repeated")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "word")
     apart = F.min("row") != F.max("row")
     first = found.groupBy("class_id").agg(F.min(place).alias("first"), apart.alias("apart")).where("apart").select(dealt_anew("class_id").alias("class_id"), "first")

@@ -73,3 +73,20 @@ def test_forest_is_that_of_all_pairs():
     sets = [np.where(rng.random(40) < 0.05, rng.integers(0, 1 << 31, 40), base).astype("<u4").tobytes() for _ in range(30)]
     links = P._forest(list(range(30)), sets, [0] * 30, False, 0.8)
     assert all(P.jaccard(sets[a], sets[b]) >= 0.8 for a, b in links) and len(links) <= 29
+
+
+def removed(row):
+    runs = [tuple(map(int, x.split("-"))) for x in row.spans.split(",") if x]
+    return {w for a, b in runs for w in range(a, b)}
+
+
+def test_every_copy_in_a_text_is_removed(spark):
+    rng = random.Random(6)
+    passage, gaps = words(80, rng), [words(40, rng) for _ in range(12)]
+    thrice = [gaps[2] + passage + gaps[3] + passage + gaps[4] + passage + gaps[5], gaps[6] + passage + gaps[7] + passage]
+    docs = [(1, " ".join(gaps[0] + passage + gaps[1])), (2, " ".join(thrice[0])), (0, " ".join(thrice[1])), (3, "z " * 9000), (4, "z " * 500)]
+    by = {r.doc_id: removed(r) for r in P.removals(spark.createDataFrame(docs, "doc_id long, text string").repartition(2)).collect()}
+    for start in (40, 160, 280):
+        assert any(start <= w < start + 80 for w in by[2])
+    assert any(160 <= w < 240 for w in by[0]) and not any(w < 120 for w in by[0])  # the first copy of the first document stays
+    assert len(by[3]) >= 8950 and not any(w < 25 for w in by[3]) and len(by[4]) >= 475
