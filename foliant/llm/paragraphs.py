@@ -11,7 +11,9 @@ several paragraphs). Those that meet are verified by the exact Jaccard similarit
 shingles; crowded buckets are dealt to pairs of chunks, each of which is compared in full
 and returns a spanning forest of the links it finds. Connected components of the links are
 classes; the first occurrence of a class stays, the others are removals. Banding and
-verification see a paragraph once a text; removals are made of every occurrence.
+verification see a paragraph once a text; removals are made of every occurrence, each grown
+word by word to both sides for as long as it agrees with an earlier occurrence. A passage that
+has whole windows of anchors ends at most ``SPREAD`` - 1 words from its outermost paragraphs.
 """
 
 from __future__ import annotations
@@ -24,15 +26,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from foliant.llm.components import components, dealt_anew
-from foliant.llm.storage import written
+from foliant.llm.storage import drop_path, written
 from foliant.llm.tokens import slices
-from foliant.llm.wordhash import mix, shingles, sliding, word_hashes
+from foliant.llm.wordhash import Words, mix, shingles, sliding, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
 WORDS, SPREAD = 25, 26
 BANDS = 2
 CHUNK = 512
+#: Words beside an occurrence that it is grown over; bytes that are compared of a word's hash.
+SIDE, HELD = SPREAD - 1, 3
 #: Bits of the filter of wanted paragraphs for each of them, and at most.
 FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 30
 SEEDS = [0x51ED27, 0xC0FFEE]
@@ -40,12 +44,13 @@ N_SHINGLES = WORDS - SHINGLE + 1
 MOST = np.uint64((1 << 64) - 1)
 
 
-def paragraphs_of(texts: pa.Array, again: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def paragraphs_of(texts: pa.Array, again: bool = False, words: Words | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, shingle hashes) of the paragraphs of a batch, without repeats in a text.
 
-    ``again``: with them; of a run of equal shingles every ``WORDS``-th is an anchor.
+    ``again``: with them; of a run of equal shingles every ``WORDS``-th is an anchor. ``words``: those of
+    the texts, if known.
     """
-    words = word_hashes(texts)
+    words = words or word_hashes(texts)
     first = words.first
     counts = np.diff(first)
     if not len(words.hash):
@@ -167,21 +172,68 @@ def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``doc_id, row, word, sig``: every occurrence in ``docs`` of what may be in ``wanted(sig)``, repeats in a text too."""
+    """``doc_id, row, word, sig, around``: every occurrence in ``docs`` of what may be in ``wanted(sig)``, repeats in a text too."""
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, wanted.count()))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for some in slices(batch, "text", 1 << 20):
-                text, word, sets = paragraphs_of(some.column("text"), again=True)
+                words = word_hashes(some.column("text"))
+                text, word, sets = paragraphs_of(some.column("text"), again=True, words=words)
                 sig = signature(sets)
                 hit = _in_filter(sig, bits.value)
-                columns = [some.column("doc_id").take(pa.array(text[hit])), pa.array(row + text[hit]), pa.array(word[hit].astype(np.int32)), _long(sig[hit])]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "word", "sig"])
+                text, word, sig = text[hit], word[hit], sig[hit]
+                near = pa.array([r.tobytes() for r in around(words, text, word)], pa.binary())
+                columns = [some.column("doc_id").take(pa.array(text)), pa.array(row + text), pa.array(word.astype(np.int32)), _long(sig), near]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "word", "sig", "around"])
                 row += some.num_rows
 
-    return _texts(docs).mapInArrow(read, "doc_id long, row long, word int, sig long")
+    return _texts(docs).mapInArrow(read, "doc_id long, row long, word int, sig long, around binary")
+
+
+def around(words: Words, text: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """``HELD`` bytes of the hashes of ``SIDE`` words on both sides of each paragraph and of its outermost shingles; 0 beyond the text."""
+    beside = np.r_[-SIDE:SHINGLE, WORDS - SHINGLE : WORDS + SIDE]
+    at = (words.first[text] + word)[:, None] + beside
+    inside = (at >= words.first[text][:, None]) & (at < words.first[text + 1][:, None])
+    out = np.zeros(at.shape, "<u4")
+    out[inside] = np.maximum(words.hash[at[inside]] >> np.uint64(64 - 8 * HELD), np.uint64(1))
+    return out.view(np.uint8).reshape(*at.shape, 4)[:, :, :HELD].reshape(len(at), -1)
+
+
+def agreement(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many words beside the paragraphs ``x`` agree with ``y``, to the left and right; rows as in ``around``.
+
+    Nothing agrees beside an outermost shingle that differs.
+    """
+    x, y = x.reshape(len(x), -1, HELD), y.reshape(len(y), -1, HELD)
+    same = (x == y).all(axis=2) & x.any(axis=2)
+    half = SIDE + SHINGLE
+    left = np.logical_and.accumulate(same[:, :half][:, ::-1], axis=1).sum(axis=1)
+    right = np.logical_and.accumulate(same[:, half:], axis=1).sum(axis=1)
+    return np.maximum(left - SHINGLE, 0), np.maximum(right - SHINGLE, 0)
+
+
+GROWN = "doc_id long, row long, word int, class_id long, kept boolean, start int, end int"
+
+
+def grown(found: DataFrame) -> DataFrame:
+    """``GROWN`` from ``found``, which has ``around`` and the earlier occurrences' ``own_around`` and ``first_around`` too."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("word", pa.int32()), ("class_id", pa.int64()), ("kept", pa.bool_()), ("start", pa.int32()), ("end", pa.int32())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, "around", 1 << 22):
+                x, own, first = (np.frombuffer(b"".join(some.column(c).to_pylist()), np.uint8).reshape(some.num_rows, -1) for c in ("around", "own_around", "first_around"))
+                sides = agreement(x, first)
+                is_own = some.column("is_own").to_numpy(zero_copy_only=False)  # agrees with itself, which says nothing
+                left, right = (np.maximum(a, np.where(is_own, 0, b)) for a, b in zip(sides, agreement(x, own)))
+                word = some.column("word").to_numpy()
+                columns = [*(some.column(c) for c in ("doc_id", "row", "word", "class_id", "kept")), pa.array((word - left).astype(np.int32)), pa.array((word + WORDS + right).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return found.mapInArrow(read, GROWN)
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -243,12 +295,34 @@ def verified_links(met: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return dealt.mapInArrow(read, "a long, b long").distinct()
 
 
+def _beside(found: DataFrame, own: DataFrame) -> DataFrame:
+    """``sig, own_around``: what is around the first occurrence of each of ``own``; other rows do not reach an exchange."""
+    places = own.select("sig", F.col("own.row").alias("row"), F.col("own.word").alias("word"))
+    key = F.xxhash64("sig", "row", "word")
+    bits = found.sparkSession.sparkContext.broadcast(_bitmap(places.select(key.alias("sig")), places.count()))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = _in_filter(batch.column("key").to_numpy().view(np.uint64), bits.value)
+            yield batch.select(["sig", "row", "word", "around"]).take(pa.array(hit))
+
+    some = found.select("sig", "row", "word", "around", key.alias("key")).mapInArrow(read, "sig long, row long, word int, around binary")
+    return some.join(places, ["sig", "row", "word"]).select("sig", F.col("around").alias("own_around"))
+
+
+def _delete(table: DataFrame) -> None:
+    """Delete a written table that is not read again."""
+    for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        drop_path(table.sparkSession, path)
+
+
 def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, row, word, class_id, kept``: each occurrence of a paragraph of ``docs(doc_id, text)`` whose class occurs in another row.
+    """``doc_id, row, word, class_id, kept, start, end``: each occurrence of a paragraph of ``docs(doc_id, text)`` whose class occurs in another row.
 
     ``word`` is the number of its first word; ``class_id`` a number of the class; ``kept``
     marks the occurrence that stays, the first by doc_id (null ids last), row and word, and what
-    overlaps it; further copies in its own text do not stay. Null, empty
+    overlaps it; ``start`` to ``end`` (exclusive) are its words and those beside it that agree with
+    an earlier occurrence. Further copies in the first one's text do not stay. Null, empty
     and short texts (under ``WORDS`` words) have no paragraphs. Repeated rows are documents
     of their own. No rows: no rows. Other columns are not read.
     """
@@ -257,9 +331,9 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> Data
     keyed = all_.select("row", "sig", bands.alias("h"))
     shared = keyed.groupBy("h").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low != high")
     shared = shared.select(dealt_anew("h").alias("h"))  # neighbours in one text overlap and meet: those alone are left out
-    met = written(keyed.join(shared, "h", "left_semi").select("h", "sig").distinct(), "paragraphs-met")
-    several = met.groupBy("h").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low != high")
-    met = written(met.join(several.select(dealt_anew("h").alias("h")), "h", "left_semi"), "paragraphs-several")
+    met_at_all = written(keyed.join(shared, "h", "left_semi").select("h", "sig").distinct(), "paragraphs-met")
+    several = met_at_all.groupBy("h").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low != high")
+    met = written(met_at_all.join(several.select(dealt_anew("h").alias("h")), "h", "left_semi"), "paragraphs-several")
     wanted = written(met.select("sig").distinct(), "paragraphs-wanted")
     held = contents(docs, wanted).select(dealt_anew("sig").alias("sig"), "content")
     links = written(verified_links(met.join(held, "sig").select("h", "sig", "content"), similarity), "paragraph-links")
@@ -268,13 +342,22 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> Data
     rows = all_.groupBy("sig").agg(F.min("row").alias("low"), F.max("row").alias("high"))
     known = rows.join(roots.withColumnRenamed("node", "sig"), "sig", "left").where("low != high or root is not null")
     known = written(known.select("sig", F.coalesce("root", "sig").alias("class_id")), "paragraph-classes")
-    everywhere = written(occurrences(docs, known.select("sig")), "paragraphs-everywhere")
-    found = written(everywhere.join(known.withColumn("sig", dealt_anew("sig")), "sig").select("doc_id", "row", "word", "class_id"), "paragraphs-repeated")
+    for done in (all_, met, met_at_all, wanted, links, roots):
+        _delete(done)
+    found = written(occurrences(docs, known.select("sig")), "paragraphs-everywhere")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "word")
-    apart = F.min("row") != F.max("row")
-    first = found.groupBy("class_id").agg(F.min(place).alias("first"), apart.alias("apart")).where("apart").select(dealt_anew("class_id").alias("class_id"), "first")
+    own = found.groupBy("sig").agg(F.min(place).alias("own"), F.min("row").alias("low"), F.max("row").alias("high"))
+    own = written(own.join(known.withColumn("sig", dealt_anew("sig")), "sig"), "paragraphs-own")  # the first occurrence of each
+    first = own.groupBy("class_id").agg(F.min(F.struct("own", "sig")).alias("x"), (F.min("low") != F.max("high")).alias("apart")).where("apart")
+    first = first.select(dealt_anew("class_id").alias("class_id"), F.col("x.own").alias("first"), F.col("x.sig").alias("first_sig"))
+    own = written(own.join(first, "class_id").select("sig", "class_id", "own", "first", "first_sig"), "paragraphs-first")
+    beside = written(_beside(found, own), "paragraphs-beside")
+    other = own.where("sig != first_sig").select("sig", "first_sig").join(beside.select(dealt_anew("sig").alias("first_sig"), F.col("own_around").alias("first_around")), "first_sig")
+    own = own.join(beside, "sig").join(other.select(dealt_anew("sig").alias("sig"), "first_around"), "sig", "left")
+    own = own.select(dealt_anew("sig").alias("sig"), "class_id", "own", "first", "own_around", F.coalesce("first_around", "own_around").alias("first_around"))
     kept = (F.col("first.row") == F.col("row")) & (F.col("word") < F.col("first.word") + WORDS)
-    return found.join(first, "class_id").select("doc_id", "row", "word", "class_id", kept.alias("kept"))
+    is_own = (F.col("own.row") == F.col("row")) & (F.col("own.word") == F.col("word"))
+    return grown(found.join(own, "sig").select("doc_id", "row", "word", "class_id", kept.alias("kept"), is_own.alias("is_own"), "around", "own_around", "first_around"))
 
 
 def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -286,16 +369,16 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found = repeated_paragraphs(docs, similarity)
     one = found.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_set("class_id")).alias("class_ids"),
-        F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("word")))).alias("words"),
+        F.array_sort(F.collect_list(F.when(~F.col("kept"), F.struct("start", "end")))).alias("parts"),
     )
 
-    def step(done, word):
+    def step(done, part):
         last = F.element_at(done, -1)
-        joins = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= word)
-        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), (word + WORDS).alias("end"))))
-        return F.when(joins, grown).otherwise(F.concat(done, F.array(F.struct(word.alias("start"), (word + WORDS).alias("end")))))
+        joins = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= part["start"])
+        grown_run = F.struct(last["start"].alias("start"), F.greatest(last["end"], part["end"]).alias("end"))
+        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown_run))).otherwise(F.array_append(done, part))
 
-    runs = F.aggregate("words", F.array().cast("array<struct<start:int,end:int>>"), step)
+    runs = F.aggregate("parts", F.array().cast("array<struct<start:int,end:int>>"), step)
     one = one.withColumn("runs", runs)
     spans = F.array_join(F.transform("runs", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",")
     total = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])

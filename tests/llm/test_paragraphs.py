@@ -90,3 +90,18 @@ def test_every_copy_in_a_text_is_removed(spark):
         assert any(start <= w < start + 80 for w in by[2])
     assert any(160 <= w < 240 for w in by[0]) and not any(w < 120 for w in by[0])  # the first copy of the first document stays
     assert len(by[3]) >= 8950 and not any(w < 25 for w in by[3]) and len(by[4]) >= 475
+
+
+def test_whole_passages_are_removed(spark):
+    rng = random.Random(7)
+    docs, want = [], {}
+    for k, size in enumerate((51, 55, 60, 100, 400)):
+        passage = words(size, rng)
+        for j in range(12):
+            d, before = 100 * k + j, rng.randint(0, 90)
+            docs.append((d, " ".join([f"a{d}", *words(before, rng)] + passage + [f"b{d}", *words(rng.randint(0, 90), rng)])))
+            want[d] = set(range(before + 1, before + 1 + size)) if j else set()
+    by = {r.doc_id: removed(r) for r in P.removals(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert set(by) == set(want)
+    for d, held in want.items():
+        assert held <= by[d] and len(by[d] - held) <= 2, d
