@@ -3,7 +3,8 @@
 Each table turns a unit vector by fast Hadamard transforms with random signs and hashes it
 to the nearest signed axis. A query probes the buckets of its nearest axes in each table;
 what it meets there is ranked by the exact inner product in double precision. The number
-of probes is fitted on a bounded sample of the vectors, by measured recall.
+of probes is fitted on a bounded sample of the vectors, by measured recall; where nothing less
+reaches it, every bucket is probed, which is an exact scan.
 
 Equal vectors are one class with the smallest of its ids, so no bucket holds copies. A
 bucket with many classes is dealt to chunks, and so are the queries that probe it.
@@ -22,14 +23,11 @@ from foliant.llm.components import dealt_anew
 from foliant.llm.storage import written
 
 TABLES = 12
-MOST_PROBES = 48
 #: Bound of the vectors that the number of probes is fitted on, and of the queries among them.
 SAMPLE, SAMPLE_QUERIES = 4096, 256
 RECALL = 0.96
 #: Classes and queries that meet in one group.
 CHUNK, QUERY_CHUNK = 4096, 16384
-#: From so many classes on a hash takes two polytopes instead of one.
-TWO_FROM = 1 << 21
 MATCHES = "query_id long, rank int, vec_id long, score double"
 
 
@@ -67,7 +65,7 @@ class Hash:
 
 
 def fit_probes(sample: np.ndarray, hash_: Hash, k: int) -> int:
-    """The fewest probes a table with which a sample's own neighbours are found.
+    """The fewest probes a table of one polytope with which a sample's own neighbours are found.
 
     More vectors bring neighbours closer, so recall on all of them is higher.
     """
@@ -75,14 +73,14 @@ def fit_probes(sample: np.ndarray, hash_: Hash, k: int) -> int:
     exact = queries @ sample.T
     k = min(k + 1, len(sample))
     best = np.argpartition(-exact, k - 1, axis=1)[:, :k]
-    most = min(MOST_PROBES, (2 * hash_.dims) ** hash_.polytopes)
+    most = 2 * hash_.dims  # all buckets of one polytope
     first = np.full(best.shape, most)  # the probe that finds each neighbour
     for t in range(TABLES):
         own, probes = hash_.buckets(sample, t, 1)[:, 0], hash_.buckets(queries, t, most)
         same = own[best][:, :, None] == probes[:, None, :]
         first = np.minimum(first, np.where(same.any(2), same.argmax(2), most))
     found = np.array([(first < p).mean() for p in range(1, most + 1)])
-    return int(np.argmax(found >= RECALL)) + 1 if (found >= RECALL).any() else most
+    return int(np.argmax(found >= RECALL)) + 1
 
 
 def vectors(table: DataFrame, vec_id: str, embedding: str, width: int, kind: str) -> DataFrame:
@@ -129,7 +127,7 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_i
     asked = written(rows.where(F.col("vec_id") % every == 0).join(classes.select("v", "cid"), "v").select("vec_id", "cid"), "ann-queries")
     queries = asked.select("cid").distinct().join(classes.select("cid", "v"), "cid")
 
-    hash_ = Hash(width, 1 if n < TWO_FROM else 2)
+    hash_ = Hash(width)
     share = F.pmod(F.xxhash64("cid"), F.lit(1 << 20)) < int(min(1.0, SAMPLE / n) * (1 << 20)) + 1
     sample = b"".join(bytes(r["v"]) for r in classes.where(share).select("v").limit(2 * SAMPLE).collect())
     found = np.frombuffer(sample, kind).reshape(-1, width).astype(np.float64)

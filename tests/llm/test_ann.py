@@ -64,3 +64,27 @@ def test_two_polytopes():
     assert one.buckets(x, 0, 4).max() < 32 and two.buckets(x, 3, 40).max() < 32 * 32
     assert (two.buckets(x, 1, 5)[:, 0] == two.buckets(x, 1, 1)[:, 0]).all()
     assert np.allclose(np.linalg.norm(one.turned(x, 2, 0), axis=1), 2**0.5)
+
+
+def test_probes_reach_the_recall():
+    x = np.random.default_rng(3).normal(size=(600, 500))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hash_ = ann.Hash(500)
+    probes, queries = ann.fit_probes(x, hash_, 20), x[::2]
+    best = np.argsort(-queries @ x.T, axis=1)[:, :21]
+    met = np.zeros(best.shape, bool)
+    for t in range(ann.TABLES):
+        own, asked = hash_.buckets(x, t, 1)[:, 0], hash_.buckets(queries, t, probes)
+        met |= (own[best][:, :, None] == asked[:, None, :]).any(2)
+    assert met.mean() >= ann.RECALL
+
+
+def test_size_changes_no_results(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(3000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    scores = x[::20].astype(np.float64) @ x.T.astype(np.float64)
+    want = {20 * q: [j for j in np.argsort(-s) if j != 20 * q][:20] for q, s in enumerate(scores)}
+    monkeypatch.setattr(ann, "TWO_FROM", 1, raising=False)  # a switch by size, as there was one
+    found = got(spark, rows)
+    assert sum(len({i for i, _ in found.get(q, [])} & set(want[q])) for q in want) >= 0.93 * 20 * len(want)
