@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 #: Words that are no terms.
@@ -38,14 +41,32 @@ def plain_text(text: str | Column) -> Column:
     return out
 
 
+def _compatible() -> tuple[str, str]:
+    """Letters, figures and ideographs that NFKC turns to one other character, and what to: the lower case of it."""
+    pairs = []
+    for c in (chr(i) for i in range(0x80, 0x10000) if not 0xD800 <= i < 0xE000):
+        to = unicodedata.normalize("NFKC", c).lower()
+        if len(to) == 1 and to != c and re.match(f"[a-z0-9{CJK}]", to) or c == "\u3000":
+            pairs.append((c, to))
+    return "".join(c for c, _ in pairs), "".join(t for _, t in pairs)
+
+
+COMPATIBLE, FOLDED = _compatible()
+
+
+def folded(text: str | Column) -> Column:
+    """Lower case, with compatibility forms of letters, figures and ideographs (full-width ones) as plain ones."""
+    text = col(text)
+    return F.lower(F.when(text.rlike(f"[{COMPATIBLE}]"), F.translate(text, COMPATIBLE, FOLDED)).otherwise(text))
+
+
 def tokens(text: str | Column, markup: bool = True) -> Column:
     """Terms of a text in order. A run of CJK gives its characters, then its pairs; numbers lose commas.
 
-    Letters are ASCII: others part terms. Compatibility forms are not folded here; see
-    ``python_text.normalized`` for texts that need it.
+    Letters are ASCII, others part terms; compatibility forms are folded first.
     """
-    found = F.regexp_extract_all(F.lower(plain_text(text) if markup else col(text)), F.lit(TOKEN), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
+    plain = folded(plain_text(text) if markup else col(text))
+    found = F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0))
 
     def expand(t: Column) -> Column:
         n = F.length(t)
@@ -53,9 +74,9 @@ def tokens(text: str | Column, markup: bool = True) -> Column:
         pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr(t, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
         return F.when(t.rlike(f"^[{CJK}]"), F.concat(single, pairs)).when(t.rlike("^[0-9]"), F.array(F.replace(t, F.lit(","), F.lit("")))).otherwise(F.array(t))
 
-    kept = F.filter(found, lambda t: ~F.array_contains(stop, t))
-    plain = F.transform(kept, lambda t: F.replace(t, F.lit(","), F.lit("")))
-    return F.when(F.exists(kept, lambda t: t.rlike(f"^[{CJK}]")), F.flatten(F.transform(kept, expand))).otherwise(plain)
+    kept = F.filter(found, lambda t: ~t.isin(*STOPWORDS))
+    commas = F.when(plain.rlike("[0-9],[0-9]"), F.transform(kept, lambda t: F.replace(t, F.lit(","), F.lit("")))).otherwise(kept)
+    return F.when(plain.rlike(f"[{CJK}]"), F.flatten(F.transform(kept, expand))).otherwise(commas)
 
 
 def squeezed(text: str | Column) -> Column:

@@ -6,10 +6,11 @@ Every call answers with DataFrames or, for tool use, with a dict that never rais
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foliant.functions import calc
 from foliant.functions.periods import name_facts
@@ -47,12 +48,16 @@ class Library:
             self.tools.setdefault(name, Tool(name, (run.__doc__ or "").split("\n")[0], {}, run))
 
     def index(self, files: DataFrame, page_chars: int = pages.PAGE_CHARS) -> int:
-        """Index ``files(name, text)``; names whose content is known already are left. Returns how many were not."""
+        """Index ``files(name, text)``; files whose content is known already are left. Returns how many were not.
+
+        With a column ``path`` files of one name in two folders are two documents.
+        """
         known = self.store.documents()
-        fresh = files.withColumn("content_hash", changes.content_key("text"))
+        path = F.coalesce("path", "name") if "path" in files.columns else F.col("name")
+        fresh = files.withColumns({"content_hash": changes.content_key("text"), "doc_id": changes.file_key(path)})
         if known is not None:
-            fresh = fresh.join(known.select("name", "content_hash"), ["name", "content_hash"], "left_anti")
-        fresh = fresh.withColumn("doc_id", changes.file_key("name")).select("doc_id", "name", "text", "content_hash")
+            fresh = fresh.join(known.select("doc_id", "content_hash"), ["doc_id", "content_hash"], "left_anti")
+        fresh = fresh.select("doc_id", "name", "text", "content_hash")
         n = fresh.count()
         if n:
             paged = pages.pages(fresh, page_chars)
@@ -62,26 +67,42 @@ class Library:
             facts = name_facts("name")
             docs = fresh.select("doc_id", "name", "content_hash", facts.alias("f")).select("doc_id", "name", "content_hash", "f.period", "f.report_type").join(counts, "doc_id", "left")
             docs = docs.withColumns({"status": F.lit("completed"), "created_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")})
-            units = paged.select("doc_id", F.col("page").alias("unit"), F.col("markdown").alias("text"))
-            self.store.upsert({"documents": docs, "pages": paged.withColumn("tags", page_tags("markdown")), "nodes": nodes, "passages": cut, "postings": bm25.postings(units)})
+            self.store.upsert({"documents": docs.withColumn("index_version", F.lit(bm25.VERSION)), "pages": paged.withColumn("tags", page_tags("markdown")), "nodes": nodes, "passages": cut} | _index_tables(paged, cut))
         return n
 
+    def _index_is_current(self, docs: DataFrame) -> None:
+        """Make the index of documents anew that has another version or is missing."""
+        old = docs if "index_version" not in docs.columns else docs.where(~F.col("index_version").eqNullSafe(F.lit(bm25.VERSION)))
+        ids = old.select("doc_id")
+        if self.store.table("postings") is not None and not ids.limit(1).count():
+            return
+        of = lambda name: self.store.table(name).drop("bucket").join(ids, "doc_id", "left_semi")
+        self.store.upsert({"documents": old.withColumn("index_version", F.lit(bm25.VERSION))} | _index_tables(of("pages"), of("passages")))
+
+    def _stored_index(self, prefix: str, docs: DataFrame) -> bm25.Index:
+        """The stored index of the documents that are listed."""
+        listed = docs.select("doc_id")
+        found = (self.store.table(prefix + t).drop("bucket").join(listed, "doc_id", "left_semi") for t in ("postings", "lengths"))
+        return bm25.Index(*found)
+
     def search(self, queries: DataFrame, k: int = 5, scopes: DataFrame | None = None, match: str = "page") -> DataFrame:
         """``query_id, rank, doc_id, name, page, score, label, section, node_id, snippet`` of the best pages.
 
-        ``queries(query_id, query)``; ``match``: ``page`` or ``passage``. Sections and snippets are
-        made for the hits alone.
+        ``queries(query_id, query)``; ``match``: ``page`` or ``passage``. Ranks come from the stored
+        index alone; sections and snippets are made for the hits alone.
         """
         paged, docs = self.store.table("pages"), self.store.documents()
         if paged is None or docs is None:
             return self.spark.createDataFrame([], "query_id string, rank int, doc_id string, name string, page int, score double, label string, section string, node_id string, snippet string")
-        paged = paged.join(docs.select("doc_id"), "doc_id", "left_semi")
-        units = paged.select("doc_id", F.col("page").alias("unit"), F.col("markdown").alias("text"))
+        self._index_is_current(docs)
+        docs = self.store.documents()
+        found = bm25.index_scores(self._stored_index("", docs), queries, scopes)
         if match == "passage":
-            numbered = self.store.table("passages").withColumn("unit", F.col("page") * 100_000 + F.col("passage_no"))
-            hits = bm25.search_passages(units, numbered.select("doc_id", "page", "unit", "text"), queries, k, scopes)
+            within = bm25.index_scores(self._stored_index("passage_", docs), queries, scopes)
+            where = self.store.table("passages").select("doc_id", "page", _passage_unit().alias("unit"))
+            hits = bm25.best_passages(within, found, where, k)
         else:
-            hits = bm25.search(units, queries, k, scopes)
+            hits = bm25.top_k(found, k)
         hits = hits.withColumnRenamed("unit", "page").join(queries, "query_id").join(paged.select("doc_id", "page", "markdown", "label"), ["doc_id", "page"]).join(docs.select("doc_id", "name"), "doc_id")
         place = as_column(lambda t, q: heading_before(t, best_window(t, highlight_pattern(q))), "string")
         piece = as_column(lambda t, q: snippet(t, highlight_pattern(q)), "string")
@@ -93,10 +114,23 @@ class Library:
         docs = self.store.documents()
         found = [] if docs is None else docs.where((F.col("name") == name) | (F.col("doc_id") == name)).orderBy(F.desc("created_at"), F.desc("doc_id")).limit(1).collect()
         if not found:
-            names = [] if docs is None else [r["name"] for r in docs.select("name").distinct().limit(5000).collect()]
-            raise LookupError(f"no document {name!r}; close: {', '.join(close_names(name, names)) or 'none'}")
+            close = [] if docs is None else self._close_names(name, docs)
+            raise LookupError(f"no document {name!r}; close: {', '.join(close) or 'none'}")
         return found[0].asDict()
 
+    def _close_names(self, name: str, docs: DataFrame, most: int = 3) -> list[str]:
+        """The names most like ``name`` among all: each partition names its best, of which the best are taken."""
+
+        def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                yield pd.DataFrame({"name": close_names(name, frame["name"].tolist(), most)}, dtype="string")
+
+        found = docs.select("name").where("name is not null").distinct().mapInPandas(best, "name string")
+        held: list[str] = []
+        for r in found.toLocalIterator():
+            held = close_names(name, sorted({*held, r["name"]}), most)
+        return held
+
     def search_pages(self, query: str, doc_name: str | None = None, top_k: int = 5) -> list[dict]:
         """The best pages for a query, of one document or of all; at most 20."""
         asked = self.spark.createDataFrame([("q", query)], "query_id string, query string")
@@ -172,15 +206,29 @@ class Library:
         return evaluate.metrics(evaluate.first_ranks(judged, known), (1, 3, k))
 
 
+def _passage_unit() -> Column:
+    """A number for each passage of a document, in order."""
+    return F.col("page") * 100_000 + F.col("passage_no")
+
+
+def _index_tables(paged: DataFrame, cut: DataFrame) -> dict[str, DataFrame]:
+    """The stored tables of the keyword index of pages and passages."""
+    units = paged.select("doc_id", F.col("page").alias("unit"), F.col("markdown").alias("text"))
+    within = cut.select("doc_id", _passage_unit().alias("unit"), "text")
+    return {
+        "postings": bm25.postings(units), "lengths": bm25.unit_lengths(units),
+        "passage_postings": bm25.postings(within), "passage_lengths": bm25.unit_lengths(within),
+    }
+
+
 def register_sql(spark: SparkSession) -> None:
-    """Functions for SQL text: ``foliant_plain``, ``foliant_period``, ``foliant_calc``, ``foliant_passages``."""
+    """Functions for SQL text: ``foliant_plain``, ``foliant_snippet``, ``foliant_calc``, ``foliant_passages``."""
     from pyspark.sql.functions import udtf
 
-    from foliant.functions.periods import period_of
     from foliant.operators.passages import plain, split
 
     spark.udf.register("foliant_plain", as_column(plain, "string"))
-    spark.udf.register("foliant_period", as_column(period_of, "string"))
+    spark.udf.register("foliant_snippet", as_column(lambda t, q: snippet(t, highlight_pattern(q)), "string"))
     spark.udf.register("foliant_calc", as_column(lambda e: calc._answer(e, "{}"), "string"))
 
     @udtf(returnType="passage_no int, start int, end int, text string")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from foliant.functions.text import col, question_terms, word_form
+from foliant.operators.joins import small
 
 
 def glob_regex(pattern: str | Column) -> Column:
@@ -39,14 +40,14 @@ def weighted_paths(paths: DataFrame, weights: DataFrame) -> DataFrame:
     ``weights(ord, pattern, weight, label)``.
     """
     w = weights.select("ord", "pattern", "weight", F.coalesce("label", "pattern").alias("label"))
-    hits = paths.select("path").distinct().join(F.broadcast(w), path_matches("pattern", "path"))
+    hits = paths.select("path").distinct().join(small(w), path_matches("pattern", "path"))
     best = hits.groupBy("path").agg(F.sum("weight").alias("weight"), F.max_by("label", F.struct("weight", -F.col("ord"))).alias("label"))
     return paths.join(best, "path", "left").withColumns({"weight": F.coalesce("weight", F.lit(0)), "label": F.coalesce("label", F.lit(""))})
 
 
 def without_excluded(paths: DataFrame, excludes: DataFrame) -> DataFrame:
     """``paths`` that no pattern of ``excludes(pattern)`` takes out."""
-    hit = paths.select("path").distinct().join(F.broadcast(excludes.select("pattern")), segment_matches("pattern", "path")).select("path").distinct()
+    hit = paths.select("path").distinct().join(small(excludes.select("pattern")), segment_matches("pattern", "path")).select("path").distinct()
     return paths.join(hit, "path", "left_anti")
 
 
@@ -55,10 +56,10 @@ def alias_terms(questions: DataFrame, aliases: DataFrame) -> DataFrame:
 
     ``aliases(group_id, term)``: a group is touched if the question holds any of its terms.
     """
-    q, term = F.lower("query"), F.lower("term")
-    all_ = questions.crossJoin(F.broadcast(aliases)).withColumn("named", F.contains(q, term))
-    touched = F.max(F.col("named").cast("int")).over(Window.partitionBy("query_id", "group_id"))
-    return all_.withColumn("touched", touched).where("touched = 1 and not named").select("query_id", "term", F.lit(2).alias("weight")).distinct()
+    groups = aliases.groupBy("group_id").agg(F.collect_set(F.lower("term")).alias("terms"))
+    touched = questions.join(small(groups), F.exists("terms", lambda t: F.contains(F.lower("query"), t)))
+    missing = touched.select("query_id", "query", F.explode("terms").alias("term")).where(~F.contains(F.lower("query"), F.col("term")))
+    return missing.select("query_id", "term", F.lit(2).alias("weight")).distinct()
 
 
 def report_type_of(files: DataFrame, types: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def report_type_of(files: DataFrame, types: DataFrame) -> DataFrame:
     folder = (F.col("kind") == "folder") & (F.lower("folder") == F.lower("term"))
     named = F.concat(F.lit(" "), F.regexp_replace(word_form("name"), "[^a-z0-9]+", " "), F.lit(" "))
     alias = (F.col("kind") == "alias") & F.contains(named, F.concat(F.lit(" "), word_form("term"), F.lit(" ")))
-    hits = files.join(F.broadcast(types), folder | alias)
+    hits = files.join(small(types), folder | alias)
     best = hits.groupBy("path").agg(F.min_by("key", F.struct((F.col("kind") != "folder").cast("int").alias("a"), "ord")).alias("report_type"))
     return files.join(best, "path", "left")
 
@@ -85,7 +86,7 @@ def candidate_scores(questions: DataFrame, candidates: DataFrame, extra: DataFra
     if extra is not None:
         terms = terms.unionByName(extra.select("query_id", F.lower("term").alias("term"), F.col("weight").alias("points")))
     asked = questions.withColumn("years", years).join(terms.groupBy("query_id").agg(F.collect_list(F.struct("term", "points")).alias("terms")), "query_id", "left")
-    pairs = candidates.crossJoin(F.broadcast(asked))  # a stated question set against all candidates
+    pairs = candidates.crossJoin(small(asked))  # a stated question set against all candidates
     path, text = F.lower("path"), F.lower(F.coalesce("text", F.lit("")))
     of_years = F.aggregate("years", F.lit(0), lambda a, y: a + F.when(F.contains("path", y) | F.contains(text, y), 3).otherwise(0))
     of_terms = F.aggregate(F.coalesce("terms", F.array().cast("array<struct<term:string,points:int>>")), F.lit(0), lambda a, t: a + F.contains(path, t["term"]).cast("int") + F.when(F.contains(text, t["term"]), t["points"]).otherwise(0))
@@ -94,23 +95,24 @@ def candidate_scores(questions: DataFrame, candidates: DataFrame, extra: DataFra
 
 def best_directories(scored: DataFrame, most: int = 4) -> DataFrame:
     """Candidates with a question's best score if it is not 0, ``most`` of them, the last paths first."""
-    top = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("path"))
-    best = F.max("score").over(Window.partitionBy("query_id"))
-    out = scored.where("score != 0").withColumns({"best": best, "rank": F.row_number().over(top)})
-    return out.where((F.col("score") == F.col("best")) & (F.col("rank") <= most)).drop("best")
+    found = scored.where("score != 0")
+    best = found.groupBy("query_id").agg(F.max("score").alias("score"))
+    top = Window.partitionBy("query_id").orderBy(F.desc("path"))
+    return found.join(best, ["query_id", "score"]).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= most)
 
 
 def best_files(scored: DataFrame, most: int = 5) -> DataFrame:
     """The ``most`` best files of a question, equals by path; only the first if none has points."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path"))
+    top = scored.withColumn("rank", rank).where(F.col("rank") <= most)  # each partition keeps its best before the exchange
     best = F.max("score").over(Window.partitionBy("query_id"))
-    return scored.withColumns({"rank": rank, "best": best}).where((F.col("rank") <= most) & ((F.col("best") > 0) | (F.col("rank") == 1))).drop("best")
+    return top.withColumn("best", best).where((F.col("best") > 0) | (F.col("rank") == 1)).drop("best")
 
 
 def best_sections(questions: DataFrame, nodes: DataFrame, most: int = 3) -> DataFrame:
     """Sections by 1 for each term in the title and a half for each in the summary."""
     terms = questions.select("query_id", F.transform(question_terms("query"), lambda t: F.lower(t["term"])).alias("terms"))
-    pairs = nodes.crossJoin(F.broadcast(terms))  # a stated question set
+    pairs = nodes.crossJoin(small(terms))  # a stated question set
     title, summary = F.lower("title"), F.lower(F.coalesce("summary", F.lit("")))
     score = F.aggregate("terms", F.lit(0.0), lambda a, t: a + F.contains(title, t).cast("double") + 0.5 * F.contains(summary, t).cast("double"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "ord"))
@@ -120,7 +122,7 @@ def best_sections(questions: DataFrame, nodes: DataFrame, most: int = 3) -> Data
 def files_under(files: DataFrame, dirs: DataFrame) -> DataFrame:
     """Files of ``files(path)`` below any of ``dirs(dir)``; the empty directory holds all."""
     inside = (F.col("dir") == "") | (F.col("path") == F.col("dir")) | F.startswith("path", F.concat(F.col("dir"), F.lit("/")))
-    return files.join(F.broadcast(dirs.select("dir")), inside, "left_semi").orderBy("path")
+    return files.join(small(dirs.select("dir")), inside, "left_semi").orderBy("path")
 
 
 def route_scopes(questions: DataFrame, docs: DataFrame) -> DataFrame:
@@ -131,19 +133,22 @@ def route_scopes(questions: DataFrame, docs: DataFrame) -> DataFrame:
     unknown ones stay. Years select with the year after them. First-half questions see interim
     documents only if there are any. A question that would see none sees all.
     """
-    pairs = docs.crossJoin(F.broadcast(questions))  # a stated question set
     # a report on a year may be dated the year after
     in_years = F.col("year").isNull() | (F.size("years") == 0) | F.exists("years", lambda y: (F.col("year") == y) | (F.col("year") == y + 1))
     of_type = F.col("report_type").isNull() | (F.size("types") == 0) | F.array_contains("types", F.col("report_type"))
-    mine = Window.partitionBy("query_id")
-    out = pairs.withColumn("ok", in_years & of_type)
-    out = out.withColumn("interim", F.col("ok") & F.col("first_half") & (F.coalesce("half", F.lit(0)) == 1))
-    out = out.withColumn("any_interim", F.max(F.col("interim").cast("int")).over(mine) == 1)
-    out = out.withColumn("seen", F.when(F.col("any_interim"), F.col("interim") | (F.col("ok") & F.col("half").isNull())).otherwise(F.col("ok")))
-    out = out.withColumn("any", F.max(F.col("seen").cast("int")).over(mine) == 1)
+    first = F.coalesce("half", F.lit(0)) == 1
+    # what a document may see hangs on three facts of it: questions are met by those, not by documents
+    kinds = docs.select("year", "half", "report_type").distinct()
+    ok = kinds.crossJoin(small(questions)).withColumn("ok", in_years & of_type).withColumn("interim", F.col("ok") & F.col("first_half") & first)
+    facts = ok.groupBy("query_id").agg(F.max("interim").alias("any_interim"), F.max("ok").alias("any_ok"))
     asks = (F.size("years") > 0) | (F.size("types") > 0) | F.col("first_half")
-    reason = F.when(~asks, "no filter").when(~F.col("any"), "nothing matched").otherwise("filtered")
-    return out.where(F.col("seen") | ~F.col("any")).select("query_id", "doc_id", reason.alias("reason"))
+    seen = F.when(F.col("any_interim"), F.col("interim") | (F.col("ok") & F.col("half").isNull())).otherwise(F.col("ok"))
+    routed = ok.join(facts, "query_id").withColumn("seen", seen).where(F.col("seen") | ~F.col("any_ok"))
+    reason = F.when(~asks, "no filter").when(~F.col("any_ok"), "nothing matched").otherwise("filtered")
+    routed = routed.select("query_id", "year", "half", "report_type", reason.alias("reason"))
+    d, r = docs.alias("d"), routed.alias("r")
+    same = F.col("d.year").eqNullSafe(F.col("r.year")) & F.col("d.half").eqNullSafe(F.col("r.half")) & F.col("d.report_type").eqNullSafe(F.col("r.report_type"))
+    return d.join(r, same).select("r.query_id", "d.doc_id", "r.reason")
 
 
 def route_stats(routes: DataFrame) -> DataFrame:

@@ -1,135 +1,123 @@
 """Tree rules that move nodes: fake and continued titles, missing containers, thinning, optimising.
 
-A rule that moves pages between neighbours takes a document's nodes in order; documents are
-independent, so these run a document at a time. ``nodes`` are as in ``trees``.
+Rules are joins and windows over ``nodes`` as in ``trees``; only the folding of fake titles, where
+what becomes of a node hangs on its children and on the sibling before it, takes a document at a time.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
+from foliant.functions.arrays import scan
+from foliant.functions.python_text import as_column, title_form
+from foliant.functions.text import title_key
 from foliant.operators import trees
 
-CONTINUED = re.compile(r"\s*[（(]\s*(?:續|续|continued)\s*[)）]\s*$", re.I)
-FAKE = re.compile(trees.FAKE)
-KPI = re.compile(trees.KPI)
+#: Fixed value: what a title ends with that another one goes on with.
+CONTINUED = r"(?i)\s*[（(]\s*(?:續|续|continued)\s*[)）]\s*$"
 NODES = "doc_id string, node_id string, parent_id string, depth int, ord int, title string, start int, end int"
 
 
-@dataclass
-class Node:
-    title: str
-    start: int
-    end: int
-    children: list[Node] = field(default_factory=list)
+def _titled(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with what its rules ask of a title: whether it is fake, whether it goes on, and the name it goes on with."""
+    own = F.regexp_replace(F.coalesce("title", F.lit("")), CONTINUED, "")
+    return nodes.withColumns({"fake": trees.is_fake_title("title"), "goes_on": F.coalesce(F.col("title").rlike(CONTINUED), F.lit(False)), "name": title_key(own)})
 
-    def stretch(self, end: int) -> None:
-        """Cover pages up to ``end``, with the last descendants."""
-        self.end = max(self.end, end)
-        if self.children:
-            self.children[-1].stretch(end)
 
+def settled(rows: pd.DataFrame) -> pd.DataFrame:
+    """The nodes of one document after ``drop_fake_titles``, in order, with new numbers.
 
-def nested(rows: pd.DataFrame) -> list[Node]:
-    """The forest of one document's rows."""
-    made, tops = {}, []
-    for r in rows.sort_values("ord").itertuples():
-        made[r.node_id] = node = Node(r.title or "", int(r.start), int(r.end))
-        (made[r.parent_id].children if r.parent_id in made else tops).append(node)
-    return tops
-
-
-def flat(doc_id: str, forest: list[Node]) -> pd.DataFrame:
-    """Rows of a forest in preorder, with new ids."""
-    rows: list[tuple] = []
-
-    def visit(nodes: list[Node], parent: str | None, depth: int) -> None:
-        for n in nodes:
-            name = f"{len(rows):04d}"
-            rows.append((doc_id, name, parent, depth, len(rows), n.title, n.start, n.end))
-            visit(n.children, name, depth + 1)
-
-    visit(forest, None, 1)
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")])
-
-
-def by_document(nodes: DataFrame, rule: Callable[[list[Node]], list[Node]]) -> DataFrame:
-    """``rule`` applied to each document's forest."""
-    columns = [c.split()[0] for c in NODES.split(", ")]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return flat(rows["doc_id"].iloc[0], rule(nested(rows)))
-
-    return nodes.select(F.col("doc_id").cast("string").alias("doc_id"), *columns[1:]).groupBy("doc_id").applyInPandas(run, NODES)
-
-
-def is_fake(title: str) -> bool:
-    text = " ".join(title.split())
-    return len(text.replace(" ", "")) <= 1 or bool(KPI.search(text)) or all(FAKE.match(t) for t in text.split())
-
-
-def key_of(title: str) -> str:
-    return "".join(CONTINUED.sub("", title).split()).casefold()
+    The lists of children are settled from the deepest level up, so that what takes a node's place
+    is known when its own list is settled.
+    """
+    rows = rows.sort_values("ord").reset_index(drop=True)
+    title, start, end = rows["title"].tolist(), rows["start"].tolist(), rows["end"].tolist()
+    fake, goes_on, name = rows["fake"].tolist(), rows["goes_on"].tolist(), rows["name"].tolist()
+    number = {n: i for i, n in enumerate(rows["node_id"])}
+    lists: dict[int, list[int]] = {}  # -1 holds the top level
+    for i, parent in enumerate(rows["parent_id"]):
+        lists.setdefault(number.get(parent, -1), []).append(i)
+    level = dict(enumerate(rows["depth"].tolist())) | {-1: 0}
+
+    def last_line(node: int) -> list[int]:
+        """The node and the last child of each on the way down."""
+        out = [node]
+        while lists.get(out[-1]):
+            out.append(lists[out[-1]][-1])
+        return out
+
+    for holder in sorted(lists, key=lambda h: -level[h]):
+        stay: list[int] = []
+        lost_start = None
+        for i in lists[holder]:
+            again = goes_on[i] and bool(stay) and name[stay[-1]] == name[i]
+            shell = goes_on[i] and holder >= 0 and name[holder] == name[i] and not again
+            if shell or fake[i] and not stay:  # its children take its place; a first top node leaves its start
+                if not shell and holder < 0 and not lists.get(i):
+                    lost_start = start[i] if lost_start is None else lost_start
+                stay += lists.get(i, [])
+            elif again or fake[i]:
+                for x in last_line(stay[-1]):
+                    end[x] = max(end[x], end[i])
+                lists[stay[-1]] = lists.get(stay[-1], []) + lists.get(i, [])
+            else:
+                start[i], lost_start = min(start[i], start[i] if lost_start is None else lost_start), None
+                stay.append(i)
+        lists[holder] = stay if stay or holder >= 0 else lists[holder][:1]
+    out: list[tuple] = []
+    todo = [(i, None, 1) for i in reversed(lists.get(-1, []))]
+    while todo:
+        i, parent, depth = todo.pop()
+        own = f"{len(out):04d}"
+        out.append((rows["doc_id"][0], own, parent, depth, len(out), title[i], start[i], end[i]))
+        todo += [(k, own, depth + 1) for k in reversed(lists.get(i, []))]
+    return pd.DataFrame(out, columns=[c.split()[0] for c in NODES.split(", ")])
 
 
-def without_fakes(forest: list[Node], parent: Node | None = None) -> list[Node]:
-    """Fold headings that are body text into what stands before them.
+def drop_fake_titles(nodes: DataFrame) -> DataFrame:
+    """``NODES`` without headings that are body text.
 
     The pages and children of one go to the sibling before it; a first child leaves its children in its
     place; a first top node gives its start to the next. A title that is continued joins its
-    sibling of the same name, or gives way to its children under a parent of that name.
+    sibling of the same name, or gives way to its children under a parent of that name. A document
+    of nothing else keeps its first.
     """
-    out: list[Node] = []
-    waiting: int | None = None
-    for node in forest:
-        node.children = without_fakes(node.children, node)
-        continued = CONTINUED.search(node.title)
-        joins = bool(continued and out and key_of(out[-1].title) == key_of(node.title))
-        if not joins and continued and parent and key_of(parent.title) == key_of(node.title):
-            out += node.children
-        elif joins or is_fake(node.title) and out:
-            out[-1].stretch(node.end)
-            out[-1].children += node.children
-        elif not is_fake(node.title):
-            node.start = node.start if waiting is None else min(node.start, waiting)
-            waiting = None
-            out.append(node)
-        elif node.children:
-            out += node.children
-        elif parent is None:
-            waiting = node.start if waiting is None else waiting
-    return out if out or waiting is None else forest[:1]
-
+    plain = nodes.select(F.col("doc_id").cast("string").alias("doc_id"), "node_id", "parent_id", "depth", "ord", "title", "start", "end")
+    return _titled(plain).groupBy("doc_id").applyInPandas(settled, NODES)
 
-def drop_fake_titles(nodes: DataFrame) -> DataFrame:
-    return by_document(nodes, lambda forest: without_fakes(forest))
-
-
-def numeral(title: str) -> str:
-    return re.split(r"[、．.\s]", title.strip(), maxsplit=1)[0]
 
+def numeral(title: str) -> Column:
+    return F.split(F.trim(title), "[、．.\\s]", 2)[0]
 
-def rank_of(title: str) -> int | None:
-    return next((i for i, p in enumerate(trees.NUMBERING) if re.match(p, title.strip())), None)
 
+def with_containers(nodes: DataFrame, headings: DataFrame) -> DataFrame:
+    """``NODES`` and the outermost numbered ``headings(doc_id, page, title)`` that the top level lacks.
 
-def with_containers(forest: list[Node], headings: list[tuple[int, str]]) -> list[Node]:
-    """Put outermost numbered headings ``(page, title)`` that the top level lacks before the lower ones they hold."""
-    out = list(forest)
-    known = {numeral(n.title) for n in out if rank_of(n.title) == 0}
-    for page, title in headings:
-        if rank_of(title) != 0 or numeral(title) in known:
-            continue
-        after = [i for i, n in enumerate(out) if n.start > page or n.start == page and rank_of(n.title) != 0]
-        if after and rank_of(out[after[0]].title) not in (None, 0):
-            out.insert(after[0], Node(" ".join(title.split()), page, page))
-            known.add(numeral(title))
-    return out
+    One goes before the first top node that starts after it, or on its page without such a number, if
+    that node has a number of a lower style; of headings of one number the first such. New numbers.
+    """
+    top = nodes.where("depth = 1").select("doc_id", "ord", "start", numeral("title").alias("number"), trees.numbering_rank("title").alias("rank"))
+    asked = headings.where(trees.numbering_rank("title") == 0).select("doc_id", "page", F.trim(F.regexp_replace("title", r"\s+", " ")).alias("title"), numeral("title").alias("number"))
+    asked = asked.join(top.where("rank = 0").select("doc_id", "number"), ["doc_id", "number"], "left_anti")
+    later = (F.col("start") > F.col("page")) | ((F.col("start") == F.col("page")) & (F.coalesce("rank", F.lit(-1)) != 0))
+    place = asked.join(top.select("doc_id", "ord", "start", "rank"), "doc_id").where(later).groupBy("doc_id", "number", "page", "title").agg(F.min_by(F.struct("ord", "rank"), "ord").alias("before"))
+    first = Window.partitionBy("doc_id", "number").orderBy("page", "title")
+    fresh = place.where("before.rank > 0").withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    fresh = fresh.select("doc_id", F.concat(F.lit("+"), "number").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(1).alias("depth"), (F.col("before.ord") - 0.5).alias("at"), "title", F.col("page").alias("start"), F.col("page").alias("end"))
+    every = nodes.select("doc_id", "node_id", "parent_id", "depth", F.col("ord").cast("double").alias("at"), "title", "start", "end").unionByName(fresh)
+    return numbered(every, "at", "start")
+
+
+def numbered(nodes: DataFrame, *order: str) -> DataFrame:
+    """``NODES`` in the order of columns, with preorder numbers for ids."""
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1
+    rows = nodes.withColumn("ord", nth.cast("int")).withColumn("own", F.lpad(F.col("ord").cast("string"), 4, "0"))
+    parents = rows.select("doc_id", F.col("node_id").alias("parent_id"), F.col("own").alias("parent"))
+    out = rows.join(parents, ["doc_id", "parent_id"], "left")
+    return out.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("own").alias("node_id"), F.col("parent").alias("parent_id"), F.col("depth").cast("int").alias("depth"), "ord", "title", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
 
 
 def subtree_tokens(nodes: DataFrame) -> DataFrame:
@@ -174,26 +162,57 @@ def optimized(nodes: DataFrame, propose: Callable[[DataFrame], DataFrame] | None
 
 
 def bookmark_nodes(marks: DataFrame, page_counts: DataFrame) -> DataFrame:
-    """Nodes from bookmarks ``(doc_id, ord, level, title, page)`` that go forward: ends before the next of their level."""
-    lines = marks.join(page_counts.select("doc_id", "pages"), "doc_id").where("page between 1 and pages")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        tops, stack, last, final = [], [], 0, int(rows["pages"].iloc[0])
-        kept = []
-        for r in rows.sort_values("ord").itertuples():
-            if r.page >= last:
-                kept.append(r)
-                last = r.page
-        for i, r in enumerate(kept):
-            end = next((max(int(r.page), int(x.page) - 1) for x in kept[i + 1 :] if x.level <= r.level), final)
-            node = Node(r.title, int(r.page), end)
-            while stack and stack[-1][0] >= r.level:
-                stack.pop()
-            (stack[-1][1].children if stack else tops).append(node)
-            stack.append((r.level, node))
-        return flat(rows["doc_id"].iloc[0], tops)
-
-    return lines.withColumn("doc_id", F.col("doc_id").cast("string")).groupBy("doc_id").applyInPandas(run, NODES)
+    """``NODES`` from bookmarks ``(doc_id, ord, level, title, page)`` that go forward: ends before the next of their level."""
+    before = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    inside = marks.join(page_counts.select("doc_id", "pages"), "doc_id").where("page between 1 and pages")
+    kept = inside.withColumn("most", F.max("page").over(before)).where("most is null or page >= most")
+    kept = kept.withColumn("ord", (F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1).cast("int"))
+    one = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("level").cast("int").alias("level"), "title", F.col("page").cast("int").alias("page")))).alias("found"), F.first("pages").cast("int").alias("pages"))
+    stacked = "array<struct<level:int,ord:int>>"
+
+    def above(stack: Column, m: Column) -> tuple[Column, Column]:
+        """The marks that hold ``m``, the innermost last; and with ``m`` for what follows."""
+        outer = F.filter(stack, lambda s: s["level"] < m["level"])
+        return F.array_append(outer, F.struct(m["level"].alias("level"), m["ord"].alias("ord"))), F.transform(outer, lambda s: s["ord"])
+
+    def below(ends: Column, m: Column) -> tuple[Column, Column]:
+        """From the last mark on: where the nearest later mark of each level up to ``m``'s begins."""
+        later = F.filter(ends, lambda e: e["level"] <= m["level"])
+        end = F.when(F.size(later) > 0, F.greatest(m["page"], F.try_element_at(later, F.lit(-1))["ord"] - 1)).otherwise(F.col("pages"))
+        return F.array_append(later, F.struct(m["level"].alias("level"), m["page"].alias("ord"))), end
+
+    none = F.array().cast(stacked)
+    one = one.withColumns({"holders": scan(F.col("found"), none, above, "array<int>"), "ends": F.reverse(scan(F.reverse("found"), none, below, "int"))})
+    each = one.select("doc_id", F.explode(F.arrays_zip("found", "holders", "ends")).alias("x"))
+    name = lambda o: F.lpad(o.cast("string"), 4, "0")
+    return each.select(F.col("doc_id").cast("string").alias("doc_id"), name(F.col("x.found.ord")).alias("node_id"), name(F.try_element_at("x.holders", F.lit(-1))).alias("parent_id"), (F.size("x.holders") + 1).alias("depth"), F.col("x.found.ord").alias("ord"), F.col("x.found.title").alias("title"), F.col("x.found.page").alias("start"), F.col("x.ends").alias("end"))
+
+
+#: Titles that number pages alone, and words that number what a book is made of.
+GENERIC = r"(?i)^(?:(?:page|slide|folie|document\s+page)\s*)?\d+$"
+CONTENT_UNITS = ["chapter", "chap", "ch", "part", "pt", "section", "sec", "book", "appendix", "unit", "lesson", "章", "部", "节", "篇", "卷", "第章", "第部", "第节", "第篇", "第卷"]
+
+
+def bookmark_tier(marks: DataFrame, page_counts: DataFrame) -> DataFrame:
+    """``doc_id, kept, tier`` of bookmarks as of ``bookmark_nodes``: what they are good for.
+
+    ``IGNORE``: fewer than three, half or more mere page numbers, half or more of one form with a counter
+    (unless it is one counter of chapters and the like), or a quarter or less different titles.
+    ``FULL``: nested, and six or one for twenty pages at least. Else ``SKELETON``.
+    """
+    nodes = bookmark_nodes(marks, page_counts)
+    form, template = (as_column(lambda t, k=k: title_form(t, k), "string")("title") for k in (False, True))
+    nodes = nodes.select("doc_id", "ord", "depth", F.trim("title").rlike(GENERIC).cast("int").alias("generic"), form.alias("form"), template.alias("template"))
+    often = nodes.groupBy("doc_id", "template").agg(F.count("*").alias("n"), F.min("ord").alias("seen"))
+    often = often.groupBy("doc_id").agg(F.max_by(F.struct("template", "n"), F.struct("n", -F.col("seen"))).alias("top"))
+    facts = nodes.groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum("generic").alias("generic"), F.count_distinct("form").alias("forms"), F.max("depth").alias("depth"))
+    counts = page_counts.select(F.col("doc_id").cast("string").alias("doc_id"), "pages")
+    facts = facts.join(often, "doc_id").join(counts, "doc_id")
+    counters = F.length("top.template") - F.length(F.replace("top.template", F.lit("#"), F.lit("")))
+    filed = (counters >= 1) & (2 * F.col("top.n") >= F.col("kept")) & ((counters >= 2) | ~F.replace("top.template", F.lit("#"), F.lit("")).isin(*CONTENT_UNITS))
+    poor = (F.col("kept") < 3) | (2 * F.col("generic") >= F.col("kept")) | filed | (4 * F.col("forms") <= F.col("kept"))
+    full = (F.col("depth") >= 2) & (F.col("kept") >= F.greatest(F.lit(6), F.floor(F.col("pages") / 20)))
+    return facts.select("doc_id", "kept", F.when(poor, "IGNORE").when(full, "FULL").otherwise("SKELETON").alias("tier"))
 
 
 def graft(base: DataFrame, detected: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ NODES_PER_PAGE, FAKE_SHARE, FLAT_PAGES = 3, 0.25, 10
 BOLD = 9
 HEADINGS = "array<struct<line:int,level:int,title:string>>"
 #: Figures, periods, units and column heads that make no title.
-PERIOD = r"(?:[12]H|H[12]|FY|Q[1-4]|[1-4]Q)'?[0-9]{2,4}"
+PERIOD = r"(?:[12]H|H[12]|FY|Q[1-4]|[1-4]Q)\s?'?[0-9]{2,4}"
 FIGURE = r"[+\-−–]?\(?(?:US|HK|S|A|NT|RMB|USD|HKD)?[$¥€£]?[0-9][0-9.,]*\)?(?:%|x|bps|pps|ppts|pp|m|mn|bn|b|k|亿|万|百万|千)?(?:元|港元|美元)?"
 FAKE = rf"(?i)^(?:{FIGURE}|{PERIOD}|bps|pps|ppts|pp|x|%|US\$|HK\$|RMB|USD|HKD|YoY|CER|HoH|AER|[+\-−–/|·•:])$"
 KPI = r"(?i)(?<![A-Za-z])(?:YoY|CER|HoH)\s*[:：]?\s*[+\-−–]?\(?[0-9][0-9.,]*\)?\s*%?\s*$"
@@ -272,11 +272,11 @@ def tree_costs(nodes: DataFrame, routing: int = ROUTING_COST) -> DataFrame:
     return costs.agg(F.max((F.col("depth") - F.col("top_depth")) * routing + F.col("pages")).alias("cost"))
 
 
-def with_path_ids(nodes: DataFrame, most_depth: int = 16) -> DataFrame:
-    """``path_ids`` of each node, by a join for each level."""
+def with_path_ids(nodes: DataFrame) -> DataFrame:
+    """``path_ids`` of each node, by a join for each level of the deepest tree."""
     out = nodes.withColumn("path_ids", F.array("node_id")).withColumn("_up", F.col("parent_id"))
     parents = nodes.select("doc_id", F.col("node_id").alias("_up"), F.col("parent_id").alias("_next"))
-    for _ in range(min(most_depth, (nodes.agg(F.max("depth")).first()[0] or 1)) - 1):
+    for _ in range((nodes.agg(F.max("depth")).first()[0] or 1) - 1):
         out = out.join(parents, ["doc_id", "_up"], "left").withColumn("path_ids", F.when(F.col("_up").isNotNull(), F.concat(F.array("_up"), F.col("path_ids"))).otherwise(F.col("path_ids"))).drop("_up").withColumnRenamed("_next", "_up")
     return out.drop("_up")
 
@@ -335,20 +335,6 @@ def section_for(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.withColumn("section", F.coalesce("best.section", F.lit(""))).withColumn("node_id", F.coalesce("best.node_id", F.lit(""))).drop("best", "_hit")
 
 
-def bookmark_tier(marks: DataFrame) -> DataFrame:
-    """``doc_id, kept, tier`` of ``marks(doc_id, ord, level, title, page)``.
-
-    Marks that go back in pages are dropped. Few or generic ones are IGNORE, a flat list is a
-    SKELETON, nested ones are FULL.
-    """
-    most = F.max("page").over(Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
-    forward = marks.withColumn("most", most).where("most is null or page >= most")
-    generic = F.lower(F.trim("title")).rlike(r"^(?:page|p\.?|slide|sheet|untitled|bookmark|section)?\s*[0-9]*$")
-    facts = forward.groupBy("doc_id").agg(F.count("*").alias("kept"), F.avg(generic.cast("int")).alias("generic"), F.count_distinct(F.lower("title")).alias("names"), F.count_distinct("level").alias("levels"))
-    tier = F.when((F.col("kept") < 3) | (F.col("generic") > 0.5) | (F.col("names") < 0.5 * F.col("kept")), "IGNORE").when((F.col("levels") < 2) | (F.col("kept") < 8), "SKELETON").otherwise("FULL")
-    return facts.select("doc_id", "kept", tier.alias("tier"))
-
-
 def recursive_counts(files: DataFrame) -> DataFrame:
     """``dir, n_files, n_dirs``: files and directories anywhere below each directory of ``files(path)``; the root is ''."""
     parts = F.split("path", "/")

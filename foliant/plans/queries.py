@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from foliant.functions import calc, periods, text
 from foliant.functions.python_text import as_column, highlight_pattern, snippet, title_form
-from foliant.operators import bm25, changes, evaluate, layout, pages as pages_, passages, routing, statistics, trees
+from foliant.operators import bm25, changes, evaluate, layout, pages as pages_, passages, routing, statistics, tree_rules, trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,12 +38,11 @@ UNITS = f"u AS (SELECT doc_id, lang, source, {TOK.format('text')} AS terms FROM
 BM25 = """, p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM u) GROUP BY ALL),
 l AS (SELECT doc_id, len(terms) AS len FROM u),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tok}) AS term FROM q) GROUP BY ALL)"""
-WORDS = "list_aggregate(list_slice(string_split(replace(text, chr(10), ' '), ' '), 1, 8), 'string_agg', ' ')"
 
 
 def item_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.array_join(F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 1, 8), " ")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("query"))
+    """Each benchmark item's whole text as a question."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def rounded(scored: DataFrame) -> DataFrame:
@@ -88,7 +87,7 @@ def bm25_topk(spark, sf_dir):
     return _stable(bm25.scores(units(spark, sf_dir), asked, markup=False), 10)
 
 
-@query(f"WITH {UNITS}, q AS (SELECT item_id AS query_id, {WORDS} AS query FROM benchmark)" + BM25_ALL.replace("{k}", "5"))
+@query(f"WITH {UNITS}, q AS (SELECT item_id AS query_id, text AS query FROM benchmark)" + BM25_ALL.replace("{k}", "5"))
 def bm25_multi_query(spark, sf_dir):
     return _stable(bm25.scores(units(spark, sf_dir), item_queries(spark, sf_dir), markup=False), 5)
 
@@ -102,7 +101,7 @@ FROM h JOIN d ON d.query_id = h.query_id AND d.term = h.term JOIN l ON l.doc_id
 SELECT query_id, rank::INT AS rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc) WHERE rank <= 5"""
 
 
-@query(f"WITH {UNITS}, q AS (SELECT item_id AS query_id, {WORDS} AS query FROM benchmark)" + SCOPED)
+@query(f"WITH {UNITS}, q AS (SELECT item_id AS query_id, text AS query FROM benchmark)" + SCOPED)
 def bm25_scoped_topk(spark, sf_dir):
     asked, docs = item_queries(spark, sf_dir), units(spark, sf_dir)
     even = asked.where("query_id % 2 = 0").select("query_id").join(F.broadcast(docs.where("lang = 'en'").select("doc_id")))
@@ -110,7 +109,7 @@ def bm25_scoped_topk(spark, sf_dir):
     return _stable(bm25.scores(docs, asked, even.union(odd), markup=False), 5)
 
 
-PASSAGES = f"""WITH {UNITS}, q AS (SELECT item_id AS query_id, {WORDS} AS query FROM benchmark),
+PASSAGES = f"""WITH {UNITS}, q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
 li AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS unit FROM documents),
 lt AS (SELECT doc_id, unit, {TOK.format('line')} AS terms FROM li),
 pp AS (SELECT doc_id, unit, term, count(*) AS tf FROM (SELECT doc_id, unit, unnest(terms) AS term FROM lt) GROUP BY ALL)
@@ -381,7 +380,7 @@ def exclude_paths(spark, sf_dir):
     return routing.without_excluded(doc_paths(spark, sf_dir), excludes).select("doc_id")
 
 
-@query(f"""WITH q AS (SELECT item_id AS query_id, {WORDS} AS query FROM benchmark), a(group_id, term) AS (VALUES (1, 'the'), (1, 'that'), (1, 'those'), (2, 'en'), (2, 'aux'), (3, 'der'), (3, 'die')),
+@query(f"""WITH q AS (SELECT item_id AS query_id, text AS query FROM benchmark), a(group_id, term) AS (VALUES (1, 'the'), (1, 'that'), (1, 'those'), (2, 'en'), (2, 'aux'), (3, 'der'), (3, 'die')),
 n AS (SELECT query_id, group_id, term, contains(lower(query), term) AS named FROM q, a), t AS (SELECT *, bool_or(named) OVER (PARTITION BY query_id, group_id) AS touched FROM n)
 SELECT DISTINCT query_id, term, 2 AS weight FROM t WHERE touched AND NOT named""")
 def alias_terms(spark, sf_dir):
@@ -389,7 +388,7 @@ def alias_terms(spark, sf_dir):
     return routing.alias_terms(item_queries(spark, sf_dir), aliases)
 
 
-CANDIDATES = f"""WITH q AS (SELECT item_id AS query_id, {WORDS} || ' 1995 src3' AS query FROM benchmark),
+CANDIDATES = f"""WITH q AS (SELECT item_id AS query_id, text || ' 1995 src3' AS query FROM benchmark),
 c AS (SELECT source || '/' || lang AS path, min(text) AS text, count(*)::INT % 3 AS weight FROM documents GROUP BY ALL),
 t AS (SELECT DISTINCT query_id, unnest(list_distinct(regexp_extract_all(lower(query), '[a-z]{{3,}}'))) AS term FROM q),
 s AS (SELECT query_id, path, weight + CASE WHEN contains(path, '1995') OR contains(lower(text), '1995') THEN 3 ELSE 0 END + sum(CASE WHEN contains(lower(path), term) THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), term) THEN 2 ELSE 0 END) AS score FROM t, c GROUP BY query_id, path, weight, text)"""
@@ -436,7 +435,7 @@ def route_stats(spark, sf_dir):
     return routing.route_stats(_routes(spark, sf_dir))
 
 
-JUDGE = f"""WITH {UNITS}, q AS (SELECT item_id AS query_id, {WORDS} AS query FROM benchmark)""" + BM25_ALL.split("SELECT query_id, rank")[0] + """, rk AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc) WHERE rank <= 5),
+JUDGE = f"""WITH {UNITS}, q AS (SELECT item_id AS query_id, text AS query FROM benchmark)""" + BM25_ALL.split("SELECT query_id, rank")[0] + """, rk AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc) WHERE rank <= 5),
 j AS (SELECT rk.query_id, rank, contains(lower(regexp_replace(d.text, '\\s+', '', 'g')), lower(regexp_replace(b.text, '\\s+', '', 'g'))) AS relevant FROM rk JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = rk.query_id),
 f AS (SELECT item_id AS query_id, min(rank) AS first_rank FROM benchmark LEFT JOIN (SELECT * FROM j WHERE relevant) j ON j.query_id = item_id GROUP BY item_id)"""
 
@@ -548,16 +547,20 @@ def bounded_edit_distance(spark, sf_dir):
     return pairs.select(F.col("a.n_name").alias("a"), F.col("b.n_name").alias("b"), text.bounded_edit_distance("a.n_name", "b.n_name", 6).alias("distance"))
 
 
-@query("""WITH m AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ord, o_orderkey % 3 + 1 AS level, CASE WHEN o_custkey % 3 = 0 THEN 'Page ' || o_orderkey ELSE o_orderpriority || o_orderkey % 9 END AS title, o_orderkey % 50 AS page FROM orders),
-f AS (SELECT *, max(page) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM m), k AS (SELECT * FROM f WHERE most IS NULL OR page >= most),
-s AS (SELECT doc_id, count(*) AS kept, avg(CASE WHEN regexp_matches(lower(trim(title)), '^(?:page|p\\.?|slide|sheet|untitled|bookmark|section)?\\s*[0-9]*$') THEN 1 ELSE 0 END) AS generic, count(DISTINCT lower(title)) AS names, count(DISTINCT level) AS levels FROM k GROUP BY doc_id)
-SELECT doc_id, kept, CASE WHEN kept < 3 OR generic > 0.5 OR names < 0.5 * kept THEN 'IGNORE' WHEN levels < 2 OR kept < 8 THEN 'SKELETON' ELSE 'FULL' END AS tier FROM s""".replace("\\\\", "\\"))
+@query(r"""WITH m AS (SELECT o_custkey AS doc_id, o_orderkey AS ord, o_orderkey % 3 + 1 AS level, o_orderkey % 50 AS page,
+CASE o_custkey % 3 WHEN 0 THEN 'Page ' || o_orderkey WHEN 1 THEN o_orderpriority || o_orderkey % 9 ELSE translate(substr(md5(o_orderkey::VARCHAR), 1, 8), '0123456789', 'ghjknopqrs') END AS title FROM orders),
+f AS (SELECT *, max(page) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM m WHERE page >= 1), k AS (SELECT * FROM f WHERE most IS NULL OR page >= most),
+l AS (SELECT *, lag(level) OVER (PARTITION BY doc_id ORDER BY ord) < level AS nests, regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') AS form FROM k),
+t AS (SELECT doc_id, regexp_replace(form, '[0-9]+', '#', 'g') AS template, count(*) AS n, min(ord) AS seen FROM (SELECT doc_id, ord, regexp_replace(lower(title), '([^a-z0-9]+)', '~', 'g') AS form FROM k) GROUP BY ALL),
+b AS (SELECT doc_id, replace(arg_max(template, n * 1000000000 - seen), '~', '') AS template, max(n) AS n FROM t GROUP BY doc_id),
+s AS (SELECT doc_id, count(*) AS kept, count(*) FILTER (WHERE title LIKE 'Page %') AS generic, count(DISTINCT form) AS forms, bool_or(coalesce(nests, false)) AS nests FROM l GROUP BY doc_id)
+SELECT doc_id::VARCHAR AS doc_id, kept, CASE WHEN kept < 3 OR 2 * generic >= kept OR 4 * forms <= kept OR (contains(b.template, '#') AND 2 * b.n >= kept) THEN 'IGNORE' WHEN nests AND kept >= 6 THEN 'FULL' ELSE 'SKELETON' END AS tier FROM s JOIN b USING (doc_id)""")
 def bookmark_tier(spark, sf_dir):
-    key = F.col("o_orderkey")
-    order = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    title = F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("Page "), key.cast("string"))).otherwise(F.concat("o_orderpriority", (key % 9).cast("string")))
-    marks = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), order.alias("ord"), (key % 3 + 1).alias("level"), title.alias("title"), (key % 50).alias("page"))
-    return trees.bookmark_tier(marks)
+    key, kind = F.col("o_orderkey"), F.col("o_custkey") % 3
+    letters = F.translate(F.substring(F.md5(key.cast("string")), 1, 8), "0123456789", "ghjknopqrs")
+    title = F.when(kind == 0, F.concat(F.lit("Page "), key.cast("string"))).when(kind == 1, F.concat("o_orderpriority", (key % 9).cast("string"))).otherwise(letters)
+    marks = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), key.alias("ord"), (key % 3 + 1).alias("level"), title.alias("title"), (key % 50).alias("page"))
+    return tree_rules.bookmark_tier(marks, marks.select("doc_id").distinct().withColumn("pages", F.lit(50)))
 
 
 COSINE = """WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), d AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS cosine FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.97)"""

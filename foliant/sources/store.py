@@ -12,7 +12,9 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-TABLES = ["pages", "nodes", "passages", "postings", "documents"]
+TABLES = ["pages", "nodes", "passages", "postings", "lengths", "passage_postings", "passage_lengths", "documents"]
+#: Tables whose files are sorted within a bucket, so that a filter skips row groups.
+SORTED = {"postings": "term", "passage_postings": "term"}
 BUCKETS = 64
 
 
@@ -50,7 +52,7 @@ class Store:
             fresh = fresh.withColumn("bucket", _bucket(F.col("doc_id")))
         if old is None:
             if fresh is not None:
-                fresh.write.partitionBy("bucket").parquet(path)
+                self._sorted(name, fresh).write.partitionBy("bucket").parquet(path)
             return
         touched = [r["bucket"] for r in gone.select(_bucket(F.col("doc_id")).alias("bucket")).distinct().collect()]  # BUCKETS at most
         kept = old.where(F.col("bucket").isin(touched)).join(gone.select("doc_id"), "doc_id", "left_anti")
@@ -59,12 +61,16 @@ class Store:
         now.write.mode("overwrite").parquet(staged)  # a table cannot be read and overwritten at once
         rows = self.spark.read.schema(now.schema).parquet(staged)
         empty = set(touched) - {r["bucket"] for r in rows.select("bucket").distinct().collect()}
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        self._sorted(name, rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
         fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
         fs = fs_path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
         for p in [staged, *(f"{path}/bucket={b}" for b in empty)]:
             fs.delete(fs_path(p), True)
 
+    def _sorted(self, name: str, rows: DataFrame) -> DataFrame:
+        """Rows by bucket, each bucket in one task's files."""
+        return rows.repartition("bucket").sortWithinPartitions("bucket", *([SORTED[name]] if name in SORTED else []))
+
     def upsert(self, tables: dict[str, DataFrame]) -> None:
         """Write documents with their other tables; what was there of the same ids goes."""
         ids = tables["documents"].select("doc_id").distinct()

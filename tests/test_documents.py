@@ -27,20 +27,51 @@ Market risk remains.
 """
 
 
-def test_page_marks():
-    p = pages.parse(REPORT)
-    assert p.mode == "marker" and len(p.pages) == 4 and p.pages[2] == "" and p.furniture == [(1, "pagenumber", "i")]
-    assert p.pages[1].startswith("| Item | 2023 |\n|---|---|\n| Sales")
-    q = pages.parse("a\r\n<!-- PageBreak -->\nb <!-- PageBreak --> c")
-    assert q.mode == "pagebreak" and q.pages == ["a", "b", "c"]
-    assert pages.pseudo_pages_of(["x" * 10, "", "y", "```", "", "z" * 30, "```", "w"], 5) == [1, 2, 2, 2, 2, 2, 2, 3]
+def paged(spark, *texts):
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string")
+    out = {}
+    for r in pages.pages(docs).orderBy("doc_id", "page").collect():
+        out.setdefault(r.doc_id, []).append(r)
+    return [out[str(i)] for i in range(len(texts))]
+
+
+def test_page_marks(spark):
+    report, breaks, late, no, mixed = paged(spark, REPORT, "a\r\n<!-- PageBreak -->\nb <!-- PageBreak --> c", 'intro\n<!-- page: 2 --> two <!-- PageHeader="H &amp;\nx" --> more\n<!-- note -->\nlast<!-- PAGE:3 -->', None, "<!-- a <!-- page: 3 -->x")
+    assert [p.mode for p in report] == ["marker"] * 4 and report[2].markdown == "" and report[0].label == "i" and report[1].label is None
+    assert report[1].markdown.startswith("| Item | 2023 |\n|---|---|\n| Sales")
+    assert [p.markdown for p in breaks] == ["a", "b", "c"] and breaks[0].mode == "pagebreak"
+    assert [p.markdown for p in late] == ["", "intro\ntwo  more\nlast"] and late[1].headers == ["H &\nx"]
+    assert [p.markdown for p in no] == [""] and [p.markdown for p in mixed] == ["", "", "x"][-len(mixed):]
+    lines = spark.createDataFrame([("\n".join(["x" * 10, "", "y", "```", "", "z" * 30, "```", "w"]),)], "t string")
+    assert lines.select(pages.pseudo_pages("t", 5)).first()[0] == [1, 2, 2, 2, 2, 2, 2, 3]
+
+
+def test_pseudo_pages_of_many_lines(spark):
+    import random
+
+    rng = random.Random(4)
+    lines = [rng.choice(["", "# head", "some words here", "```", "| a |", "x" * rng.randint(1, 90)]) for _ in range(3000)]
+    want, page, size, fenced = [], 1, 0, False
+    for line in lines:
+        if not fenced and (size >= 200 and (not line or line.startswith("# ")) or size >= 400):
+            page, size = page + 1, 0
+        fenced ^= line.startswith("```")
+        size += len(line) + 1
+        want.append(page)
+    got = spark.createDataFrame([("\n".join(lines),)], "t string").select(pages.pseudo_pages("t", 200)).first()[0]
+    assert got == want
 
 
 def test_tables_are_whole_on_each_page():
-    one, two = pages.repaired_tables(["<table><tr><th>A</th><th>B</th></tr><tr><td>1</td>", "<td>2</td></tr></table>"])
+    one, two = pages.whole_tables(["<table><tr><th>A</th><th>B</th></tr><tr><td>1</td>", "<td>2</td></tr></table>"])
     assert one.endswith("</tr></table>") and two.startswith("<table>\n<tr><th>A</th><th>B</th></tr><tr>\n<td>2")
-    one, two = pages.repaired_tables(["<table><tr><th>A</th></tr><tr><td>1</td></tr></table>", "<table><tr><td>2</td></tr></table>"])
-    assert "<th>A</th>" in two and pages.masked_lines(["<table>", "# no", "</table>", "# yes"]) == ["", "", "", "# yes"]
+    one, two = pages.whole_tables(["<table><tr><th>A</th></tr><tr><td>1</td></tr></table>", "<table><tr><td>2</td></tr></table>"])
+    assert "<th>A</th>" in two and pages.without_blocks(["<table>", "# no", "</table>", "# yes"]) == ["", "", "", "# yes"]
+    wide = "<table><tr><th colspan=2>A</th></tr><tr><td>1</td><td>2</td></tr></table>"
+    assert "colspan" in pages.whole_tables([wide, " <table><tr><td>3</td><td>4</td></tr></table>"])[1]
+    assert "colspan" not in pages.whole_tables([wide, "<table><tr><td>3</td></tr></table>"])[1]
+    assert "colspan" not in pages.whole_tables([wide, "", "<table><tr><td>3</td><td>4</td></tr></table>"])[2]
+    assert pages.without_blocks(["<figure>", "a", "</table>", "# b"]) == ["<figure>", "a", "</table>", "# b"]
 
 
 def test_passages():
@@ -52,6 +83,16 @@ def test_passages():
     assert len(cut) > 1 and all(t.startswith("| a | b |\n|---|---|") for _, _, t in cut)
     cut = passages.split("# A\n" + "word " * 80 + "\n# B\nshort")
     assert [t[:3] for _, _, t in cut] == ["# A", "# B"] and passages.split(" \n ") == []
+    squeezed = lambda page: [" ".join(t.split()) for _, _, t in passages.split(page)]
+    assert squeezed("## A\n\n" + "y" * 500 + "\n\n### B\n\n" + "z" * 500) == ["## A " + "y" * 500, "### B " + "z" * 500]
+    small = "## Two\n\nshort\n\n| a |\n|---|\n| 1 |\n\n## Three\n\nlast"
+    assert squeezed("# T\n\n## One\n\n" + "x" * 350 + "\n\n" + small) == ["# T ## One " + "x" * 350, " ".join(small.split())]
+    rows = "".join(f"<tr><td>row {i}</td><td>{i * 7}</td></tr>" for i in range(60))
+    cut = passages.split(f"intro<table><tr><th>Item</th><th>Value</th></tr>{rows}</table>tail")
+    assert cut[0][2] == "intro" and cut[-1][2] == "tail" and sum(t.count("<td>row ") for _, _, t in cut) == 60
+    assert all(t.startswith("<table><tr><th>Item</th><th>Value</th></tr><tr>") and t.endswith("</table>") and passages.size(t) <= 800 for _, _, t in cut[1:-1])
+    cut = passages.split("w" * 2000 + " one. Two three.")
+    assert [len(t) for _, _, t in cut] == [800, 800, 416] and "".join(t for _, _, t in cut) == "w" * 2000 + " one. Two three."
 
 
 def frame(spark, rows, schema):
@@ -196,5 +237,5 @@ def test_watching_a_folder(spark, tmp_path):
 
 def test_sql_functions(spark):
     register_sql(spark)
-    assert spark.sql("SELECT foliant_period('Q3 2022') AS p").first().p == "2022Q3"
+    assert "**profit**" in spark.sql("SELECT foliant_snippet('the profit of the year', 'profit') AS p").first().p
     assert spark.sql("SELECT count(*) AS n FROM foliant_passages('# A\n\ntext')").first().n == 1

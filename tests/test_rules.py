@@ -18,9 +18,17 @@ def test_fake_and_continued_titles(spark):
     assert titles(R.drop_fake_titles(nodes(spark, [("0", None, 1, "5%", 1, 3)]))) == [("5%", 1, 3, 1)]
 
 
-def test_containers():
-    forest = [R.Node("一、概述", 1, 2), R.Node("1. Scope", 3, 4), R.Node("Free", 6, 7)]
-    assert [n.title for n in R.with_containers(forest, [(3, "二、范围"), (1, "一、概述"), (6, "三、其他")])] == ["一、概述", "二、范围", "1. Scope", "Free"]
+def test_fake_first_nodes(spark):
+    tree = nodes(spark, [("0", None, 1, "Aims", 1, 9), ("1", "0", 2, "5%", 1, 3), ("2", "1", 3, "Deep", 2, 3), ("3", "0", 2, "Base", 4, 6), ("4", None, 1, "Aims (continued)", 10, 12), ("5", "4", 2, "Cost", 10, 12), ("6", "5", 3, "Cost (续)", 11, 12), ("7", "6", 4, "Debt", 12, 12)])
+    assert titles(R.drop_fake_titles(tree)) == [("Aims", 1, 12, 1), ("Deep", 2, 3, 2), ("Base", 4, 12, 2), ("Cost", 10, 12, 2), ("Debt", 12, 12, 3)]
+
+
+def test_containers(spark):
+    forest = nodes(spark, [("0", None, 1, "一、概述", 1, 2), ("1", None, 1, "1. Scope", 3, 4), ("2", "1", 2, "Below", 4, 4), ("3", None, 1, "Free", 6, 7)])
+    heads = spark.createDataFrame([("d", 3, "二、范围"), ("d", 1, "一、概述"), ("d", 6, "三、其他")], "doc_id string, page int, title string")
+    got = R.with_containers(forest, heads)
+    assert [(t, d) for t, _, _, d in titles(got)] == [("一、概述", 1), ("二、范围", 1), ("1. Scope", 1), ("Below", 2), ("Free", 1)]
+    assert {r.title: r.parent_id for r in got.collect()}["Below"] == "0002"
 
 
 def test_thinning(spark):
@@ -42,6 +50,7 @@ def test_bookmarks_and_grafts(spark):
     counts = spark.createDataFrame([("d", 10)], "doc_id string, pages int")
     base = R.bookmark_nodes(marks, counts)
     assert titles(base) == [("One", 1, 5, 1), ("Sub", 3, 5, 2), ("Two", 6, 10, 1)]
+    assert {r.title: r.parent_id for r in base.collect()} == {"One": None, "Sub": "0000", "Two": None}
     found = nodes(spark, [("0", None, 1, "Detail", 7, 8), ("1", None, 1, "Two", 6, 9), ("2", None, 1, "Wide", 4, 9)])
     assert titles(R.graft(base, found)) == [("One", 1, 5, 1), ("Sub", 3, 5, 2), ("Two", 6, 10, 1), ("Detail", 7, 8, 2)]
 
@@ -63,3 +72,17 @@ def test_policy(spark):
 def test_suggestions():
     assert suggested_questions({"questions": ["1. What is it", "what is it?", {"question": "利润是多少"}, "x"]}) == ["What is it?", "利润是多少？"]
     assert suggested_questions(["How much?"], ["how much"]) == [] and suggested_questions("no") == []
+
+
+def test_bookmark_tiers(spark):
+    rows = [("flat", [(1, f"Topic {c} of all") for c in "abcdefg"]), ("deep", [(1 + i % 2, w) for i, w in enumerate("aims base cost debt ends fees gain".split())]), ("pages", [(1, f"Page {i}") for i in range(8)]),
+            ("files", [(1, f"doc {i}-{i}") for i in range(8)]), ("chapters", [(1, f"Chapter {i}") for i in range(8)]), ("few", [(1, "a"), (1, "b")]), ("same", [(1, "Note")] * 8)]
+    marks = spark.createDataFrame([(d, i, level, t, i + 1) for d, found in rows for i, (level, t) in enumerate(found)], "doc_id string, ord int, level int, title string, page int")
+    counts = marks.select("doc_id").distinct().selectExpr("doc_id", "20 as pages")
+    got = {r.doc_id: r.tier for r in R.bookmark_tier(marks, counts).collect()}
+    assert got == {"flat": "SKELETON", "deep": "FULL", "pages": "IGNORE", "files": "IGNORE", "chapters": "SKELETON", "few": "IGNORE", "same": "IGNORE"}
+
+
+def test_paths_of_deep_trees(spark):
+    deep = nodes(spark, [(str(i), str(i - 1) if i else None, i + 1, f"t{i}", 1, 2) for i in range(24)])
+    assert max(len(r.path_ids) for r in trees.with_path_ids(deep).collect()) == 24

@@ -59,17 +59,25 @@ def test_names_and_replies():
     assert P.close_names("annual report 2021", ["annual report 2022", "other"]) == ["annual report 2022"]
 
 
-@pytest.mark.parametrize("given,want", [
-    ("Acme_AR2024", "FY2024"), ("QMR Q3 2022", "2022Q3"), ("3Q22 results", "2022Q3"), ("1H 2023", "1H2023"), ("Interim Report 2021", "1H2021"), ("2H24", "2H2024"), ("FY22", "FY2022"),
-    ("Mar 2022", "2022M03"), ("2022-03", "2022M03"), ("2022年3月", "2022M03"), ("2021 vs 2022", None), ("Q1 and Q2 2023", None), ("no year", None), ("", None), ("Mar-22 annual", "FY2022"),
-])
-def test_periods(given, want):
-    assert periods.period_of(given) == want
+PERIODS = [
+    ("Acme_AR2024", "FY2024"), ("QMR Q3 2022", "2022Q3"), ("3Q22 results", "2022Q3"), ("1H 2023", "1H2023"), ("Interim Report 2021", "1H2021"), ("2H24", "2H2024"), ("FY22", "FY2022"), ("QMR Q3'22", "2022Q3"), ("QMR_2022_Q1", "2022Q1"),
+    ("Mar 2022", "2022M03"), ("2022-03", "2022M03"), ("2022年3月", "2022M03"), ("2021 vs 2022", None), ("Q1 and Q2 2023", None), ("no year", None), ("", None), (None, None), ("na", None), ("Mar-22 annual", "FY2022"), ("202203", "2022M03"),
+    ("2022半年报", "1H2022"), ("Results for 6 months to 2022", "1H2022"), ("six months ended June 2022", "1H2022"), ("first half 2022", "FY2022"), ("second half 2022", "2H2022"), ("第三季度 2022", "2022Q3"), ("03/2022", "2022M03"), ("2022M3", "2022M03"),
+    ("Book YE Dec 2022", "FY2022"), ("Jan 2022 to Feb 2022", None), ("2022 Sept", "2022M09"), ("annual", None), ("不详", None),
+]
+
+
+def test_periods(spark):
+    frame = spark.createDataFrame(PERIODS, "given string, want string")
+    for r in frame.select("given", "want", periods.period("given").alias("got")).collect():
+        assert r.got == r.want, r
 
 
 def test_period_columns(spark):
-    assert periods.period_of("Factbook Q2 2023", quarter_as_half=True) == "1H2023" and periods.period_of("Factbook Q4 2023", quarter_as_half=True) == "FY2023"
+    assert [value(spark, periods.period(F.lit(f"Book Q{q} 2023"), quarter_as_half=True)) for q in (2, 3, 4)] == ["1H2023", "2023Q3", "FY2023"]
+    assert value(spark, periods.period(F.lit("2024"), F.lit("interim"))) == "1H2024"
     assert value(spark, periods.report_type(F.lit(None).cast("string"), F.lit("2022Q3"))) == "quarterly" and value(spark, periods.report_type(F.lit("Interim report"), F.lit(None).cast("string"))) == "interim"
+    assert value(spark, periods.report_type(F.lit("QMR pack"), F.lit(None).cast("string"), F.lit("qmr"))) == "qmr"
     assert value(spark, periods.question_periods(F.lit("from 2021 to FY22 and 2021"))) == ["2021", "2022"]
     facts = value(spark, periods.name_facts(F.lit("X_IR2023.pdf")))
     assert (facts.period, facts.report_type) == ("1H2023", "interim")
