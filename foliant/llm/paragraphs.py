@@ -26,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from foliant.llm.components import components, dealt_anew
-from foliant.llm.storage import drop_path, written
+from foliant.llm.filters import filter_of, may_hold
+from foliant.llm.storage import delete, written
 from foliant.llm.tokens import slices
 from foliant.llm.wordhash import Words, mix, shingles, sliding, word_hashes
 
@@ -37,8 +38,6 @@ BANDS = 2
 CHUNK = 512
 #: Words beside an occurrence that it is grown over; bytes that are compared of a word's hash.
 SIDE, HELD = SPREAD - 1, 3
-#: Bits of the filter of wanted paragraphs for each of them, and at most.
-FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 30
 SEEDS = [0x51ED27, 0xC0FFEE]
 N_SHINGLES = WORDS - SHINGLE + 1
 MOST = np.uint64((1 << 64) - 1)
@@ -127,32 +126,9 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _bitmap(wanted: DataFrame, n: int) -> np.ndarray:
-    """A filter of the longs ``wanted(sig)``: of a size that is bounded, and merely lets more pass when full."""
-    size = 1 << min(MOST_FILTER_BITS.bit_length() - 1, max(16, (FILTER_BITS * n).bit_length()))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size // 8, np.uint8)
-        for batch in batches:
-            at = mix(batch.column("sig").to_numpy().view(np.uint64), 5) % np.uint64(size)
-            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
-
-    out = np.zeros(size // 8, np.uint8)
-    for r in wanted.repartition(4).mapInArrow(read, "bits binary").toLocalIterator():
-        out |= np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-def _in_filter(sig: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """Places of the signatures that may be in the filter ``held``."""
-    at = mix(sig, 5) % np.uint64(8 * len(held))
-    return np.flatnonzero(held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
-
-
 def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``sig, content`` (32 bits of each shingle's hash) of the paragraphs of ``docs`` whose signature is in ``wanted(sig)``."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, wanted.count()))
+    bits = docs.sparkSession.sparkContext.broadcast(filter_of(wanted.select(F.col("sig").alias("key"))))
     schema = pa.schema([("sig", pa.int64()), ("content", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +137,7 @@ def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for some in slices(batch, "text", 1 << 20):
                 _, _, sets = paragraphs_of(some.column("text"))
                 sig = signature(sets)
-                hit = _in_filter(sig, held)
+                hit = may_hold(held, sig)
                 hit = hit[np.unique(sig[hit], return_index=True)[1]]
                 rows = np.ascontiguousarray(sets[hit].astype("<u4"))
                 content = pa.array([r.tobytes() for r in rows], pa.binary())
@@ -173,7 +149,7 @@ def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``doc_id, row, word, sig, around``: every occurrence in ``docs`` of what may be in ``wanted(sig)``, repeats in a text too."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, wanted.count()))
+    bits = docs.sparkSession.sparkContext.broadcast(filter_of(wanted.select(F.col("sig").alias("key"))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
@@ -182,7 +158,7 @@ def occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 words = word_hashes(some.column("text"))
                 text, word, sets = paragraphs_of(some.column("text"), again=True, words=words)
                 sig = signature(sets)
-                hit = _in_filter(sig, bits.value)
+                hit = may_hold(bits.value, sig)
                 text, word, sig = text[hit], word[hit], sig[hit]
                 near = pa.array([r.tobytes() for r in around(words, text, word)], pa.binary())
                 columns = [some.column("doc_id").take(pa.array(text)), pa.array(row + text), pa.array(word.astype(np.int32)), _long(sig), near]
@@ -299,23 +275,17 @@ def _beside(found: DataFrame, own: DataFrame) -> DataFrame:
     """``sig, own_around``: what is around the first occurrence of each of ``own``; other rows do not reach an exchange."""
     places = own.select("sig", F.col("own.row").alias("row"), F.col("own.word").alias("word"))
     key = F.xxhash64("sig", "row", "word")
-    bits = found.sparkSession.sparkContext.broadcast(_bitmap(places.select(key.alias("sig")), places.count()))
+    bits = found.sparkSession.sparkContext.broadcast(filter_of(places.select(key.alias("key"))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = _in_filter(batch.column("key").to_numpy().view(np.uint64), bits.value)
+            hit = may_hold(bits.value, batch.column("key").to_numpy())
             yield batch.select(["sig", "row", "word", "around"]).take(pa.array(hit))
 
     some = found.select("sig", "row", "word", "around", key.alias("key")).mapInArrow(read, "sig long, row long, word int, around binary")
     return some.join(places, ["sig", "row", "word"]).select("sig", F.col("around").alias("own_around"))
 
 
-def _delete(table: DataFrame) -> None:
-    """Delete a written table that is not read again."""
-    for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
-        drop_path(table.sparkSession, path)
-
-
 def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, row, word, class_id, kept, start, end``: each occurrence of a paragraph of ``docs(doc_id, text)`` whose class occurs in another row.
 
@@ -342,8 +312,7 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> Data
     rows = all_.groupBy("sig").agg(F.min("row").alias("low"), F.max("row").alias("high"))
     known = rows.join(roots.withColumnRenamed("node", "sig"), "sig", "left").where("low != high or root is not null")
     known = written(known.select("sig", F.coalesce("root", "sig").alias("class_id")), "paragraph-classes")
-    for done in (all_, met, met_at_all, wanted, links, roots):
-        _delete(done)
+    delete(all_, met, met_at_all, wanted, links, roots)
     found = written(occurrences(docs, known.select("sig")), "paragraphs-everywhere")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "word")
     own = found.groupBy("sig").agg(F.min(place).alias("own"), F.min("row").alias("low"), F.max("row").alias("high"))

@@ -18,8 +18,10 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from foliant.functions.arrays import let, scan
 from foliant.llm import trees
-from foliant.llm.spans import digits, luhn, matches, share, spans
+from foliant.llm.spans import digits, greedy, luhn, matches, part_of, pieces_of, share, spans
+from foliant.llm.storage import free_name
 
 #: Kinds in the order in which spans of one start are listed; the first four are the base rules.
 KINDS = ["email", "ip", "card", "phone", "ssn", "iban", "ipv6"]
@@ -32,7 +34,7 @@ BASE = {
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]"),
 }
 WIDER = {
-    "email": (rf"(?<!{LOCAL}){LOCAL}{{1,64}}+ ?[\[(](?:at|AT)[\])] ?{LABEL}{{1,63}}+(?: ?(?:[\[(](?:dot|DOT)[\])]|\.) ?{LABEL}{{1,63}}+){{1,8}}+", r"[\[(](?:at|AT)[\])]"),
+    "email": (rf"(?<!{LOCAL}){LOCAL}++ ?[\[(](?:at|AT)[\])] ?{LABEL}++(?: ?(?:[\[(](?:dot|DOT)[\])]|\.) ?{LABEL}++)++", r"[\[(](?:at|AT)[\])]"),
     "card": (r"(?<![0-9A-Za-z])[0-9](?:[ .-]?[0-9]){13,18}+(?![0-9A-Za-z])", r"[0-9](?:[ .-]?[0-9]){13}"),
     "phone": (r"(?<![0-9A-Za-z+.-])(?:00[0-9]{1,3}[ -]?)?+\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z.-])", r"[0-9]{2}\)?[ .-][0-9]{3}"),
     "ssn": (r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", r"[0-9]{3}-[0-9]{2}-"),
@@ -46,6 +48,8 @@ ABOUT = {
 OTHER = r"(?i)order|invoice|version|ver|ref|isbn|sku|part|build|date|page|\bno\b|\bid\b|item|model"
 FEATURES = ["kind", "length", "digit", "letter", "upper", "gap", "luhn", "about", "other", "inside", "distinct", "groups", "year"]
 PRECISION = 0.97
+#: A longer number has no check digit.
+LUHN_DIGITS = 64
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -70,7 +74,7 @@ def features(kind: str, s: Column) -> list[Column]:
     figures = digits(v)
     return [
         F.lit(float(KINDS.index(kind))), F.length(v).cast("double"), share(v, "[0-9]"), share(v, "[A-Za-z]"), share(v, "[A-Z]"), share(v, "[ .()-]"),
-        F.when(F.length(figures) >= 8, F.when(luhn(v), 1.0).otherwise(0.0)).otherwise(0.0),
+        F.when(F.length(figures).between(8, LUHN_DIGITS), F.when(luhn(v), 1.0).otherwise(0.0)).otherwise(0.0),
         matches(s["before"], ABOUT[kind]), matches(s["before"], OTHER),
         matches(F.right(s["before"], F.lit(1)), "[A-Za-z0-9/_=.]") + matches(F.left(s["after"], F.lit(1)), "[A-Za-z0-9/_=]"),
         F.size(F.array_distinct(F.split(figures, ""))).cast("double"), F.size(F.split(v, "[ .()-]+")).cast("double"),
@@ -147,58 +151,53 @@ def fitted(spark: SparkSession) -> tuple[trees.Ensemble, dict[str, float]]:
     return _fitted
 
 
-FOUND = "array<struct<kind:string,start:long,end:long,value:string,score:double>>"
+FOUND = "struct<kind:string,start:long,end:long,value:string,score:double>"
 
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``pii_base`` and ``pii_spans``: arrays of ``kind, start, end, value, score``.
 
     Positions are code points of the whole text, ends exclusive; both arrays are in order of
-    start, then kind. ``pii_spans`` holds the base spans and those the trees select. Null or
-    empty text: empty arrays. Columns of these two names are replaced, others are kept.
+    start, then kind. ``pii_spans`` holds the base spans and those the trees select: in order
+    of score, then length, start and kind, what overlaps no base span and nothing selected before it.
+    Null or empty text: empty arrays. Very long texts are read whole, in time that grows with their
+    length. Repeated rows are alike. Columns of these two names are replaced, others are kept.
     """
     model, least = fitted(docs.sparkSession)
     raw = F.col(text).cast("string")
+    described_, chosen = free_name(docs, "pii_candidates"), free_name(docs, "pii_chosen")
 
     def typed(kind: str, items: Column) -> Column:
         return F.transform(items, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(1.0).alias("score")))
 
     def in_order(items: Column) -> Column:
         place = F.array(*[F.lit(k) for k in KINDS])
-        keyed = F.transform(items, lambda s: F.struct(s["start"].alias("start"), F.array_position(place, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"), s["score"].alias("score")))
-        return F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["score"].alias("score")))
+        keyed = F.transform(items, lambda s: F.struct(s["start"].alias("start"), F.array_position(place, s["kind"]).alias("rank"), s["end"].alias("end"), s.alias("span")))
+        return F.transform(F.array_sort(keyed), lambda s: s["span"])
 
     def described(kind: str) -> Column:
         def one(s: Column) -> Column:
             of = F.array(*[x.cast("double") for x in features(kind, s)])
-            return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), of.alias("x"))
+            return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), of.alias("x"))
 
         return F.transform(spans(raw, *WIDER[kind]), one)
 
-    score = model.sql([f"s.x[{i}]" for i in range(len(FEATURES))])
-
-    def proposed(kind: str) -> Column:
-        items = F.expr(f"transform(pii_of_{kind}, s -> struct('{kind}' as kind, s.start as start, s.end as end, s.value as value, {score} as score))")
-        return F.filter(items, lambda s: s["score"] >= least[kind])
-
     base = in_order(F.concat(*[typed(k, x) for k, x in base_spans(raw).items()]))
-    out = docs.withColumns({"pii_base": base} | {f"pii_of_{k}": described(k) for k in WIDER})
-    out = out.withColumn("pii_more", F.concat(*[proposed(k) for k in WIDER])).drop(*[f"pii_of_{k}" for k in WIDER])
+    out = docs.withColumns({"pii_base": base, described_: F.concat(*[described(k) for k in WIDER])})
+    score = model.sql([f"s.x[{i}]" for i in range(len(FEATURES))])
+    scored = F.expr(f"transform(`{described_}`, s -> struct(s.kind as kind, s.start as start, s.end as end, s.value as value, {score} as score))")
+    cut = F.create_map(*[x for k, v in least.items() for x in (F.lit(k), F.lit(v))])
+    out = out.withColumn(chosen, F.when(F.size(described_) > 0, F.filter(scored, lambda s: s["score"] >= cut[s["kind"]]))).drop(described_)
 
-    def apart(a: Column, b: Column) -> Column:
-        return (a["end"] <= b["start"]) | (b["end"] <= a["start"])
+    def marked(items: str | Column, given: bool) -> Column:
+        return F.transform(items, lambda s: F.struct(*[s[f].alias(f) for f in ("kind", "start", "end", "value", "score")], F.lit(given).alias("given")))
 
-    def better(a: Column, b: Column) -> Column:
-        """Whether ``a`` goes before ``b``: by score, then length, start and kind."""
-        key = lambda s: F.struct(-s["score"], s["start"] - s["end"], s["start"], s["kind"])
-        return key(a) < key(b)
+    def order(s: Column) -> Column:
+        return F.struct((~s["given"]).alias("more"), (-s["score"]).alias("score"), (s["start"] - s["end"]).alias("size"), s["start"].alias("start"), s["kind"].alias("kind"))
 
-    free = F.filter("pii_more", lambda s: F.forall("pii_base", lambda b: apart(s, b)))
-    best = F.filter("pii_more", lambda s: ~F.exists("pii_more", lambda o: ~apart(s, o) & better(o, s)))
-    out = out.withColumn("pii_more", F.when(F.size("pii_more") > 0, free).otherwise(F.col("pii_more")))
-    out = out.withColumn("pii_more", F.when(F.size("pii_more") > 1, best).otherwise(F.col("pii_more")))
-    more = F.when(F.size("pii_more") > 0, in_order(F.concat("pii_base", "pii_more"))).otherwise(F.col("pii_base"))
-    return out.withColumn("pii_spans", more).drop("pii_more")
+    kept = greedy(F.concat(marked("pii_base", True), marked(chosen, False)), FOUND.replace("score:double", "score:double,given:boolean"), order, lambda s: s["given"])
+    more = in_order(F.transform(kept, lambda s: F.struct(*[s[f].alias(f) for f in ("kind", "start", "end", "value", "score")])))
+    return out.withColumn("pii_spans", F.when(F.size(chosen) > 0, more).otherwise(F.col("pii_base"))).drop(chosen)
 
 
 def listed(items: str | Column) -> Column:
@@ -210,16 +209,16 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with each span of ``pii_spans`` replaced by its kind in brackets, as ``[EMAIL]``.
 
     Of overlapping spans the text from the first start to the last end is replaced once, by
-    the kind of the first. A null text stays null.
+    the kind of the first. A null text stays null; an empty one, and one without spans, stays as it is.
     """
     raw = F.col(text).cast("string")
 
-    def step(done: Column, s: Column) -> Column:
-        fresh = s["start"] >= done["at"]
-        gap = F.substr(raw, (done["at"] + 1).cast("int"), F.greatest(s["start"] - done["at"], F.lit(0)).cast("int"))
-        out = F.when(fresh, F.concat(done["out"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))).otherwise(done["out"])
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), out.alias("out"))
+    def whole(pieces: Column) -> Column:
+        def step(at: Column, s: Column) -> tuple[Column, Column]:
+            fresh = F.when(s["start"] >= at, F.concat(part_of(pieces, at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+            return F.greatest(at, s["end"]), fresh
+
+        last = F.array_max(F.transform("pii_spans", lambda s: s["end"]))
+        return F.concat(F.array_join(scan(F.col("pii_spans"), F.lit(0).cast("long"), step, "string"), ""), part_of(pieces, last, F.length(raw).cast("long")))
 
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    rest = lambda done: F.concat(F.array_join(done["out"], ""), F.substr(raw, (done["at"] + 1).cast("int"), F.length(raw)))
-    return docs.withColumn(text, F.when(F.size("pii_spans") > 0, F.aggregate("pii_spans", zero, step, rest)).otherwise(raw))
+    return docs.withColumn(text, F.when(F.size("pii_spans") > 0, let(pieces_of(raw), whole)).otherwise(raw))

@@ -18,15 +18,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foliant.llm import trees
-from foliant.llm.spans import matches, share, spans
+from foliant.llm.spans import greedy, matches, share, spans
+from foliant.llm.storage import free_name
 
 TOKEN = "[A-Za-z0-9+/_=-]"
 #: Generators: (pattern, cheaper pattern). A candidate of several is judged once for each.
 GENERATORS = {
     "token": (rf"(?:\G|(?<!{TOKEN}))(?=[A-Za-z+/_=-]*+[0-9]){TOKEN}{{16,}}+", rf"{TOKEN}{{16}}"),
-    "assigned": (r"(?<=[=:] ?[\"'])[^\s\"']{8,200}+(?=[\"'])", r"[=:] ?[\"'][^\s\"']{8}"),
-    "known": (r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,80}+|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,400}+\.[A-Za-z0-9_-]{8,800}+\.[A-Za-z0-9_-]{8,400}+)", r"AKIA|gh[pousr]_|xox[abprs]-|AIza|eyJ"),
-    "key": (r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,8000}+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?+", "PRIVATE KEY-----"),
+    "assigned": (r"(?<=[=:] ?[\"'])[^\s\"']{8,}+(?=[\"'])", r"[=:] ?[\"'][^\s\"']{8}"),
+    "known": (r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)", r"AKIA|gh[pousr]_|xox[abprs]-|AIza|eyJ"),
+    "key": (r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?+", "PRIVATE KEY-----"),
 }
 #: Common words that placeholders and identifiers are made of.
 WORDS = "the|and|for|with|that|this|from|name|user|value|test|example|sample|your|here|change|place|holder|pass|word|secret|token|config|default|index|class|file|path|data|list|item|page|image|http|https|html|version|update|build|main|test"
@@ -115,37 +116,46 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``secret_candidates``: every generator's spans, ``kind, start, end, value, score``."""
     model, _ = fitted(docs.sparkSession)
     raw, score = F.col(text).cast("string"), model.sql([f"s.x[{i}]" for i in range(len(FEATURES))])
+    described_ = free_name(docs, "secret_described")
 
     def described(generator: str) -> Column:
         def one(s: Column) -> Column:
             of = F.array(*[x.cast("double") for x in features(generator, s)])
-            return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), of.alias("x"))
+            return F.struct(F.lit(generator).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), of.alias("x"))
 
         return F.transform(spans(raw, *GENERATORS[generator]), one)
 
-    out = docs.withColumns({f"secret_of_{g}": described(g) for g in GENERATORS})
-    scored = [F.expr(f"transform(secret_of_{g}, s -> struct('{g}' as kind, s.start as start, s.end as end, s.value as value, {score} as score))") for g in GENERATORS]
-    return out.withColumn("secret_candidates", F.concat(*scored)).drop(*[f"secret_of_{g}" for g in GENERATORS])
+    out = docs.withColumn(described_, F.concat(*[described(g) for g in GENERATORS]))
+    scored = F.expr(f"transform(`{described_}`, s -> struct(s.kind as kind, s.start as start, s.end as end, s.value as value, {score} as score))")
+    return out.withColumn("secret_candidates", scored).drop(described_)
+
+
+FOUND = "struct<kind:string,start:long,end:long,value:string,score:double>"
 
 
 def with_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``secrets``: findings ``kind, start, end, value, score`` in order of start.
 
-    Of overlapping candidates that reach their generator's threshold the best stays (by score,
-    then length, start and kind). Positions are code points of the whole text, ends
-    exclusive. Null or empty text: an empty array. A column of that name is replaced.
+    Of the candidates that reach their generator's threshold those stay, in order of score, then
+    length, start and kind, that overlap nothing that stays before them. Positions are code
+    points of the whole text, ends exclusive; values of any length are found. Null or empty
+    text: an empty array. Repeated rows are alike. A column of that name is replaced, others are kept.
     """
     _, least = fitted(docs.sparkSession)
     cut = F.create_map(*[x for g, v in least.items() for x in (F.lit(g), F.lit(v))])
-    out = candidates(docs, text).withColumn("secret_candidates", F.filter("secret_candidates", lambda s: s["score"] >= cut[s["kind"]]))
-    key = lambda s: F.struct(-s["score"], s["start"] - s["end"], s["start"], s["kind"])
-    lost = lambda s: F.exists("secret_candidates", lambda o: (o["end"] > s["start"]) & (s["end"] > o["start"]) & (key(o) < key(s)))
-    best = F.when(F.size("secret_candidates") > 1, F.filter("secret_candidates", lambda s: ~lost(s))).otherwise(F.col("secret_candidates"))
-    by_start = lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0)
-    return out.withColumn("secrets", F.array_sort(best, by_start)).drop("secret_candidates")
+    own = free_name(docs, "secret_found")
+    key = lambda s: F.struct((-s["score"]).alias("score"), (s["start"] - s["end"]).alias("size"), s["start"].alias("start"), s["kind"].alias("kind"))
+    found = candidates(docs.withColumn(own, F.col("secret_candidates")) if "secret_candidates" in docs.columns else docs, text)
+    good = F.filter("secret_candidates", lambda s: s["score"] >= cut[s["kind"]])
+    out = found.withColumn("secrets", greedy(good, FOUND, key, lambda s: F.lit(False)))
+    return out.drop("secret_candidates").withColumnRenamed(own, "secret_candidates")
 
 
 def findings(docs: DataFrame) -> DataFrame:
-    """A row for each secret of ``docs(doc_id, text)``: ``doc_id, kind, start, end, value, score``."""
+    """A row for each secret of ``docs(doc_id, text)``: ``doc_id, kind, start, end, value, score``.
+
+    Null and empty texts give no rows, a null id stays null, repeated rows come back as often; no
+    rows: no rows. Other columns are not read.
+    """
     found = with_secrets(docs.select("doc_id", "text")).select("doc_id", F.explode("secrets").alias("s"))
     return found.select("doc_id", "s.kind", "s.start", "s.end", "s.value", "s.score")

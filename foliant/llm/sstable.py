@@ -29,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, Window
 
-from foliant.llm.storage import fresh_path, written
+from foliant.llm.storage import drop_others, fresh_path, written
 from foliant.llm.tokens import encoder, slices, tidy
 
 MAGIC = b"FOLSST01"
@@ -100,7 +100,12 @@ class Writer:
         """``ids``: little-endian unsigned 32-bit."""
         if not self.block:
             self.first, self.before, self.last = key, (self.docs, self.ids), b""
-        value = ids if self.width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+        value = ids
+        if self.width == 2:
+            numbers = np.frombuffer(ids, "<u4")
+            if len(numbers) and numbers.max() > 0xFFFF:
+                raise ValueError(f"id {numbers.max()} takes more than two bytes: write with width=4")
+            value = numbers.astype("<u2").tobytes()
         shared = next((i for i, (a, b) in enumerate(zip(key, self.last)) if a != b), len(self.last))
         entry = varint(shared) + varint(len(key) - shared) + varint(len(value)) + key[shared:] + value
         self.block.append(entry)
@@ -217,7 +222,8 @@ def write_tables(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
     Returns ``shard, path, n_docs, n_ids``, a row for each file; ids ascend over the shards
     and in them (null first; equal ids in the order of their texts' hashes). A file gets its
     name only when it is whole, so a task that is run again replaces it by the same. Null
-    or empty text: the end id alone. No documents: no files. ``width`` is 2 or 4 bytes an id.
+    or empty text: the end id alone. No documents: no files. ``width`` is 2 or 4 bytes an id; an id
+    that does not fit is an error. What failed tasks have left is deleted at the end.
     """
     n = shards or max(1, docs.rdd.getNumPartitions())
 
@@ -246,7 +252,9 @@ def write_tables(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
     keyed = keyed.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
     order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("row")]
     dealt = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
-    return written(dealt.mapInArrow(write, FILES), "sst-files")
+    files = written(dealt.mapInArrow(write, FILES), "sst-files")
+    drop_others(docs.sparkSession, folder, ".sst")
+    return files
 
 
 ROWS = "shard int, doc_id long, start long, ids binary"

@@ -1,59 +1,7 @@
-"""Intermediate tables in the folder that driver and executors share.
-
-The folder is the one named by ``spark.checkpoint.dir``. Only where a session names
-none (tests, a laptop) a folder is made and set. Tables written here survive a lost
-executor, unlike cached or locally checkpointed data.
-"""
+"""Intermediate tables of this package: those of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder, also set as the session's checkpoint folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if named:
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir(named)
-        return named.rstrip("/")
-    found = context._jsc.sc().getCheckpointDir()
-    if not found.isDefined():
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="foliant-"))
-        found = context._jsc.sc().getCheckpointDir()
-    return found.get().rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a path of this module before the driver ends."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet and read again: the lineage ends here.
-
-    ``df`` without rows or with any nullability comes back with the same columns.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from foliant.sources.staging import cut, delete, drop_others, drop_path, free_name, fresh_path, shared_dir, written
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` through a reliable checkpoint, whose files Spark's cleaner can remove."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "delete", "drop_others", "drop_path", "free_name", "fresh_path", "shared_dir", "written"]

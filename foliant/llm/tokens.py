@@ -24,19 +24,26 @@ BYTE_LEVEL = r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)
 WORD_LEVEL = r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 #: ASCII without control characters other than white space, and the letters of Latin-1.
 PLAIN = re.compile("[^\t\n\r\x20-\x7eÀ-ÿ]")
-MOST_CACHED = 600_000
+#: Bytes that a worker's cache of pre-tokens may take, what an entry takes beside its text, and the longest that is kept.
+MOST_CACHED, ENTRY_BYTES, LONGEST_CACHED = 96 << 20, 240, 64
 WHITE = re.compile(r"\s+")
 
 
 class Encoder:
-    """Encodes texts with one tokenizer file. One per Python worker."""
+    """Encodes texts with one tokenizer file. One per Python worker.
 
-    def __init__(self, path: str) -> None:
+    Text that spells an added token, as ``<|endoftext|>``, becomes that token, as the library does by
+    default; with ``plain_special`` it is text like any other.
+    """
+
+    def __init__(self, path: str, plain_special: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_special
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain_special and t.special)]
+        self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.I)
         normalizer = self.tokenizer.normalizer
         self.lower = normalizer is not None
         pattern = WORD_LEVEL if self.lower else BYTE_LEVEL
@@ -46,34 +53,43 @@ class Encoder:
         plain = [c for c in map(chr, range(256)) if not PLAIN.match(c)]
         self.signs = {ord(c): "".join(x for x, _ in to_bytes(c)) for c in plain}  # characters as the model's byte signs
         self.cache: dict[str, bytes] = {}
+        self.held = 0  # bytes, about
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, parts: list[str]) -> None:
-        """Have the library's model encode the pre-tokens that are not known yet."""
-        if len(self.cache) > MOST_CACHED:
+    def learn(self, parts: list[str]) -> list[str]:
+        """Have the library's model encode the pre-tokens that are not known yet; returns those too long to stay."""
+        if self.held > MOST_CACHED:
             self.cache.clear()
-        cache, tokenize, signs = self.cache, self.model.tokenize, self.signs
+            self.held = 0
+        cache, tokenize, signs, long = self.cache, self.model.tokenize, self.signs, []
         for part in parts:
             if part not in cache:
                 found = [t.id for t in tokenize(part.translate(signs))]
                 cache[part] = struct.pack(f"<{len(found)}I", *found)
+                if len(part) > LONGEST_CACHED:
+                    long.append(part)
+                else:
+                    self.held += ENTRY_BYTES + len(part) + 4 * len(found)
+        return long
 
     def one(self, text: str) -> bytes:
         """Ids of one text, without an end mark."""
-        if PLAIN.search(text):
+        if PLAIN.search(text) or self.special.search(text):
             return self.whole([text])[0]
         parts = self.cut(text.lower() if self.lower else text)
-        if len(parts) < 2:
-            self.learn(parts)
-            return b"".join([self.cache[x] for x in parts])
-        found = itemgetter(*parts)
-        try:
-            return b"".join(found(self.cache))
-        except KeyError:
-            self.learn(parts)
-            return b"".join(found(self.cache))
+        if len(parts) > 1:
+            found = itemgetter(*parts)
+            try:
+                return b"".join(found(self.cache))
+            except KeyError:
+                pass
+        long = self.learn(parts)
+        out = b"".join([self.cache[x] for x in parts])
+        for part in long:
+            del self.cache[part]
+        return out
 
     def batch(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """Ids of each text (null: empty), each followed by ``end_id``."""

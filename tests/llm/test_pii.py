@@ -84,3 +84,51 @@ def test_held_out_rows_of_the_fit(spark):
     picked = [r for r in rows if r.p >= least[r.kind]]
     assert sum(r.label for r in picked) >= 0.93 * len(picked)
     assert sum(r.label for r in picked) >= 0.75 * sum(r.label for r in rows)
+
+
+def test_greedy_against_one_by_one(spark):
+    import random
+
+    from foliant.llm.spans import greedy
+
+    rng = random.Random(8)
+    rows = []
+    for _ in range(120):
+        items = [(a := rng.randint(0, 60), a + rng.randint(1, 14), float(rng.randint(0, 9)), rng.random() < 0.15) for _ in range(rng.randint(0, 25))]
+        rows.append((items,))
+    rows.append(([(0, 10, 0.9, False), (8, 20, 0.8, False), (18, 30, 0.7, False)],))
+    kind = "struct<start:long,end:long,score:double,given:boolean>"
+    frame = spark.createDataFrame(rows, f"items array<{kind}>")
+    order = lambda s: F.struct(~s["given"], -s["score"], s["start"] - s["end"], s["start"])
+    for r in frame.select("items", greedy(F.col("items"), kind, order, lambda s: s["given"]).alias("got")).collect():
+        kept = []
+        for x in sorted(r.items, key=lambda s: (not s.given, -s.score, s.start - s.end, s.start)):
+            if x.given or all(x.end <= k.start or k.end <= x.start for k in kept):
+                kept.append(x)
+        assert sorted(map(tuple, r.got)) == sorted(map(tuple, kept)), r
+    assert [s.start for s in r.got] == [0, 18]
+
+
+def test_many_candidates_in_one_text(spark):
+    import time
+
+    groups = [f"{i % 9000 + 1000:04d} {i * 7 % 900 + 100:03d} {i * 13 % 9000 + 1000:04d}, " for i in range(20_000)]
+    texts = ["".join(groups), "".join(f"a{i}@b{i}.com " for i in range(30_000)), "tel 030 1234 5678 " * 15_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    pii.redact(pii.with_spans(docs.limit(0))).count()
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in pii.redact(pii.with_spans(docs)).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1].text == "[EMAIL] " * 30_000 and len(got[2].pii_spans) == 15_000 and got[2].text == "tel [PHONE] " * 15_000
+
+
+def test_columns_of_any_name_are_kept(spark):
+    docs = spark.createDataFrame([("mail a@b.cd now", 1, "x", "y", "z")], "text string, pii_more int, pii_of_email string, _pii_chosen string, _pii_candidates string")
+    found = pii.redact(pii.with_spans(docs))
+    assert found.columns == [*docs.columns, "pii_base", "pii_spans"] and found.drop("pii_base", "pii_spans").first() == ("mail [EMAIL] now", 1, "x", "y", "z")
+
+
+def test_long_addresses(spark):
+    docs = spark.createDataFrame([(1, "mail me: " + "jane" * 40 + " [at] " + " [dot] ".join(["site"] * 14) + " [dot] com thanks")], "doc_id long, text string")
+    (span,) = pii.with_spans(docs).first().pii_spans
+    assert span.kind == "email" and span.value.startswith("janejane") and span.value.endswith("[dot] com")

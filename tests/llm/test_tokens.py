@@ -11,14 +11,13 @@ from foliant.llm.tokens import Encoder
 
 TEXTS = [
     "", None, " ", "\n\n", "That it.", "It's they'll  we'd 'tis x'S", "a  b\t\tc \n d", "Élan ÀÉ ß÷×ÿ café2²", "中文 mixed 12 3",
-    "<|endoftext|> x", "a_b __ -- 3.14 1,000", "naïve é  nbsp", "🙂 smile", "x" * 5000, "word " * 3000, "\x00\x01 ctl", "That it.",
+    "<|endoftext|> x", "hello <|endoftext|> world", "<|startoftext|>a<|ENDOFTEXT|>", "a[PAD] <unk> </s>", "y" * 3000 + " z", "a_b __ -- 3.14 1,000", "naïve é  nbsp", "🙂 smile", "x" * 5000, "word " * 3000, "\x00\x01 ctl", "That it.",
 ]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_ids_are_the_librarys(name):
     ours, theirs = Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
-    theirs.encode_special_tokens = True
     random.seed(3)
     more = ["".join(random.choices("abAB zé'sßÜ .,!?12\n\t-_|<>ñ", k=200)) for _ in range(300)]
     for text in [*TEXTS, *more]:
@@ -26,6 +25,26 @@ def test_ids_are_the_librarys(name):
         assert np.frombuffer(ours.batch([text], 7)[0], "<u4").tolist() == [*want, 7]
 
 
+def test_special_tokens_as_text_and_the_bound_of_the_cache(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ours, theirs = Encoder(path, plain_special=True), Tokenizer.from_file(path)
+    theirs.encode_special_tokens = True
+    monkeypatch.setattr("foliant.llm.tokens.MOST_CACHED", 2000)
+    for text in [*TEXTS, *(f"word{i} other{i} " + "q" * i for i in range(0, 400, 7))]:
+        want = theirs.encode(text or "", add_special_tokens=False).ids
+        assert np.frombuffer(ours.batch([text], 7)[0], "<u4").tolist() == [*want, 7]
+        assert len(ours.cache) < 60 and all(len(k) <= 64 for k in ours.cache)
+
+
+def test_two_bytes_must_hold_an_id():
+    import io
+
+    writer = sstable.Writer(io.BytesIO(), 2)
+    writer.add(b"\1" * 10, np.array([65535], "<u4").tobytes())
+    with pytest.raises(ValueError, match="width=4"):
+        writer.add(b"\2" * 10, np.array([65536], "<u4").tobytes())
+
+
 def best_fit_one_by_one(lengths, capacity):
     bins = []
     for n in sorted(lengths, reverse=True):

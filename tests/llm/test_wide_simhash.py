@@ -37,7 +37,7 @@ def test_distance_follows_similarity():
     assert (S.wide_fingerprints(pa.array(["a b", "A  b"]))[0] == S.wide_fingerprints(pa.array(["x", "a b"]))[1]).all()
 
 
-def test_one_of_each(spark, monkeypatch):
+def test_one_of_each(spark, monkeypatch, tmp_path):
     docs, groups = [], []
     for g in range(60):
         base = words(RNG.randint(60, 500))
@@ -56,7 +56,7 @@ def test_one_of_each(spark, monkeypatch):
     docs += [(n, None, "x"), (n + 1, "", "x"), (None, docs[0][1], None), (n + 2, "z " * 20000, "x")]
     RNG.shuffle(docs)
     frame = spark.createDataFrame(docs, "doc_id long, text string, root string").repartition(3)
-    frame.write.mode("overwrite").parquet(path := "/tmp/foliant-test-wide")
+    frame.write.parquet(path := str(tmp_path / "docs"))
     frame = spark.read.parquet(path)
     for chunk in (S.CHUNK, 16):
         monkeypatch.setattr(S, "CHUNK", chunk)
