@@ -37,3 +37,19 @@ def scan(items: Column, state: Column, step: Callable[[Column, Column], tuple[Co
     zero = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
     whole = lambda x: F.flatten(F.aggregate(blocks(x), zero, block, lambda done: done["out"]))
     return let(items, lambda x: F.when(F.size(x) > 0, whole(x)).otherwise(none))
+
+
+def runs(items: Column, touching: bool = False) -> Column:
+    """``items(start, end)``, in order of start and one at least, as an array of runs: one begins where all before have ended.
+
+    ``touching``: what begins just where all before end goes on with their run.
+    """
+    begins = lambda at, s: (s["start"] > at) if touching else (s["start"] >= at)
+
+    def cut(x: Column) -> Column:
+        fresh = scan(x, F.lit(-1).cast("long"), lambda at, s: (F.greatest(at, s["end"].cast("long")), begins(at, s)), "boolean")
+        first = let(fresh, lambda n: F.filter(F.sequence(F.lit(1), F.size(n)), lambda i: (i == 1) | n[i - 1]))
+        after = lambda c: F.concat(F.slice(c, 2, F.size(c)), F.array(F.size(x) + 1))
+        return let(first, lambda c: F.zip_with(c, after(c), lambda a, b: F.slice(x, a, b - a)))
+
+    return let(items, cut)

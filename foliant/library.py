@@ -5,6 +5,7 @@ Every call answers with DataFrames or, for tool use, with a dict that never rais
 
 from __future__ import annotations
 
+import inspect
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -16,7 +17,7 @@ from foliant.functions import calc
 from foliant.functions.periods import name_facts
 from foliant.functions.python_text import as_column, close_names, heading_before, highlight_pattern, best_window, snippet
 from foliant.functions.text import page_tags, tokens
-from foliant.operators import bm25, changes, evaluate, pages, passages, routing, trees
+from foliant.operators import bm25, changes, citations, evaluate, pages, passages, routing, trees
 from foliant.sources.store import Store
 
 
@@ -31,6 +32,47 @@ class Tool:
     guidance: str = ""
 
 
+JSON_TYPES = {"str": "string", "int": "integer", "float": "number", "bool": "boolean", "list": "array", "dict": "object"}
+
+
+def schema_of(run: Callable[..., object]) -> dict:
+    """The JSON schema of a function's parameters, from its signature."""
+    properties, required = {}, []
+    for name, p in inspect.signature(run).parameters.items():
+        kind = str(p.annotation).split("|")[0].split("[")[0].strip().removeprefix("<class '").removesuffix("'>")
+        properties[name] = {"type": JSON_TYPES.get(kind, "string")}
+        if p.default is inspect.Parameter.empty:
+            required.append(name)
+        elif p.default is not None:
+            properties[name]["default"] = p.default
+    return {"type": "object", "properties": properties, "required": required}
+
+
+def outline_parts(nodes: list[dict], most: int) -> list[list[dict]]:
+    """A forest in parts of about ``most`` characters of JSON: whole nodes side by side, larger ones by their children."""
+    parts: list[list[dict]] = [[]]
+    room = most
+    for node, alone in _pieces(nodes, most):
+        size = len(json.dumps(node, ensure_ascii=False))
+        if parts[-1] and (alone or size > room):
+            parts.append([])
+            room = most
+        parts[-1].append(node)
+        room = 0 if alone else room - size
+    return parts
+
+
+def _pieces(nodes: list[dict], most: int) -> Iterator[tuple[dict, bool]]:
+    """Each node; one that is too large as copies of itself with a part of its children, which stand alone."""
+    for node in nodes:
+        shell = {k: v for k, v in node.items() if k != "nodes"}
+        if len(json.dumps(node, ensure_ascii=False)) <= most or "nodes" not in node:
+            yield node, False
+        else:
+            room = max(most - len(json.dumps(shell, ensure_ascii=False)), most // 2)
+            yield from (({**shell, "nodes": part}, True) for part in outline_parts(node["nodes"], room))
+
+
 @dataclass
 class Library:
     spark: SparkSession
@@ -42,10 +84,10 @@ class Library:
         self.store = Store(self.spark, self.root)
         calls = {
             "search_pages": self.search_pages, "browse_documents": self.browse, "get_document": self.get_document, "get_document_structure": self.structure,
-            "get_page_content": self.page_content, "remove_document": self.remove, "calculate": calc.evaluate,
+            "get_page_content": self.page_content, "remove_document": self.remove, "calculate": calc.evaluate, "resolve_citations": self.resolve_citations,
         }
         for name, run in calls.items():
-            self.tools.setdefault(name, Tool(name, (run.__doc__ or "").split("\n")[0], {}, run))
+            self.tools.setdefault(name, Tool(name, (run.__doc__ or "").split("\n")[0], schema_of(run), run))
 
     def index(self, files: DataFrame, page_chars: int = pages.PAGE_CHARS) -> int:
         """Index ``files(name, text)``; files whose content is known already are left. Returns how many were not.
@@ -138,26 +180,34 @@ class Library:
         return [r.asDict() for r in self.search(asked, min(20, max(1, top_k)), scope).orderBy("rank").collect()]
 
     def browse(self, offset: int = 0, limit: int = 20, report_type: str | None = None) -> list[dict]:
-        """Documents, the newest first."""
+        """Documents, the newest first, each with ``total`` and ``has_more`` of the listing."""
         docs = self.store.documents()
         return [] if docs is None else [r.asDict() for r in routing.listing(docs, offset, limit, report_type=report_type).collect()]
 
+    def resolve_citations(self, answer: str) -> dict:
+        """An answer with numbered links for its citations, and each citation with the id of its document."""
+        docs = self.store.documents()
+        known = self.spark.createDataFrame([], "doc_id string, name string") if docs is None else docs.select("doc_id", "name")
+        asked = self.spark.createDataFrame([("a", answer)], "answer_id string, text string")
+        found = [r.asDict() for r in citations.resolved(asked, known).orderBy("index").collect()]
+        for c in found:
+            if c["candidates"]:
+                raise LookupError(f"several documents are named {c['document']!r}: {', '.join(c['candidates'])}")
+        return {"answer": asked.select(citations.linked("text")).first()[0], "citations": [{k: v for k, v in c.items() if k not in ("answer_id", "candidates")} for c in found]}
+
     def get_document(self, name: str) -> dict:
         """A document's facts."""
         return self._resolve(name)
 
     def structure(self, name: str, part: int = 1, most: int = 95_000) -> dict:
-        """A part of a document's outline, cut by size between nodes."""
-        nodes = self.store.of_document("nodes", self._resolve(name)["doc_id"]).orderBy("ord").select("node_id", "depth", "title", "start", "end").collect()
-        parts: list[list[dict]] = [[]]
-        used = 0
-        for n in (r.asDict() for r in nodes):
-            size = len(json.dumps(n, ensure_ascii=False))
-            if parts[-1] and used + size > most:
-                parts.append([])
-                used = 0
-            parts[-1].append(n)
-            used += size
+        """A part of a document's outline, nested; a node that outgrows a part is shown in several, each with some of its children."""
+        nodes = self.store.of_document("nodes", self._resolve(name)["doc_id"]).orderBy("ord").select("node_id", "parent_id", "title", "start", "end").collect()
+        made: dict[str, dict] = {}
+        tops: list[dict] = []
+        for n in nodes:
+            made[n["node_id"]] = own = {"node_id": n["node_id"], "title": n["title"], "start": n["start"], "end": n["end"]}
+            (made[n["parent_id"]].setdefault("nodes", []) if n["parent_id"] in made else tops).append(own)
+        parts = outline_parts(tops, most)
         return {"part": part, "parts": len(parts), "nodes": parts[min(max(1, part), len(parts)) - 1]}
 
     def page_content(self, name: str, pages: str, budget: int = 95_000) -> dict:

@@ -119,6 +119,22 @@ def best_sections(questions: DataFrame, nodes: DataFrame, most: int = 3) -> Data
     return pairs.withColumn("score", score).withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", "doc_id", "ord", "title", "score", "rank")
 
 
+def section_text(sections: DataFrame, lines: DataFrame, most: int = 6000) -> DataFrame:
+    """``sections(doc_id, ord, start, end)`` of lines with ``text``: their lines, cut to ``most`` characters."""
+    inside = F.col("line_no").between(F.col("start"), F.col("end"))
+    each = sections.select("doc_id", "ord", "start", "end").join(lines.select("doc_id", "line_no", F.col("text").alias("line")), "doc_id").where(inside)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    return each.groupBy("doc_id", "ord", "start", "end").agg(F.left(text, F.lit(most)).alias("text"))
+
+
+def numbered_names(files: DataFrame, most: int = 99) -> DataFrame:
+    """``path, name, unique_name``: of files of one name the first by path keeps it, the others get ``_1`` to ``_99`` before the ending; null beyond."""
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("path")) - 1
+    stem, ending = F.regexp_extract("name", r"(?s)^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"(?s)^(.*?)(\.[^.]*)?$", 2)
+    unique = F.when(nth == 0, F.col("name")).when(nth <= most, F.concat(stem, F.lit("_"), nth.cast("string"), ending))
+    return files.select("path", "name").withColumn("unique_name", unique)
+
+
 def files_under(files: DataFrame, dirs: DataFrame) -> DataFrame:
     """Files of ``files(path)`` below any of ``dirs(dir)``; the empty directory holds all."""
     inside = (F.col("dir") == "") | (F.col("path") == F.col("dir")) | F.startswith("path", F.concat(F.col("dir"), F.lit("/")))

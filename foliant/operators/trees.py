@@ -140,6 +140,46 @@ def own_text(nodes: DataFrame, lines: DataFrame) -> DataFrame:
     return each.groupBy("doc_id", "ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
 
 
+def own_text_at_titles(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    """``doc_id, node_id, text`` for trees of page ranges: from a node's title to the title of the next node in order.
+
+    ``pages(doc_id, page, markdown)``. A title is looked for on the first page of its node, whatever white
+    space it is set in; one that is not found there counts as standing at the page's head. The last
+    node runs to its last page.
+    """
+    signs = F.filter(F.split(title_key("title"), ""), lambda c: c != "")
+    pattern = F.concat(F.lit("(?iu)"), F.array_join(F.transform(signs, lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))), r"\s*"))
+    first = pages.select("doc_id", F.col("page").alias("start"), "markdown")
+    found = nodes.select("doc_id", "node_id", "ord", "title", "start", "end").join(first, ["doc_id", "start"], "left")
+    at = F.when(F.size(signs) > 0, F.regexp_instr("markdown", pattern))
+    found = found.select("doc_id", "node_id", "ord", "start", "end", F.greatest(F.coalesce(at, F.lit(1)), F.lit(1)).alias("at"))
+    order = Window.partitionBy("doc_id").orderBy("ord")
+    spans = found.withColumns({"stop": F.greatest("start", F.coalesce(F.lead("start").over(order), "end")), "stop_at": F.lead("at").over(order), "next": F.lead("start").over(order)})
+    each = spans.select("doc_id", "node_id", "start", "at", "stop", "stop_at", "next", F.explode(F.sequence("start", "stop")).alias("page")).join(pages.select("doc_id", "page", "markdown"), ["doc_id", "page"])
+    begin = F.when(F.col("page") == F.col("start"), F.col("at")).otherwise(1)
+    until = F.when((F.col("page") == F.col("next")) & F.col("stop_at").isNotNull(), F.col("stop_at")).otherwise(F.length("markdown") + 1)
+    piece = F.substr("markdown", begin, F.greatest(until - begin, F.lit(0)))
+    each = each.select("doc_id", "node_id", "page", piece.alias("piece")).where("piece != ''")
+    text = each.groupBy("doc_id", "node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "piece"))), lambda x: x["piece"]), "\n").alias("text"))
+    return nodes.select("doc_id", "node_id").join(text, ["doc_id", "node_id"], "left").select("doc_id", "node_id", F.coalesce(F.trim("text"), F.lit("")).alias("text"))
+
+
+def page_thinned(nodes: DataFrame, large: int = 20, least_pages: int = 3) -> DataFrame:
+    """Nodes without what lies below a node of one page, or, in a tree of over ``large`` nodes, of fewer than ``least_pages``.
+
+    A node's pages reach to the end of the last node below it. ``nodes`` need ``path_ids``.
+    """
+    last = nodes.select("doc_id", F.explode("path_ids").alias("node_id"), F.struct("ord", "end").alias("x")).groupBy("doc_id", "node_id").agg(F.max("x")["end"].alias("last"))
+    counts = nodes.groupBy("doc_id").agg(F.count("*").alias("n"))
+    parents = nodes.where("parent_id is not null").select("doc_id", F.col("parent_id").alias("node_id")).distinct()
+    span = F.col("last") - F.col("start") + 1
+    thin = nodes.select("doc_id", "node_id", "start").join(parents, ["doc_id", "node_id"]).join(last, ["doc_id", "node_id"]).join(counts, "doc_id")
+    thin = thin.where((span == 1) | ((F.col("n") > large) & (span < least_pages))).select("doc_id", F.col("node_id").alias("top"), "last")
+    gone = nodes.select("doc_id", "node_id", F.explode("path_ids").alias("top")).where("node_id != top").join(thin, ["doc_id", "top"]).select("doc_id", "node_id").distinct()
+    kept = nodes.join(gone, ["doc_id", "node_id"], "left_anti").join(thin.withColumnRenamed("top", "node_id"), ["doc_id", "node_id"], "left")
+    return kept.withColumn("end", F.coalesce("last", "end")).drop("last")
+
+
 def is_fake_title(title: str | Column) -> Column:
     """A heading that is body text: one character, figures and units alone, or a figure card."""
     text = F.trim(F.regexp_replace(F.coalesce(col(title), F.lit("")), r"\s+", " "))

@@ -86,3 +86,50 @@ def test_bookmark_tiers(spark):
 def test_paths_of_deep_trees(spark):
     deep = nodes(spark, [(str(i), str(i - 1) if i else None, i + 1, f"t{i}", 1, 2) for i in range(24)])
     assert max(len(r.path_ids) for r in trees.with_path_ids(deep).collect()) == 24
+
+
+def test_page_thinning(spark):
+    tree = trees.with_path_ids(nodes(spark, [("0", None, 1, "Aims", 1, 9), ("1", "0", 2, "Base", 2, 2), ("2", "1", 3, "Cost", 2, 2), ("3", "0", 2, "Debt", 3, 9)]))
+    assert {r.node_id for r in trees.page_thinned(tree).collect()} == {"0", "1", "3"}
+    assert {(r.node_id, r.end) for r in trees.page_thinned(tree, 3, 20).collect()} == {("0", 9)}
+
+
+def test_own_text_between_titles(spark):
+    tree = nodes(spark, [("0", None, 1, "First part", 1, 2), ("1", "0", 2, "Its  detail", 2, 2), ("2", None, 1, "Not there", 2, 3), ("3", None, 1, "Last (one)", 3, 4)])
+    pages = spark.createDataFrame([("d", 1, "intro First\npart begins"), ("d", 2, "goes on. its detail here"), ("d", 3, "more LAST (ONE) end"), ("d", 4, "tail")], "doc_id string, page int, markdown string")
+    got = {r.node_id: r.text for r in trees.own_text_at_titles(tree, pages).collect()}
+    assert got == {"0": "First\npart begins\ngoes on. ".strip(), "1": "", "2": "goes on. its detail here\nmore", "3": "LAST (ONE) end\ntail"}
+
+
+def test_outline_parts():
+    from foliant.library import outline_parts, schema_of
+
+    leaf = lambda i: {"node_id": f"{i:04d}", "title": "t" * 20, "start": i, "end": i}
+    big = {**leaf(0), "nodes": [leaf(i) for i in range(1, 30)]}
+    parts = outline_parts([big, leaf(30), leaf(31)], 500)
+    names = [n["node_id"] for p in parts for top in p for n in [top, *top.get("nodes", [])]]
+    assert len(parts) > 4 and set(names) == {f"{i:04d}" for i in range(32)} and len(names) == 31 + names.count("0000")
+    assert all(len(str(p)) < 700 for p in parts) and outline_parts([leaf(1)], 500) == [[leaf(1)]] and outline_parts([], 500) == [[]]
+
+    def tool(name: str, top_k: int = 5, names: list[str] | None = None) -> None: ...
+
+    assert schema_of(tool) == {"type": "object", "properties": {"name": {"type": "string"}, "top_k": {"type": "integer", "default": 5}, "names": {"type": "array"}}, "required": ["name"]}
+
+
+def test_citations_and_logs(spark, tmp_path):
+    from foliant.operators import citations
+    from foliant.sources import logs
+
+    text = 'A <cite doc="Two" page="4-5" block="b1"/> b <doc=One.pdf;page=3> c <doc=One.pdf;page=3> <cite page="0" doc="x"/> <cite doc="Two" page="7">in</cite>'
+    frame = spark.createDataFrame([(1, text), (2, None), (3, "none")], "answer_id int, text string")
+    docs = spark.createDataFrame([("d1", "One.pdf"), ("d2", "Two"), ("d3", "Two")], "doc_id string, name string")
+    got = [(r.answer_id, r["index"], r.document, r.page, r.block_id, r.doc_id, r.candidates) for r in citations.resolved(frame, docs).orderBy("answer_id", "index").collect()]
+    assert got == [(1, 1, "One.pdf", 3, None, "d1", None), (1, 2, "Two", 4, "b1", None, ["d2", "d3"]), (1, 3, "Two", 7, None, None, ["d2", "d3"])]
+    links = [r[0] for r in frame.orderBy("answer_id").select(citations.linked("text")).collect()]
+    assert links == ['A [[2]](#citation-02) b [[1]](#citation-01) c [[1]](#citation-01) <cite page="0" doc="x"/> [[3]](#citation-03)in', None, "none"]
+
+    path, schema = f"file://{tmp_path}/log", "id int, ts int"
+    assert logs.read(spark, path, schema).count() == 0
+    for i in range(5):
+        logs.append(spark.createDataFrame([(i, i)], schema), path, most_bytes=30, kept=2)
+    assert 1 <= logs.read(spark, path, schema).count() < 5 and logs.read(spark, path, schema, old=2).count() == len({r.id for r in logs.read(spark, path, schema, old=2).collect()}) >= 3
