@@ -3,14 +3,17 @@
 Texts are read as words of letters and figures. The vocabulary is that of the benchmark:
 other words weigh nothing in any comparison with it. Passages are blocks of ``BLOCK``
 words and windows of two of them. Items are searched for in parts that a passage can hold,
-``PART`` words each and half of that apart. Document frequencies and the sketch of the TF-IDF matrix of all blocks are
-summed over partitions; its randomised SVD gives the latent space. Passages whose cosine
-to a part is ``COSINE`` or more and that have enough of its telling words are candidates.
-A candidate is verified by the longest common subsequence of the whole item and as many words
-around the passage as the item can take there: ``EXACT`` of the item's words decide alone; from ``PARAPHRASE`` on the item's
-answer words, its most telling third, must be there too.
-
-Items are taken in blocks of about ``ITEMS`` parts; each block is a query set against all documents.
+``PART`` words each and half of that apart. Document frequencies and a sketch of the TF-IDF
+matrix A of all blocks, A'A times ``RANK + OVER`` random directions, are summed over
+partitions; within the range found, a small matrix gives the singular values and the best ``RANK``
+right singular vectors: the latent space. Passages whose cosine to a part is ``COSINE`` or more and
+that have enough of its telling words are candidates. A candidate is verified by the longest
+common subsequence of the whole item and as many words around the passage as the item can
+take there: ``EXACT`` of the item's words decide alone; from ``PARAPHRASE`` on the item's answer
+words, its most telling third, must be there too.
+
+Items are taken in order of their ids and texts, in blocks of about ``ITEMS`` parts; each block
+is a query set against all documents.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foliant.llm.storage import written
+from foliant.llm.storage import free_name, written
 from foliant.llm.sums import summed
 from foliant.llm.tokens import forget, slices
 from foliant.llm.wordhash import word_hashes
@@ -34,7 +37,7 @@ from foliant.llm.wordhash import word_hashes
 ITEMS = 2000
 BLOCK = 32
 PART = 2 * BLOCK
-RANK, POWER = 128, 1
+RANK, OVER, POWER = 128, 16, 1
 COMMON = 0.005
 COSINE = 0.25
 TELLING = 0.4
@@ -53,7 +56,8 @@ class Model:
     items: list[np.ndarray]  # codes of each item's words
     vocabulary: np.ndarray  # sorted word hashes; code = place + 1
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))  # by code; 0 is any other word
-    space: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    space: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # weighted right singular vectors, by code
+    singular: np.ndarray = field(default_factory=lambda: np.zeros(0))
     latent: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
     def codes(self, hashes: np.ndarray) -> np.ndarray:
@@ -201,7 +205,7 @@ def item_blocks(benchmark: DataFrame, size: int = ITEMS) -> Iterator[Model]:
         out.items = [out.codes(w.hash[a:b]) for a, b in zip(w.first, w.first[1:])]
         return out
 
-    for r in benchmark.select("item_id", "text").toLocalIterator():
+    for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         n_words = sum(1 for _ in WORD.finditer(r["text"] or ""))
         if r["item_id"] is not None and n_words:
             held.append((r["item_id"], r["text"]))
@@ -263,15 +267,50 @@ def fit(codes: DataFrame, model: Model, rank: int = RANK) -> Model:
             telling[c[np.argsort(df[c], kind="stable")][:LEAST_TELLING]] = True
     model.weight = np.where(telling, idf, 0.0).astype(np.float32)
     model.weight[0] = 0
-    rank = min(rank, size)
-    basis = np.random.default_rng(23).normal(size=(size, rank)).astype(np.float32)
+    basis = np.random.default_rng(23).normal(size=(size, min(rank + OVER, size))).astype(np.float32)
     for _ in range(POWER):
         basis = _power_step(codes, model, basis)
-    model.space = (model.weight[:, None] * basis).astype(np.float32)
+    values, turn = np.linalg.eigh(_small_matrix(codes, model, basis))  # ascending
+    kept = np.flatnonzero(values > 1e-9 * max(values[-1], 1e-30))[::-1][:rank]
+    model.singular = np.sqrt(values[kept])
+    model.space = (model.weight[:, None] * (basis @ turn[:, kept])).astype(np.float32)
     model.finish()
     return model
 
 
+def _rows_on(weight: np.ndarray, weighted: np.ndarray, c: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, block) of the words that weigh, the blocks' TF-IDF rows of length 1 times a basis, and the lengths before."""
+    block, text_of = blocks_of(c, counts)
+    kept = np.flatnonzero(weight[c] > 0)
+    word, at = c[kept], block[kept]
+    times, places = _term_counts(word, at, len(weight))
+    norm = np.zeros(len(text_of), np.float32)
+    np.add.at(norm, places[1], (weight[places[0]] * times) ** 2)
+    norm = np.maximum(norm, 1e-12) ** 0.5
+    return word, at, _block_sums(weighted[word], at, len(text_of)) / norm[:, None], norm
+
+
+def _term_counts(word: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """How often each word stands in each block, and (word, block) of these."""
+    key, times = np.unique(at.astype(np.int64) * size + word, return_counts=True)
+    return times.astype(np.float32), (key % size, key // size)
+
+
+def _small_matrix(codes: DataFrame, model: Model, basis: np.ndarray) -> np.ndarray:
+    """(A basis)'(A basis): what the singular values and directions within the basis come from."""
+    shared = codes.sparkSession.sparkContext.broadcast((model.weight, model.weight[:, None] * basis))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        weight, weighted = shared.value
+        out = np.zeros((weighted.shape[1], weighted.shape[1]))
+        for _, c, counts in _batches(batches):
+            _, _, y, _ = _rows_on(weight, weighted, c, counts)
+            out += y.T @ y
+        return out
+
+    return summed(codes, part, (basis.shape[1], basis.shape[1]))
+
+
 def _power_step(codes: DataFrame, model: Model, basis: np.ndarray) -> np.ndarray:
     """An orthonormal basis of the columns of A'A ``basis``; A: normalised TF-IDF rows of all blocks."""
     shared = codes.sparkSession.sparkContext.broadcast((model.weight, model.weight[:, None] * basis))
@@ -280,14 +319,10 @@ def _power_step(codes: DataFrame, model: Model, basis: np.ndarray) -> np.ndarray
         weight, weighted = shared.value
         out = np.zeros(weighted.shape)
         for _, c, counts in _batches(batches):
-            block, text_of = blocks_of(c, counts)
-            kept = np.flatnonzero(weight[c] > 0)
-            if not len(kept):
+            word, at, y, norm = _rows_on(weight, weighted, c, counts)
+            if not len(word):
                 continue
-            word, at = c[kept], block[kept]
-            y = _block_sums(weighted[word], at, len(text_of))
-            norm = _block_sums(weight[word][:, None] ** 2, at, len(text_of)) ** 0.5
-            y /= np.maximum(norm, 1e-9) ** 2
+            y /= norm[:, None]
             order = np.argsort(word, kind="stable")
             start = np.flatnonzero(np.diff(word[order].astype(np.int64), prepend=-1))
             out[word[order][start]] += np.add.reduceat(y[at[order]], start) * weight[word[order][start]][:, None]
@@ -320,7 +355,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with ``leaks``, an array of what ``leaks`` returns for each row; all columns are kept."""
+    """``docs`` with ``leaks``, an array of what ``leaks`` returns for each row; a column of that name is replaced, others are kept.
+
+    Null and empty texts, and a benchmark without items: empty arrays. Repeated rows are alike.
+    """
     out = docs.withColumn("leaks", F.array().cast(LEAKS))
     for model in item_blocks(benchmark):
         codes = written(encoded(docs, model), "contamination-codes")
@@ -344,5 +382,10 @@ def _column(shared: Broadcast) -> Callable[[Column], Column]:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item of ``benchmark``."""
-    return with_leaks(docs.withColumnRenamed("leaks", "_own_leaks"), benchmark).where(F.size("leaks") == 0).drop("leaks").withColumnRenamed("_own_leaks", "leaks")
+    """The rows of ``docs`` that hold no item of ``benchmark``, all columns as they are.
+
+    Null and empty texts stay; very long ones are read whole; repeated rows stay or go together.
+    """
+    own = free_name(docs, "leaks_given")
+    named = docs.withColumnRenamed("leaks", own)
+    return with_leaks(named, benchmark).where(F.size("leaks") == 0).drop("leaks").withColumnRenamed(own, "leaks")

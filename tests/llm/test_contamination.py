@@ -102,3 +102,91 @@ def test_long_items_are_found_whole(spark):
     assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want)
     assert all(r.lcs == 1 for r in rows if r.doc_id < 2000)
     assert C.clean(frame, bench).count() == len(docs) - len(want)
+
+
+def one_by_one(docs, items):
+    """(doc, item) by plain TF-IDF cosines over all passages and parts, then subsequences: no latent space, no arrays."""
+    from collections import Counter
+    from math import log, sqrt
+
+    split = {d: t.split() for d, t in docs}
+    vocabulary = {w for t in items.values() for w in t.split()}
+    blocks = {d: [w[i : i + C.BLOCK] for i in range(0, len(w), C.BLOCK)] for d, w in split.items()}
+    df, n = Counter(), 0
+    for d in blocks:
+        for b in blocks[d]:
+            n += 1
+            df.update(set(b) & vocabulary)
+    parts = [(i, at, t.split()[at : at + C.PART]) for i, t in items.items() for at in C.part_starts(len(t.split()))]
+    telling = {w for w in vocabulary if df[w] <= max(C.COMMON * n, 2)}
+    for _, _, p in parts:
+        if len(set(p) & telling) < C.LEAST_TELLING:
+            telling |= set(sorted(set(p), key=lambda w: (df[w], hash_of[w]))[: C.LEAST_TELLING])
+    weight = {w: max(log((1 + n) / (1 + df[w])), 1e-3) for w in telling}
+    seen = {w for w in weight if df[w]}  # what no block holds has no place in the space
+
+    def vector(ws):
+        return Counter({w: c * weight[w] for w, c in Counter(ws).items() if w in seen})
+
+    def cosine(a, b):
+        return sum(a[w] * b[w] for w in a) / max(sqrt(sum(x * x for x in a.values())) * sqrt(sum(x * x for x in b.values())), 1e-12)
+
+    out = set()
+    for d, bs in blocks.items():
+        for k, b in enumerate(bs):
+            passage = b + (bs[k + 1] if k + 1 < len(bs) else [])
+            for i, at, part in parts:
+                q, own = vector(part), items[i].split()
+                if max(cosine(vector(passage), q), cosine(vector(b), q)) < C.COSINE:
+                    continue
+                if len(set(passage) & set(part) & telling) < C.TELLING * max(1, len(set(part) & telling)):
+                    continue
+                a, z = C.around(len(own), at, k * C.BLOCK)
+                held = split[d][a:z]
+                share = plain_lcs(own, held) / len(own)
+                rare = sorted(set(own) & telling, key=lambda w: (-weight[w], hash_of[w]))
+                rare = rare[: max(3, len(rare) // 3)]
+                answers = sum(w in held for w in rare) / max(1, len(rare))
+                if share >= C.EXACT or share >= C.PARAPHRASE and answers >= C.ANSWERS:
+                    out.add((d, i))
+    return out
+
+
+hash_of = {}
+
+
+def test_against_one_by_one(spark, monkeypatch):
+    """With a space of all directions the search is the plain one."""
+    rng = random.Random(5)
+    items = {i: " ".join(words(n, rng)) for i, n in enumerate((12, 20, 40, 63, 64, 65, 90, 130, 150, 300))}
+    docs = []
+    for d in range(90):
+        body = words(rng.randint(1, 300), rng)
+        if d % 2:
+            text = items[d % len(items)].split()
+            for _ in range(rng.randint(0, len(text) // 2)):
+                text[rng.randrange(len(text))] = rng.choice(VOCABULARY)
+            cut = rng.randint(0, len(text) // 2) if d % 6 == 1 else 0
+            at = rng.randint(0, len(body))
+            body = body[:at] + text[cut:] + body[at:]
+        docs.append((d, " ".join(body)))
+    every = sorted({w for t in items.values() for w in t.split()})
+    hashes = C.word_hashes(C.pa.array([" ".join(every)]), only_letters=True).hash
+    hash_of.update(zip(every, hashes.tolist()))
+    monkeypatch.setattr(C.fit, "__defaults__", (5000,))
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in C.leaks(frame, bench).collect()}
+    want = one_by_one(docs, items)
+    assert got == want and 20 < len(want) < 45, (got ^ want, len(want))
+
+
+def test_long_items_are_found_whole(spark):
+    rng = random.Random(9)
+    sizes = (5, 8, 30, 96, 121, 150, 175, 300, 1000)
+    items = {i: words(n, rng) for i, n in enumerate(sizes)}
+    docs = [(i, " ".join(words(rng.randint(0, 90), rng) + t + words(rng.randint(0, 90), rng))) for i, t in items.items()]
+    docs += [(100 + i, " ".join(words(400, rng))) for i in range(30)] + [(200, " ".join(words(3000, rng) + items[8] + words(2000, rng)))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in C.leaks(frame, bench).collect()}
+    assert got == {(i, i) for i in items} | {(200, 8)}
