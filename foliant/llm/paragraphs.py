@@ -3,7 +3,8 @@
 A passage that documents share stands anywhere in a line, so paragraphs are anchored by
 content: a paragraph is the ``WORDS`` words from an anchor on, and an anchor is the least
 five-word shingle of some ``SPREAD`` neighbouring ones. A shared passage of
-``WORDS + SPREAD`` - 1 words therefore has a paragraph in common, wherever it stands.
+``WORDS + SPREAD`` - 1 words therefore has a paragraph in common, wherever it stands. A text of
+fewer than ``WORDS`` words, but a shingle at least, is one paragraph.
 
 Equal paragraphs are one node. Bands of one MinHash each give the chance of
 ``1 - (1 - 0.8) ** BANDS`` that two paragraphs of similarity 0.8 meet (passages have
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from foliant.functions.arrays import runs
 from foliant.llm.components import components, dealt_anew
 from foliant.llm.filters import filter_of, may_hold
 from foliant.llm.storage import delete, written
@@ -57,7 +59,7 @@ def paragraphs_of(texts: pa.Array, again: bool = False, words: Words | None = No
     value = np.concatenate((shingles(words.hash, SHINGLE), np.zeros(SHINGLE - 1, np.uint64)))[: len(words.hash)]
     # texts are set SPREAD places apart, where nothing is the least
     text = np.repeat(np.arange(len(counts)), counts)
-    starts = np.maximum(counts - WORDS + 1, 0)
+    starts = np.where(counts < WORDS, (counts >= SHINGLE).astype(np.int64), counts - WORDS + 1)
     nth = np.arange(len(text)) - first[text]
     may = nth < starts[text]
     place = first[text] + SPREAD * (text + 1) + nth
@@ -79,7 +81,8 @@ def paragraphs_of(texts: pa.Array, again: bool = False, words: Words | None = No
         goes_on &= nth_of_run % WORDS != 0
     chosen &= ~goes_on
     at = np.flatnonzero(chosen[place] & may)
-    sets = value[at[:, None] + np.arange(N_SHINGLES)]
+    last = np.minimum(N_SHINGLES - 1, counts[text[at]] - SHINGLE - nth[at])  # of a short text; it repeats
+    sets = value[at[:, None] + np.minimum(np.arange(N_SHINGLES), last[:, None])]
     if again:
         return text[at], nth[at], sets
     _, once = np.unique(np.stack((text[at].astype(np.uint64), signature(sets))), axis=1, return_index=True)
@@ -148,7 +151,7 @@ def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``doc_id, row, word, sig, around``: every occurrence in ``docs`` of what may be in ``wanted(sig)``, repeats in a text too."""
+    """``doc_id, row, word, size, sig, around``: every occurrence in ``docs`` of what may be in ``wanted(sig)``, repeats in a text too."""
     bits = docs.sparkSession.sparkContext.broadcast(filter_of(wanted.select(F.col("sig").alias("key"))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,11 +164,12 @@ def occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 hit = may_hold(bits.value, sig)
                 text, word, sig = text[hit], word[hit], sig[hit]
                 near = pa.array([r.tobytes() for r in around(words, text, word)], pa.binary())
-                columns = [some.column("doc_id").take(pa.array(text)), pa.array(row + text), pa.array(word.astype(np.int32)), _long(sig), near]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "word", "sig", "around"])
+                size = np.minimum(WORDS, np.diff(words.first)[text] - word)
+                columns = [some.column("doc_id").take(pa.array(text)), pa.array(row + text), pa.array(word.astype(np.int32)), pa.array(size.astype(np.int32)), _long(sig), near]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "word", "size", "sig", "around"])
                 row += some.num_rows
 
-    return _texts(docs).mapInArrow(read, "doc_id long, row long, word int, sig long, around binary")
+    return _texts(docs).mapInArrow(read, "doc_id long, row long, word int, size int, sig long, around binary")
 
 
 def around(words: Words, text: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -175,7 +179,7 @@ def around(words: Words, text: np.ndarray, word: np.ndarray) -> np.ndarray:
     inside = (at >= words.first[text][:, None]) & (at < words.first[text + 1][:, None])
     out = np.zeros(at.shape, "<u4")
     out[inside] = np.maximum(words.hash[at[inside]] >> np.uint64(64 - 8 * HELD), np.uint64(1))
-    return out.view(np.uint8).reshape(*at.shape, 4)[:, :, :HELD].reshape(len(at), -1)
+    return out.view(np.uint8).reshape(*at.shape, 4)[:, :, :HELD].reshape(len(at), HELD * len(beside))
 
 
 def agreement(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +187,7 @@ def agreement(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     Nothing agrees beside an outermost shingle that differs.
     """
-    x, y = x.reshape(len(x), -1, HELD), y.reshape(len(y), -1, HELD)
+    x, y = (z.reshape(len(z), z.shape[1] // HELD, HELD) for z in (x, y))
     same = (x == y).all(axis=2) & x.any(axis=2)
     half = SIDE + SHINGLE
     left = np.logical_and.accumulate(same[:, :half][:, ::-1], axis=1).sum(axis=1)
@@ -201,12 +205,12 @@ def grown(found: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, "around", 1 << 22):
-                x, own, first = (np.frombuffer(b"".join(some.column(c).to_pylist()), np.uint8).reshape(some.num_rows, -1) for c in ("around", "own_around", "first_around"))
+                x, own, first = (np.frombuffer(b"".join(some.column(c).to_pylist()), np.uint8).reshape(some.num_rows, HELD * (2 * (SIDE + SHINGLE))) for c in ("around", "own_around", "first_around"))
                 sides = agreement(x, first)
                 is_own = some.column("is_own").to_numpy(zero_copy_only=False)  # agrees with itself, which says nothing
                 left, right = (np.maximum(a, np.where(is_own, 0, b)) for a, b in zip(sides, agreement(x, own)))
-                word = some.column("word").to_numpy()
-                columns = [*(some.column(c) for c in ("doc_id", "row", "word", "class_id", "kept")), pa.array((word - left).astype(np.int32)), pa.array((word + WORDS + right).astype(np.int32))]
+                word, size = some.column("word").to_numpy(), some.column("size").to_numpy()
+                columns = [*(some.column(c) for c in ("doc_id", "row", "word", "class_id", "kept")), pa.array((word - left).astype(np.int32)), pa.array((word + size + right).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return found.mapInArrow(read, GROWN)
@@ -292,8 +296,8 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> Data
     ``word`` is the number of its first word; ``class_id`` a number of the class; ``kept``
     marks the occurrence that stays, the first by doc_id (null ids last), row and word, and what
     overlaps it; ``start`` to ``end`` (exclusive) are its words and those beside it that agree with
-    an earlier occurrence. Further copies in the first one's text do not stay. Null, empty
-    and short texts (under ``WORDS`` words) have no paragraphs. Repeated rows are documents
+    an earlier occurrence. Further copies in the first one's text do not stay. Null and empty texts, and
+    those of fewer words than a shingle, have no paragraphs. Repeated rows are documents
     of their own. No rows: no rows. Other columns are not read.
     """
     all_ = written(paragraphs(docs), "paragraphs")
@@ -326,7 +330,7 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> Data
     own = own.select(dealt_anew("sig").alias("sig"), "class_id", "own", "first", "own_around", F.coalesce("first_around", "own_around").alias("first_around"))
     kept = (F.col("first.row") == F.col("row")) & (F.col("word") < F.col("first.word") + WORDS)
     is_own = (F.col("own.row") == F.col("row")) & (F.col("own.word") == F.col("word"))
-    return grown(found.join(own, "sig").select("doc_id", "row", "word", "class_id", kept.alias("kept"), is_own.alias("is_own"), "around", "own_around", "first_around"))
+    return grown(found.join(own, "sig").select("doc_id", "row", "word", "size", "class_id", kept.alias("kept"), is_own.alias("is_own"), "around", "own_around", "first_around"))
 
 
 def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -341,14 +345,9 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         F.array_sort(F.collect_list(F.when(~F.col("kept"), F.struct("start", "end")))).alias("parts"),
     )
 
-    def step(done, part):
-        last = F.element_at(done, -1)
-        joins = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= part["start"])
-        grown_run = F.struct(last["start"].alias("start"), F.greatest(last["end"], part["end"]).alias("end"))
-        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown_run))).otherwise(F.array_append(done, part))
-
-    runs = F.aggregate("parts", F.array().cast("array<struct<start:int,end:int>>"), step)
-    one = one.withColumn("runs", runs)
+    joined = lambda run: F.struct(run[0]["start"].alias("start"), F.array_max(F.transform(run, lambda p: p["end"])).alias("end"))
+    merged = F.when(F.size("parts") > 0, F.transform(runs(F.col("parts"), touching=True), joined)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    one = one.withColumn("runs", merged)
     spans = F.array_join(F.transform("runs", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",")
     total = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
     return one.select("doc_id", "row", spans.alias("spans"), total.alias("removed_words"), "class_ids")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from foliant.functions.arrays import let, scan
+from foliant.functions.arrays import let, runs, scan
 
 SPAN = "array<struct<start:long,end:long,value:string,before:string,after:string>>"
 BEFORE, AFTER = 40, 20
@@ -46,13 +46,6 @@ def greedy(items: Column, kind: str, best: Callable[[Column], Column], given: Ca
     """
     by_start = lambda x: F.transform(F.array_sort(F.transform(x, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s.alias("item")))), lambda k: k["item"])
 
-    def runs(x: Column) -> Column:
-        """The items of each run; a run begins where all before have ended."""
-        fresh = scan(x, F.lit(-1).cast("long"), lambda at, s: (F.greatest(at, s["end"]), s["start"] >= at), "boolean")
-        cuts = let(fresh, lambda n: F.filter(F.sequence(F.lit(1), F.size(n)), lambda i: n[i - 1]))
-        ends = lambda c: F.concat(F.slice(c, 2, F.size(c)), F.array(F.size(x) + 1))
-        return let(cuts, lambda c: F.zip_with(c, ends(c), lambda a, b: F.slice(x, a, b - a)))
-
     def chosen(part: Column) -> Column:
         ordered = F.transform(F.array_sort(F.transform(part, lambda s: F.struct(best(s).alias("key"), s["start"].alias("start"), s["end"].alias("end"), s.alias("item")))), lambda k: k["item"])
         stays = lambda kept, s: given(s) | ~F.exists(kept, lambda k: (k["end"] > s["start"]) & (s["end"] > k["start"]))

@@ -33,7 +33,8 @@ def test_anchors_do_not_depend_on_neighbours():
     assert common
     alone = [P.paragraphs_of(pa.array([t]))[1].tolist() for t in texts]
     assert alone == [word[text == d].tolist() for d in range(40)]
-    assert len(P.paragraphs_of(pa.array([" ".join(words(24)), "", None]))[0]) == 0
+    assert len(P.paragraphs_of(pa.array([" ".join(words(4)), "", None]))[0]) == 0
+    assert P.paragraphs_of(pa.array([" ".join(words(24)), "", " ".join(words(5))]))[0].tolist() == [0, 2]
     assert len(P.paragraphs_of(pa.array([" ".join(["same"] * 5000)]))[0]) == 1
 
 
@@ -105,3 +106,9 @@ def test_whole_passages_are_removed(spark):
     assert set(by) == set(want)
     for d, held in want.items():
         assert held <= by[d] and len(by[d] - held) <= 2, d
+
+
+def test_short_texts_are_paragraphs(spark):
+    docs = [(1, "one two three four five six"), (2, "One two  three four five six"), (3, "one two three four"), (4, "one two three four"), (5, "a b c d e f g h i j k l m n o p q r s t u v w x"), (6, "a b c d e f g h i j k l m n o p q r s t u v w x y z"), (7, "a b c d e f g h i j k l m n o p q r s t u v w x")]
+    by = {r.doc_id: r.spans for r in P.removals(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert by == {1: "", 2: "0-6", 5: "", 6: "0-25", 7: "0-24"}  # of the sixth text 20 of 21 shingles are those of the fifth
