@@ -20,7 +20,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from foliant.llm.storage import written
+from foliant.llm.storage import free_name, written
 
 SHARDS = 40
 #: Tolerance of a shard's edge, as a share of a shard, and of an inner edge, as a share of a range.
@@ -144,17 +144,21 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, text: str = "text", do
     first in their group; repeated rows are dealt like others. No rows: no rows. With fewer
     rows than shards some shards are empty. Columns of the three names are replaced.
     """
-    out = _sharded(docs, shards, text, doc_id, numbered=False)
+    own = free_name(docs, "of_shards")
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own = f"_{own}"
+    out = _sharded(docs, shards, text, doc_id, own, numbered=False)
     if out is None:
-        stored = written(docs.withColumn("_row", F.monotonically_increasing_id()), "sharding")
-        out = _sharded(stored, shards, text, doc_id, numbered=True).drop("_row")
+        stored = written(docs.withColumn(f"{own}_row", F.monotonically_increasing_id()), "sharding")
+        out = _sharded(stored, shards, text, doc_id, own, numbered=True).drop(f"{own}_row")
     return out
 
 
-def _sharded(docs: DataFrame, shards: int, text: str, doc_id: str, numbered: bool) -> DataFrame | None:
-    key = {"_h": F.xxhash64(F.col(text).cast("string")), "_d": F.coalesce(F.col(doc_id).cast("long"), F.lit(LOW).cast("long"))}
+def _sharded(docs: DataFrame, shards: int, text: str, doc_id: str, own: str, numbered: bool) -> DataFrame | None:
+    """``own``: what the names of columns begin with that are needed on the way."""
+    key = {f"{own}_h": F.xxhash64(F.col(text).cast("string")), f"{own}_d": F.coalesce(F.col(doc_id).cast("long"), F.lit(LOW).cast("long"))}
     if numbered:
-        key["_r"] = F.col("_row")
+        key[f"{own}_r"] = F.col(f"{own}_row")
     parts = list(key)
     narrow = written(docs.select(size_of(text).alias("size"), *[c.alias(n) for n, c in key.items()]), "sharding-keys")
     keys = F.array(*parts)
@@ -185,11 +189,12 @@ def _sharded(docs: DataFrame, shards: int, text: str, doc_id: str, numbered: boo
     for b in range(1 << bits):
         rows.append((b, below, [list(k) for k in inner.get(b, [])]))
         below += len(inner.get(b, []))
-    by_bucket = F.broadcast(spark.createDataFrame(rows, "_b int, _below int, _inner array<array<long>>"))  # bounded by the edges
-    bases = F.broadcast(spark.createDataFrame([(j, j // each, e.rows_before - edges[j // each * each].rows_before) for j, e in enumerate(edges)], "_range int, shard int, _base long"))
+    b, below_, inner_, range_, base, place = (f"{own}_{x}" for x in ("b", "below", "inner", "range", "base", "place"))
+    by_bucket = F.broadcast(spark.createDataFrame(rows, f"{b} int, {below_} int, {inner_} array<array<long>>"))  # bounded by the edges
+    bases = F.broadcast(spark.createDataFrame([(j, j // each, e.rows_before - edges[j // each * each].rows_before) for j, e in enumerate(edges)], f"{range_} int, {own}_shard int, {base} long"))
     dealt = docs.withColumns(key | {"size": size_of(text)})
-    dealt = dealt.withColumn("_b", (F.shiftright("_h", 64 - bits) + (1 << bits - 1)).cast("int")).join(by_bucket, "_b")
-    dealt = dealt.withColumn("_range", F.col("_below") + F.size(F.filter("_inner", lambda k: k <= keys))).drop("_b", "_below", "_inner", "shard", "slot")
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*parts)) - 1
-    dealt = dealt.withColumn("_place", place).join(bases, "_range")
-    return dealt.withColumn("slot", F.col("_base") + F.col("_place")).drop("_range", "_base", "_place", *parts)
+    dealt = dealt.withColumn(b, (F.shiftright(parts[0], 64 - bits) + (1 << bits - 1)).cast("int")).join(by_bucket, b)
+    dealt = dealt.withColumn(range_, F.col(below_) + F.size(F.filter(inner_, lambda k: k <= keys))).drop(b, below_, inner_)
+    nth = F.row_number().over(Window.partitionBy(range_).orderBy(*parts)) - 1
+    dealt = dealt.withColumn(place, nth).join(bases, range_)
+    return dealt.withColumns({"shard": F.col(f"{own}_shard"), "slot": F.col(base) + F.col(place)}).drop(range_, base, place, f"{own}_shard", *parts)

@@ -44,3 +44,11 @@ def test_few_or_no_rows(spark):
     assert shard_by_bytes(make(spark, [(1, "a", "b")]).limit(0)).count() == 0
     for rows in ([(1, "a", "b")], [(1, "a", "b")] * 5, [(None, None, None), (2, "", "x"), (3, "long " * 500, "x")]):
         check(rows, shard_by_bytes(make(spark, rows)).collect())
+
+
+def test_columns_of_any_name_are_kept(spark):
+    rows = [(i, "text" * (i % 5), i, "x", 1.5, "y") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _h long, _range string, _of_shards_h double, _row string")
+    out = shard_by_bytes(docs)
+    assert sorted(out.columns) == sorted([*docs.columns, "size", "shard", "slot"])
+    assert sorted(map(tuple, out.select(docs.columns).collect())) == sorted(rows)
