@@ -26,6 +26,8 @@ TABLES = 12
 #: Bound of the vectors that the number of probes is fitted on, and of the queries among them.
 SAMPLE, SAMPLE_QUERIES = 4096, 256
 RECALL = 0.96
+#: Candidates that a group returns beside those asked for, as scores are computed anew before they are ranked.
+SPARE = 4
 #: Classes and queries that meet in one group.
 CHUNK, QUERY_CHUNK = 4096, 16384
 MATCHES = "query_id long, rank int, vec_id long, score double"
@@ -168,12 +170,11 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_i
             c, ids = c[order], ids[order]
             for i in range(0, len(right), 512):
                 some = right.iloc[i : i + 512]
-                s = np.frombuffer(b"".join(some["v"]), kind).reshape(-1, width).astype(np.float64) @ c.T
-                m = min(k + 1, len(ids))
-                best = np.argsort(-s, axis=1, kind="stable")[:, :m] if len(ids) < 64 else _top(s, m)
+                q = np.frombuffer(b"".join(some["v"]), kind).reshape(-1, width).astype(np.float64)
+                best = _top(q @ c.T, min(k + 1 + SPARE, len(ids)))
                 out["cid"] += some["cid"].tolist()
                 out["near"] += list(ids[best])
-                out["scores"] += list(np.take_along_axis(s, best, 1))
+                out["scores"] += list(_products(q, c, best))
         return pd.DataFrame(out)
 
     met = index.select(*key, "cid", "v").groupBy(key).cogroup(probed.select(*key, "cid", "v").groupBy(key)).applyInPandas(rank, "cid long, near array<long>, scores array<double>")
@@ -197,6 +198,18 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_i
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
 
 
+def _products(q: np.ndarray, c: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """The product of each row of ``q`` with its rows ``best`` of ``c``.
+
+    One pair has one value: a product of matrices may differ in the last bit with their shapes.
+    """
+    out = np.empty(best.shape)
+    step = max(1, (1 << 21) // max(1, best.shape[1] * q.shape[1]))
+    for i in range(0, len(q), step):
+        out[i : i + step] = np.einsum("ij,ikj->ik", q[i : i + step], c[best[i : i + step]])
+    return out
+
+
 def _top(s: np.ndarray, m: int) -> np.ndarray:
     """Columns of the ``m`` largest of each row; at the least kept score the first columns stay."""
     if s.shape[1] <= m:
