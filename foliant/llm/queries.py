@@ -13,10 +13,12 @@ from foliant.llm.paragraphs import removals
 from foliant.llm.sharding import shard_by_bytes
 from foliant.llm.simhash import near_duplicates
 from foliant.llm.sstable import token_tables
+from foliant.operators.joins import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A whole table; one in fewer parts than there are cores is dealt to all of them."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
