@@ -650,8 +650,8 @@ def section_text(spark, sf_dir):
 
 @query(CTREE + """, a AS (SELECT doc_id, node_id, parent_id, ord, s, e FROM leaf UNION ALL SELECT doc_id, node_id, parent_id, ord, s, e FROM top),
 c AS (SELECT doc_id, parent_id AS node_id, arg_max(e, ord) AS last FROM leaf GROUP BY ALL), n AS (SELECT doc_id, count(*) AS n FROM a GROUP BY doc_id),
-t AS (SELECT top.doc_id, top.node_id, last FROM top JOIN c USING (doc_id, node_id) JOIN n USING (doc_id) WHERE last - s + 1 = 1 OR (n > 20 AND last - s + 1 < 40))
-SELECT a.doc_id, a.node_id, coalesce(t.last, a.e)::INT AS "end" FROM a LEFT JOIN t ON t.doc_id = a.doc_id AND t.node_id = a.node_id WHERE NOT EXISTS (SELECT 1 FROM t u WHERE u.doc_id = a.doc_id AND u.node_id = a.parent_id)""")
+thin AS (SELECT top.doc_id, top.node_id, last FROM top JOIN c USING (doc_id, node_id) JOIN n USING (doc_id) WHERE last - s + 1 = 1 OR (n > 20 AND last - s + 1 < 40))
+SELECT a.doc_id, a.node_id, coalesce(thin.last, a.e)::INT AS "end" FROM a LEFT JOIN thin ON thin.doc_id = a.doc_id AND thin.node_id = a.node_id WHERE NOT EXISTS (SELECT 1 FROM thin u WHERE u.doc_id = a.doc_id AND u.node_id = a.parent_id)""")
 def page_thinned(spark, sf_dir):
     nodes = trees.with_path_ids(customer_tree(spark, sf_dir))
     return trees.page_thinned(nodes, 20, 40).select("doc_id", "node_id", F.col("end").cast("int").alias("end"))
