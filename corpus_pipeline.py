@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foliant.llm import contamination, pii, quality, wide_simhash
 from foliant.llm.packing import pack_best_fit
-from foliant.llm.storage import fresh_path
+from foliant.llm.storage import free_name, fresh_path
 from foliant.operators.joins import spread
 
 
@@ -45,11 +45,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; ``n_chars``, if there is one, follows the new text. A null text stays null."""
-    found = pii.redact(pii.with_spans(docs))
+    given = {c: free_name(docs, f"given_{c}") for c in docs.columns if c.lower() in ("pii_base", "pii_spans")}
+    found = pii.redact(pii.with_spans(docs.withColumnsRenamed(given)))
     if "n_chars" in docs.columns:
         length = F.when(F.size("pii_spans") > 0, F.length("text")).otherwise(F.col("n_chars"))
         found = found.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+    return found.select(*[F.col(given.get(c, c)).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import collections
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from foliant.llm import contamination, pii, quality
@@ -78,3 +79,22 @@ def test_a_corpus_without_labels_or_items(spark):
     labels, items = spark.createDataFrame([], "doc_id long, quality int"), spark.createDataFrame([], "item_id long, text string")
     assert quality.fit(docs, labels).weights is None and contamination.clean(docs, items).count() == 2
     assert P.redact_personal_data(spark, docs, "").count() == 2 and P.pack(spark, docs, "").count() == 2
+
+
+def test_clashing_columns_and_no_documents(spark, tmp_path):
+    small = "/root/testdata/sf0.001"
+    clash = {"_row": "r", "leaks": "l", "pii_spans": "s", "pii_base": "b", "quality_score": "q", "sig": "g", "cell": "c"}
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (10**6, "", "en", "x", 0), (10**6, "", "en", "x", 0), (10**6 + 1, "word " * 60_000, "en", "x", 300_000)], docs.schema)
+    for rows in (docs.union(odd), docs.limit(0)):
+        now = rows.withColumns({c: F.concat(F.lit(v), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for c, v in clash.items()})
+        kept = now.columns
+        for i, (_, stage) in enumerate(P.STAGES):
+            now = stage(spark, now, small)
+            assert i == len(P.STAGES) - 1 or now.columns == kept
+            now.write.mode("overwrite").parquet(path := str(tmp_path / f"{rows is docs}-{i}-{len(kept)}-{id(rows)}"))
+            now = spark.read.parquet(path)
+            if i < len(P.STAGES) - 1:
+                wrong = " or ".join(f"{c} != concat('{v}', coalesce(cast(doc_id as string), ''))" for c, v in clash.items())
+                assert now.where(wrong).count() == 0
+        assert (now.count() > 0) == (rows.count() > 0)
