@@ -21,6 +21,11 @@ def dealt_anew(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).bitwiseXOR(F.lit(0).cast("long"))
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows`` in as many tasks as there are cores at most: most graphs are small beside the tables they come from."""
+    return rows.coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("v", "u"))).first())
 
@@ -33,15 +38,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     start = edges.where(x.isNotNull() & y.isNotNull())
     ends = start.select(x.alias("node")).union(start.select(y.alias("node"))).distinct()
-    now = cut(start.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct())
+    now = cut(_few(start.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()))
     state = _state(now)
     while state[0]:
-        least = now.groupBy("u").agg(F.min("v").alias("m")).select(dealt_anew("u").alias("v"), "m")
-        large = now.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
-        large = large.union(now.groupBy("u").agg(F.min("v").alias("v"))).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = _few(now.groupBy("u").agg(F.min("v").alias("m"))).select(dealt_anew("u").alias("v"), "m")
+        large = _few(now.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v")))
+        large = _few(large.union(least.select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        least = _few(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least.select(dealt_anew("u").alias("u"), "m"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        now = cut(_few(small.union(least.select("u", F.col("m").alias("v"))).distinct()))
         before, state = state, _state(now)
         if state == before:
             break

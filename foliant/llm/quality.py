@@ -21,7 +21,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foliant.llm.storage import written
+from foliant.llm.storage import delete, written
+from foliant.llm.sums import summed
 from foliant.llm.tokens import forget
 
 #: Bound of the labelled rows that a model is fitted on.
@@ -151,21 +152,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     mean, scale = np.array(moments[:N_STATISTICS]), np.array(moments[N_STATISTICS:])
     model = Model(mean, np.where(scale > 1e-9, scale, 1.0), None, (ones + 1) / (n + 2))
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros((FEATURES + 1, FEATURES + 2))
         for batch in batches:
             if batch.num_rows:
                 z = model.fourier(np.array(batch.column("x").to_pylist()))
                 total += z.T @ np.hstack([z, batch.column("label").to_numpy()[:, None]])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
+        return total
 
-    parts = rows.where("half = 0").repartition(PARTS).mapInArrow(sums, "sums binary").collect()  # PARTS matrices of fixed size
-    total = sum(np.frombuffer(r["sums"]).reshape(FEATURES + 1, FEATURES + 2) for r in parts)
+    total = summed(rows.where("half = 0").repartition(PARTS), sums, (FEATURES + 1, FEATURES + 2))
     penalty = RIDGE * np.eye(FEATURES + 1)
     penalty[-1, -1] = 1e-6
     model.weights = np.linalg.solve(total[:, :-1] + penalty, total[:, -1])
     rest = rows.where("half = 1").toPandas()  # at most `sample` rows
     model.steps = isotonic(model.raw(np.array(rest["x"].to_list())), rest["label"].to_numpy())
+    delete(rows)
     return model
 
 

@@ -8,13 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from foliant.llm.tokens import tidy
+
 FAN = 8
 
 
 def summed(df: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray], shape: tuple[int, ...], dtype: str = "<f8") -> np.ndarray:
     """The sum of ``part`` (an array of ``shape`` from a partition's batches) over the partitions of ``df``.
 
-    Partial sums meet ``FAN`` at a time on executors until few enough are left for the driver.
+    Partial sums meet ``FAN`` at a time on executors until one is left for the driver.
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -29,12 +31,13 @@ def summed(df: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray]
 
     n = max(1, df.rdd.getNumPartitions())
     out = df.mapInArrow(first, "sum binary")
-    while n > FAN:
+    while n > 1:
         n = -(-n // FAN)
         out = out.repartition(n).mapInArrow(again, "sum binary")
     total = np.zeros(shape, dtype)
-    for r in out.toLocalIterator():
+    for r in out.collect():  # one array
         total += np.frombuffer(r["sum"], dtype).reshape(shape)
+    tidy()
     return total
 
 

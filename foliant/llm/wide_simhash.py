@@ -42,7 +42,7 @@ BITS, SEGMENTS, BANDS = 2048, 11, 90
 CHECK = 4
 CHUNK = 2048
 #: Bands at which rounds end; a round compares only what those before left apart.
-ROUNDS = [8, 48, BANDS]
+ROUNDS = [12, BANDS]
 #: Standard deviations that a candidate may lie beyond the bound, and that a sure link lies within.
 SLACK, SURE = 3, -1
 #: Crowded cells are broadcast up to so many, and joined by a shuffle beyond.
