@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliant.llm import pii, quality, secrets
+from foliant.llm import bpe, conversations, pii, quality, secrets
 from foliant.llm.ann import nearest
 from foliant.llm.contamination import leaks
+from foliant.llm.negatives import hard_negatives, quantized
 from foliant.llm.packing import pack_best_fit
 from foliant.llm.paragraphs import removals
 from foliant.llm.sharding import shard_by_bytes
@@ -70,11 +71,30 @@ def op10_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", F.floor(F.length("ids") / 4).alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    tokens = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), *ranks).drop("text")
+    back = bpe.decoded(tokens, *ranks)
+    return back.select("doc_id", F.floor(F.length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    original = table(spark, sf_dir, "conversations")
+    return conversations.report(conversations.damaged(original), original)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(quantized(vectors, label), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_latent_decontamination, op3_simhash_near_dedup, op4_cross_polytope_ann, op5_histogram_sort_sharding,
         op6_pii_spans, op7_paragraph_minhash, op8_quality_classifier, op9_secret_scan, op10_token_tables,
+        op11_byte_level_bpe, op12_conversation_repair, op13_hard_negatives,
     )
 }
 #: None of the ten is expressible in SQL on whole tables; each is tested against brute force, a round trip or held-out rows.
