@@ -42,37 +42,36 @@ class Pairs:
     """
 
     def __init__(self, ranks: list[int], none: int) -> None:
-        self.size = size = 1 << (len(ranks) - 1).bit_length()
-        values = [r * size + i for i, r in enumerate(ranks)]
-        values += [none * size] * (size - len(ranks))
-        levels = [values]
-        while len(values) > 1:
-            values = list(map(min, values[::2], values[1::2]))
-            levels.append(values)
-        self.node = [0]
-        for level in reversed(levels):
-            self.node += level
-        if size > PACKED:
-            self.node = array("q", self.node)
-        self.none = none * size
+        bits = (len(ranks) - 1).bit_length()
+        self.bits, self.size, self.none = bits, 1 << bits, none
+        values = [(r << bits) + i for i, r in enumerate(ranks)] + [none << bits] * ((1 << bits) - len(ranks))
+        node = [0] * (1 << bits) + values
+        for i in range((1 << bits) - 1, 0, -1):
+            a, b = node[2 * i], node[2 * i + 1]
+            node[i] = a if a < b else b
+        self.node = array("q", node) if self.size > PACKED else node
 
     def first(self) -> int:
         """The position of the pair to merge, -1 if there is none."""
         least = self.node[1]
-        return least % self.size if least < self.none else -1
-
-    def put(self, position: int, rank: int) -> None:
-        """Set the rank of the pair that begins at a position."""
-        node, i = self.node, position + self.size
-        node[i] = value = rank * self.size + position
-        while i > 1:
-            other = node[i ^ 1]
-            if other < value:
-                value = other
-            i >>= 1
-            if node[i] == value:
-                return
-            node[i] = value
+        return least & (self.size - 1) if least >> self.bits < self.none else -1
+
+    def put(self, *changes: tuple[int, int]) -> int:
+        """Set the ranks of the pairs that begin at positions, and return ``first()``."""
+        node, size, bits = self.node, self.size, self.bits
+        for position, rank in changes:
+            i = position + size
+            node[i] = value = (rank << bits) + position
+            while i > 1:
+                other = node[i ^ 1]
+                if other < value:
+                    value = other
+                i >>= 1
+                if node[i] == value:
+                    break
+                node[i] = value
+        least = node[1]
+        return least & (size - 1) if least >> bits < self.none else -1
 
 
 class Bpe:
@@ -96,17 +95,21 @@ class Bpe:
         n, longest, none, rank = len(cut), self.longest, self.none, self.ranks.get
         ends = list(range(1, n + 1))  # of the live part that begins at a position
         before = list(range(-1, n))  # the live position before it
-        tree = Pairs([rank(cut[i : i + 2], none) for i in range(n - 1)] + [none], none)
-        put, first = tree.put, tree.first
-        while (i := first()) >= 0:
+        ranks = [rank(cut[i : i + 2], none) for i in range(n - 1)]
+        ranks.append(none)
+        tree = Pairs(ranks, none)
+        put, i = tree.put, tree.first()
+        while i >= 0:
             gone = ends[i]
-            put(gone, none)
             ends[i] = end = ends[gone]
             before[end] = i
-            put(i, rank(cut[i : ends[end]], none) if end < n and ends[end] - i <= longest else none)
-            if i:
-                j = before[i]
-                put(j, rank(cut[j:end], none) if end - j <= longest else none)
+            after = ends[end] if end < n else 0
+            own = rank(cut[i:after], none) if after and after - i <= longest else none
+            j = before[i]
+            if j >= 0:
+                i = put((gone, none), (i, own), (j, rank(cut[j:end], none) if end - j <= longest else none))
+            else:
+                i = put((gone, none), (i, own))
         out, i, ids = [], 0, self.ranks
         while i < n:
             out.append(ids[cut[i : ends[i]]])

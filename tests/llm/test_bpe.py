@@ -41,7 +41,8 @@ def test_tree_gives_the_leftmost_least():
             assert tree.first() == (-1 if least == 9 else ranks.index(least))
             i, r = rng.randrange(n), rng.choice([1, 2, 3, 9])
             ranks[i] = r
-            tree.put(i, r)
+            ranks[0] = r
+            assert tree.put((i, r), (0, r)) == tree.first()
 
 
 def test_merges_are_those_of_plain_merging(code):
