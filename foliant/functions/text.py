@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column, functions as F
 
+from foliant.functions.arrays import let
+
 #: Words that are no terms.
 STOPWORDS = [
     "a", "an", "and", "are", "as", "at", "be", "by", "did", "do", "does", "for", "from", "how", "in", "is", "it", "its",
@@ -35,38 +38,76 @@ def without_markup(text: str | Column) -> Column:
 
 def plain_text(text: str | Column) -> Column:
     """``without_markup``, then the fixed entities as characters."""
-    out = without_markup(text)
-    for name, sign in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(sign))
-    return out
+
+    def spelled(out: Column) -> Column:
+        signs = out
+        for name, sign in ENTITIES.items():
+            signs = F.replace(signs, F.lit(name), F.lit(sign))
+        return F.when(F.contains(out, F.lit("&")), signs).otherwise(out)
+
+    return let(without_markup(text), spelled)
 
 
-def _compatible() -> tuple[str, str]:
-    """Letters, figures and ideographs that NFKC turns to one other character, and what to: the lower case of it."""
-    pairs = []
-    for c in (chr(i) for i in range(0x80, 0x10000) if not 0xD800 <= i < 0xE000):
-        to = unicodedata.normalize("NFKC", c).lower()
-        if len(to) == 1 and to != c and re.match(f"[a-z0-9{CJK}]", to) or c == "\u3000":
-            pairs.append((c, to))
-    return "".join(c for c, _ in pairs), "".join(t for _, t in pairs)
+#: Of the characters up to U+00FF those that compatibility forms leave as they are; a text of these alone is not looked at again.
+UNCHANGED = "\\x00-\\x9f\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u00ff"
 
 
-COMPATIBLE, FOLDED = _compatible()
+@cache
+def _forms() -> tuple[dict[str, str], dict[str, str], str]:
+    """From the Unicode tables: compatibility forms of one character, those of several (terms in them alone), and letters with a mark that joins them."""
+    form = lambda s: unicodedata.normalize("NFKC", s)
+    one, several = {}, {}
+    for c in (chr(i) for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000):
+        to = form(c)
+        if to != c and len(to) == 1:
+            one[c] = to
+        elif to != c and re.search(f"[A-Za-z0-9{CJK}]", to):
+            several[c] = to
+    marks = [chr(i) for i in range(0x300, 0x370)]
+    joined = {a: "".join(m for m in marks if len(form(a + m)) == 1) for a in map(chr, range(0x41, 0x7B)) if a.isalpha()}
+    return one, several, "|".join(f"{a}[{m}]" for a, m in joined.items() if m)
+
+
+def ranges(signs: str) -> str:
+    """The inside of a character class for ``signs``, neighbours as ranges."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, signs)):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\x{{{a:x}}}" + (f"-\\x{{{b:x}}}" if b > a else "") for a, b in out)
 
 
 def folded(text: str | Column) -> Column:
-    """Lower case, with compatibility forms of letters, figures and ideographs (full-width ones) as plain ones."""
-    text = col(text)
-    return F.lower(F.when(text.rlike(f"[{COMPATIBLE}]"), F.translate(text, COMPATIBLE, FOLDED)).otherwise(text))
+    """Lower case of a text's compatibility form, as far as terms are concerned.
+
+    Full-width and styled letters, ligatures, signs of several letters or figures and compatibility
+    ideographs become plain ones; an ASCII letter with a combining mark is one letter that is not ASCII.
+    """
+    one, many, marked = _forms()
+    several = ranges("".join(many))
+    signs = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+
+    def spelled(t: Column) -> Column:
+        part = lambda p: F.when(p.rlike(f"^[{several}]"), F.coalesce(F.try_element_at(signs, p), p)).otherwise(p)
+        pieces = F.regexp_extract_all(t, F.lit(f"[{several}]|[^{several}]+"), F.lit(0))
+        return F.when(t.rlike(f"[{several}]"), F.array_join(F.transform(pieces, part), "")).otherwise(t)
+
+    def compatible(t: Column) -> Column:
+        plain = F.translate(t, "".join(one), "".join(one.values()))
+        marks = "[\\x{300}-\\x{36f}]"
+        return let(F.when(t.rlike(marks), F.regexp_replace(plain, marked, "é")).otherwise(plain), spelled)
+
+    return F.lower(let(col(text), lambda t: F.when(t.rlike(f"[^{UNCHANGED}]"), compatible(t)).otherwise(t)))
 
 
 def tokens(text: str | Column, markup: bool = True) -> Column:
     """Terms of a text in order. A run of CJK gives its characters, then its pairs; numbers lose commas.
 
-    Letters are ASCII, others part terms; compatibility forms are folded first.
+    Letters are ASCII, others part terms; compatibility forms are folded first. Every part of the
+    work is done once for a text.
     """
-    plain = folded(plain_text(text) if markup else col(text))
-    found = F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0))
 
     def expand(t: Column) -> Column:
         n = F.length(t)
@@ -74,9 +115,12 @@ def tokens(text: str | Column, markup: bool = True) -> Column:
         pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr(t, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
         return F.when(t.rlike(f"^[{CJK}]"), F.concat(single, pairs)).when(t.rlike("^[0-9]"), F.array(F.replace(t, F.lit(","), F.lit("")))).otherwise(F.array(t))
 
-    kept = F.filter(found, lambda t: ~t.isin(*STOPWORDS))
-    commas = F.when(plain.rlike("[0-9],[0-9]"), F.transform(kept, lambda t: F.replace(t, F.lit(","), F.lit("")))).otherwise(kept)
-    return F.when(plain.rlike(f"[{CJK}]"), F.flatten(F.transform(kept, expand))).otherwise(commas)
+    def terms(plain: Column) -> Column:
+        kept = F.filter(F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0)), lambda t: ~t.isin(*STOPWORDS))
+        commas = lambda k: F.when(plain.rlike("[0-9],[0-9]"), F.transform(k, lambda t: F.replace(t, F.lit(","), F.lit("")))).otherwise(k)
+        return let(kept, lambda k: F.when(plain.rlike(f"[{CJK}]"), F.flatten(F.transform(k, expand))).otherwise(commas(k)))
+
+    return let(folded(plain_text(text) if markup else col(text)), terms)
 
 
 def squeezed(text: str | Column) -> Column:

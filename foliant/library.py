@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foliant.functions import calc
 from foliant.functions.periods import name_facts
-from foliant.functions.python_text import as_column, close_names, heading_before, highlight_pattern, best_window, snippet
+from foliant.functions.python_text import as_column, close_names, heading_before
+from foliant.functions.snippets import best_place, snippet
 from foliant.functions.text import page_tags, tokens
 from foliant.operators import bm25, changes, citations, evaluate, pages, passages, routing, trees
 from foliant.sources.store import Store
@@ -146,8 +147,8 @@ class Library:
         else:
             hits = bm25.top_k(found, k)
         hits = hits.withColumnRenamed("unit", "page").join(queries, "query_id").join(paged.select("doc_id", "page", "markdown", "label"), ["doc_id", "page"]).join(docs.select("doc_id", "name"), "doc_id")
-        place = as_column(lambda t, q: heading_before(t, best_window(t, highlight_pattern(q))), "string")
-        piece = as_column(lambda t, q: snippet(t, highlight_pattern(q)), "string")
+        place = as_column(lambda t, q: heading_before(t, best_place(t, q)), "string")
+        piece = as_column(snippet, "string")
         hits = hits.withColumns({"heading": place("markdown", "query"), "snippet": piece("markdown", "query")})
         out = trees.section_for(hits, self.store.table("nodes").drop("bucket"))
         return out.select("query_id", "rank", "doc_id", "name", "page", "score", "label", "section", "node_id", "snippet")
@@ -257,8 +258,8 @@ class Library:
 
 
 def _passage_unit() -> Column:
-    """A number for each passage of a document, in order."""
-    return F.col("page") * 100_000 + F.col("passage_no")
+    """A number for each passage of a document, in order: the page above 32 bits for the passage."""
+    return F.shiftleft(F.col("page").cast("long"), 32) + F.col("passage_no")
 
 
 def _index_tables(paged: DataFrame, cut: DataFrame) -> dict[str, DataFrame]:
@@ -278,7 +279,7 @@ def register_sql(spark: SparkSession) -> None:
     from foliant.operators.passages import plain, split
 
     spark.udf.register("foliant_plain", as_column(plain, "string"))
-    spark.udf.register("foliant_snippet", as_column(lambda t, q: snippet(t, highlight_pattern(q)), "string"))
+    spark.udf.register("foliant_snippet", as_column(snippet, "string"))
     spark.udf.register("foliant_calc", as_column(lambda e: calc._answer(e, "{}"), "string"))
 
     @udtf(returnType="passage_no int, start int, end int, text string")

@@ -3,18 +3,20 @@
 Input is ``spans(doc_id, page, left, right, top, bottom, text, font, font_size, bold)`` with y
 growing upwards, as PDF readers give it; decoding files is left to a reader (``sources``).
 Rules that need neighbours within a page are windows over its spans or lines; rules that need
-one block and statistics of its page or document are predicates.
+one block and statistics of its page or document are predicates. Columns, running headers and footers,
+heading detectors and the assembly of outlines are in ``gutters``, ``furniture``, ``detectors`` and
+``assembly``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, Window
 
-from foliant.functions.text import bounded_edit_distance
+from foliant.operators.furniture import furniture
+from foliant.operators.gutters import columns
 from foliant.operators.statistics import weighted_percentile
 
-ZONE = 0.2
-REACH = 3
+__all__ = ["columns", "furniture"]
 
 
 def lines(spans: DataFrame) -> DataFrame:
@@ -44,15 +46,6 @@ def text_lines(spans: DataFrame) -> DataFrame:
     return one.withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " ")))
 
 
-def columns(lines_: DataFrame, pages: DataFrame) -> DataFrame:
-    """``column`` numbers: gutters are gaps that no line of the page crosses, at least a 40th of its width."""
-    order = Window.partitionBy("doc_id", "page").orderBy("left", "right")
-    far = F.max("right").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    joined = lines_.join(pages.select("doc_id", "page", "width"), ["doc_id", "page"])
-    turn = F.when(F.col("left") - far >= F.col("width") / 40, 1).otherwise(0)
-    return joined.withColumn("_t", turn).withColumn("column", F.sum("_t").over(order)).drop("_t", "width")
-
-
 def blocks(lines_: DataFrame) -> DataFrame:
     """Lines joined to blocks: same column, like size and weight, close below each other."""
     order = Window.partitionBy("doc_id", "page", "column").orderBy(F.desc("top"), "left")
@@ -93,26 +86,6 @@ def page_statistics(lines_: DataFrame) -> DataFrame:
     return body.join(high, ["doc_id", "page"]).join(rows.groupBy("doc_id", "page").agg(F.sum("n").cast("long").alias("characters")), ["doc_id", "page"])
 
 
-def furniture(blocks_: DataFrame, pages: DataFrame) -> DataFrame:
-    """Blocks of the top or bottom fifth that recur within three pages, as ``header`` or ``footer``.
-
-    Equal text, or text that differs by less than a fifth, at about the same place; or page numbers that
-    rise with the pages.
-    """
-    joined = blocks_.join(pages.select("doc_id", "page", "height"), ["doc_id", "page"])
-    zone = F.when(F.col("bottom") >= (1 - ZONE) * F.col("height"), "header").when(F.col("top") <= ZONE * F.col("height"), "footer")
-    z = joined.withColumn("zone", zone).where("zone is not null").select("doc_id", "page", "column", "block", "zone", "text", "left", "top")
-    other = z.select("doc_id", "zone", F.col("page").alias("p2"), F.col("text").alias("t2"), F.col("left").alias("l2"), F.col("top").alias("y2"))
-    near = (F.abs(F.col("page") - F.col("p2")) <= REACH) & (F.col("page") != F.col("p2"))
-    at = (F.col("left") - F.col("l2")) ** 2 + (F.col("top") - F.col("y2")) ** 2 < 100
-    limit = F.floor(F.least(F.length("text"), F.length("t2")) / 5)
-    alike = (F.col("text") == F.col("t2")) | (bounded_edit_distance("text", "t2", 64) < limit)
-    figure = lambda c: F.try_to_number(F.regexp_extract(c, r"([0-9]{1,4})\s*$", 1), F.lit("9999"))
-    rises = figure("text") - figure("t2") == F.col("page") - F.col("p2")
-    hits = z.join(other, ["doc_id", "zone"]).where(near & at & (alike | F.coalesce(rises, F.lit(False))))
-    return hits.select("doc_id", "page", "column", "block", "zone").distinct()
-
-
 def watermarks(blocks_: DataFrame) -> DataFrame:
     """Rotated blocks of five letters or more whose text stands on three pages or more."""
     rows = blocks_.where((F.col("rotation") != 0) & (F.length(F.regexp_replace("text", "[^A-Za-z]", "")) >= 5))

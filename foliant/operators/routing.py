@@ -6,10 +6,13 @@ written by hand. Documents and paths may be many.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from foliant.functions.text import col, question_terms, word_form
 from foliant.operators.joins import small
+from foliant.sources.staging import written
 
 
 def glob_regex(pattern: str | Column) -> Column:
@@ -202,3 +205,46 @@ def clashing_names(files: DataFrame) -> DataFrame:
     alone = F.count("*").over(Window.partitionBy("k", "tail")) == 1
     best = tails.withColumn("alone", alone).groupBy("path").agg(F.min_by("tail", F.when(F.col("alone"), F.col("k")).otherwise(F.col("k") + 1000)).alias("unique_name"))
     return best.withColumn("name", F.element_at(F.split("path", "/"), -1)).select("path", "name", "unique_name")
+
+
+#: Nodes of a level that a question is shown, those that it keeps, and levels it goes down.
+SHOWN, BEAM, LEVELS = 90, 4, 8
+
+
+def descended(questions: DataFrame, nodes: DataFrame, choose: Callable[[DataFrame], DataFrame] | None = None, beam: int = BEAM, shown: int = SHOWN, levels: int = LEVELS) -> DataFrame:
+    """``query_id, doc_id, node_id, level, score``: where a descent through section trees, a level at a time, ends for each question.
+
+    ``questions(query_id, query, doc_id)`` name the documents that a question begins in, ``nodes(doc_id, node_id, parent_id,
+    ord, title, summary)`` are their trees. Of a level's nodes the ``shown`` best by terms are put before
+    ``choose(query_id, query, doc_id, node_id, title, summary, score)``, which returns ``query_id, doc_id, node_id`` of its
+    picks; picks that were not shown do not count, and where it picks nothing the best by terms is taken. The ``beam`` best picks go on
+    to their children; one without children, or that is on the last level, is an end. Each question that has
+    a document with nodes ends in one node at least.
+    """
+    spark = questions.sparkSession
+    terms = questions.select("query_id", "query", "doc_id").distinct().withColumn("terms", F.transform(question_terms("query"), lambda t: F.lower(t["term"])))
+    rows = nodes.select("doc_id", "node_id", "parent_id", "ord", "title", F.coalesce("summary", F.lit("")).alias("summary"))
+    score = F.aggregate("terms", F.lit(0.0), lambda a, t: a + F.contains(F.lower("title"), t).cast("double") + 0.5 * F.contains(F.lower("summary"), t).cast("double"))
+    held = rows.select("doc_id", F.col("parent_id").alias("node_id")).where("node_id is not null").distinct().withColumn("goes_on", F.lit(True))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "ord", "node_id")
+    now = terms.join(rows.where("parent_id is null"), "doc_id")
+    out = None
+    for level in range(1, levels + 1):
+        seen = written(now.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= shown), "descent")
+        if not seen.limit(1).count():
+            break
+        best = seen.where("rank = 1").select("query_id", "doc_id", "node_id")
+        if choose is None:
+            top = seen.groupBy("query_id").agg(F.max("score").alias("score"))
+            picks = seen.join(top, ["query_id", "score"]).select("query_id", "doc_id", "node_id")
+        else:
+            asked = choose(seen.select("query_id", "query", "doc_id", "node_id", "title", "summary", "score"))
+            picks = written(asked.select("query_id", "doc_id", "node_id").distinct().join(seen.select("query_id", "doc_id", "node_id"), ["query_id", "doc_id", "node_id"], "left_semi"), "picks")
+            picks = picks.unionByName(best.join(picks.select("query_id"), "query_id", "left_anti"))
+        kept = seen.join(picks, ["query_id", "doc_id", "node_id"], "left_semi").withColumn("place", F.row_number().over(order)).where(F.col("place") <= beam)
+        kept = written(kept.join(held, ["doc_id", "node_id"], "left").drop("rank", "place"), "descent")
+        ends = kept.where(F.lit(level == levels) | F.col("goes_on").isNull()).select("query_id", "doc_id", "node_id", F.lit(level).alias("level"), "score")
+        out = ends if out is None else out.unionByName(ends)
+        down = kept.where("goes_on").select("query_id", "query", "terms", "doc_id", F.col("node_id").alias("parent_id"))
+        now = down.join(rows, ["doc_id", "parent_id"])
+    return out if out is not None else spark.createDataFrame([], f"query_id {questions.schema['query_id'].dataType.simpleString()}, doc_id {nodes.schema['doc_id'].dataType.simpleString()}, node_id string, level int, score double")

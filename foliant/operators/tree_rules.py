@@ -15,6 +15,7 @@ from foliant.functions.arrays import scan
 from foliant.functions.python_text import as_column, title_form
 from foliant.functions.text import title_key
 from foliant.operators import trees
+from foliant.sources.staging import written
 
 #: Fixed value: what a title ends with that another one goes on with.
 CONTINUED = r"(?i)\s*[（(]\s*(?:續|续|continued)\s*[)）]\s*$"
@@ -138,27 +139,78 @@ def thinned(nodes: DataFrame, least: int) -> DataFrame:
     return nodes.join(gone, ["doc_id", "node_id"], "left_anti").join(counts, ["doc_id", "node_id"], "left").withColumn("folded", F.coalesce("folded", F.lit(0)))
 
 
-def optimized(nodes: DataFrame, propose: Callable[[DataFrame], DataFrame] | None = None, routing: int = trees.ROUTING_COST, rounds: int = 3) -> DataFrame:
-    """Merge, and expand where a proposal makes the search cheaper, until neither changes anything.
+#: A leaf of more pages may be expanded.
+EXPANDABLE = 5
 
-    ``propose(leaves)`` returns ``doc_id, parent_id, title, start, end`` for leaves of over five
-    pages; proposals are kept where routing and the longest child beat the leaf's scan.
+
+def with_ends(children: DataFrame, holders: DataFrame) -> DataFrame:
+    """``children(doc_id, parent_id, title, start)`` with ``end``: the page before the next one's start, the last to its holder's end."""
+    order = Window.partitionBy("doc_id", "parent_id").orderBy("start", "title")
+    rows = children.select("doc_id", "parent_id", "title", "start").join(holders.select("doc_id", F.col("node_id").alias("parent_id"), F.col("end").alias("_end")), ["doc_id", "parent_id"])
+    return rows.withColumn("end", F.greatest("start", F.coalesce(F.lead("start").over(order) - 1, F.col("_end")))).drop("_end")
+
+
+def verbatim(children: DataFrame, pages: DataFrame) -> DataFrame:
+    """Those ``children(doc_id, start, title, ...)`` whose title is a line of their first page, ``pages(doc_id, page, markdown)``.
+
+    White space, case and the marks of Markdown do not count; nothing else may stand on the line.
     """
-    now = trees.merged(nodes, routing)
+    bare = lambda c: title_key(F.regexp_replace(c, r"^[\s#>*_]+|[\s#*_]+$", ""))
+    lines = pages.select("doc_id", F.col("page").alias("start"), F.explode(F.split("markdown", "\n")).alias("line")).select("doc_id", "start", bare(F.col("line")).alias("_key")).where("_key != ''").distinct()
+    return children.withColumn("_key", bare(F.col("title"))).join(lines, ["doc_id", "start", "_key"], "left_semi").drop("_key")
+
+
+def expanded(nodes: DataFrame, propose: Callable[[DataFrame], DataFrame], pages: DataFrame | None = None, routing: int = trees.ROUTING_COST) -> DataFrame:
+    """``nodes`` with children for leaves of over ``EXPANDABLE`` pages that are not ``decided``, where these make the search cheaper.
+
+    ``propose(leaves)`` returns ``doc_id, parent_id, title, start``. Proposals outside of their leaf are refused, as is, with
+    ``pages(doc_id, page, markdown)``, a title that its page does not show as a line. A leaf is
+    expanded by two children or more if routing and the longest of them beat its own scan. Every leaf that
+    was asked about is ``decided``, and so are its children.
+    """
+    asked = written(trees.leaves(nodes).where(~F.col("decided") & (F.col("end") - F.col("start") + 1 > EXPANDABLE)), "expandable")
+    offered = propose(asked).select("doc_id", "parent_id", "title", "start")
+    inside = offered.join(asked.select("doc_id", F.col("node_id").alias("parent_id"), F.col("start").alias("_from"), F.col("end").alias("_to")), ["doc_id", "parent_id"]).where("start between _from and _to").select("doc_id", "parent_id", "title", "start").distinct()
+    shown = inside if pages is None else verbatim(inside, pages)
+    fit = written(with_ends(shown, asked), "proposals")
+    price = fit.groupBy("doc_id", "parent_id").agg((F.max(F.col("end") - F.col("start") + 1) + routing).alias("price"), F.count("*").alias("n"))
+    span = F.col("end") - F.col("start") + 1
+    good = price.join(asked.select("doc_id", F.col("node_id").alias("parent_id"), "depth", "ord", span.alias("span")), ["doc_id", "parent_id"]).where("price < span and n > 1")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "parent_id").orderBy("start", "title"))
+    fresh = fit.join(good, ["doc_id", "parent_id"]).withColumn("nth", nth)
+    fresh = fresh.select("doc_id", F.concat_ws(".", "parent_id", F.col("nth").cast("string")).alias("node_id"), "parent_id", (F.col("depth") + 1).alias("depth"), "ord", "nth", "title", "start", "end", F.array().cast("array<string>").alias("key_items"), F.lit(True).alias("decided"))
+    met = nodes.join(asked.select("doc_id", "node_id", F.lit(True).alias("_asked")), ["doc_id", "node_id"], "left")
+    met = met.select("doc_id", "node_id", "parent_id", "depth", "ord", F.lit(0).alias("nth"), "title", "start", "end", "key_items", (F.col("decided") | F.coalesce("_asked", F.lit(False))).alias("decided"))
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "nth")) - 1
+    return met.unionByName(fresh).withColumn("ord", order.cast("int")).drop("nth")
+
+
+def optimized(nodes: DataFrame, propose: Callable[[DataFrame], DataFrame] | None = None, pages: DataFrame | None = None, routing: int = trees.ROUTING_COST, rounds: int = 3) -> DataFrame:
+    """Merge, and expand where proposals make the search cheaper, in rounds until nothing changes.
+
+    What was merged or asked about once is frozen: ``decided`` says so, and ``nodes`` that bring the column back
+    are left as they are, so that a second run changes nothing and asks nothing.
+    """
+    given = nodes if "decided" in nodes.columns else nodes.withColumn("decided", F.lit(False))
+    had = given if "key_items" in given.columns else given.withColumn("key_items", F.array().cast("array<string>"))
+    now = written(_frozen_merge(had, routing), "tree-round")
     for _ in range(rounds if propose else 0):
-        long = trees.leaves(now).where("end - start + 1 > 5")
-        offered = propose(long)
-        price = offered.groupBy("doc_id", "parent_id").agg((F.max(F.col("end") - F.col("start") + 1) + routing).alias("price"))
-        good = price.join(long.select("doc_id", F.col("node_id").alias("parent_id"), "depth", "ord", (F.col("end") - F.col("start") + 1).alias("span")), ["doc_id", "parent_id"]).where("price < span")
-        nth = F.row_number().over(Window.partitionBy("doc_id", "parent_id").orderBy("start"))
-        fresh = offered.join(good, ["doc_id", "parent_id"]).withColumn("nth", nth)
-        fresh = fresh.select("doc_id", F.concat_ws(".", "parent_id", F.col("nth").cast("string")).alias("node_id"), "parent_id", (F.col("depth") + 1).alias("depth"), "ord", "title", "start", "end", F.array().cast("array<string>").alias("key_items"))
-        if not fresh.limit(1).count():
+        before = now.count()
+        now = written(_frozen_merge(expanded(now, propose, pages, routing), routing), "tree-round")
+        if now.count() == before:
             break
-        wider = now.drop("path_ids", "key_items").unionByName(fresh.drop("key_items"))
-        order = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "depth", "start")) - 1
-        now = trees.merged(wider.withColumn("ord", order), routing)
-    return now
+    return trees.with_path_ids(now)
+
+
+def _frozen_merge(nodes: DataFrame, routing: int) -> DataFrame:
+    """``trees.merged`` of what is not decided yet: a tree of which no node is stays as it is."""
+    open_ = nodes.where(~F.col("decided")).select("doc_id").distinct()
+    settled = nodes.join(open_, "doc_id", "left_anti")
+    kept = nodes.select("doc_id", "node_id", F.col("key_items").alias("_items"), "decided")
+    merged = trees.merged(nodes.drop("key_items", "decided", "path_ids").join(open_, "doc_id", "left_semi"), routing).drop("path_ids")
+    merged = merged.join(kept, ["doc_id", "node_id"]).withColumns({"decided": F.col("decided") | (F.size("key_items") > 0), "key_items": F.concat("_items", F.col("key_items"))})
+    columns = ["doc_id", "node_id", "parent_id", "depth", "ord", "title", "start", "end", "key_items", "decided"]
+    return merged.select(*columns).unionByName(settled.select(*columns))
 
 
 def bookmark_nodes(marks: DataFrame, page_counts: DataFrame) -> DataFrame:
@@ -215,6 +267,63 @@ def bookmark_tier(marks: DataFrame, page_counts: DataFrame) -> DataFrame:
     return facts.select("doc_id", "kept", F.when(poor, "IGNORE").when(full, "FULL").otherwise("SKELETON").alias("tier"))
 
 
+#: Titles that stand so often in a document, or are so long, are no headings.
+OFTEN, LONGEST = 3, 100
+
+
+def repaired_titles(base: DataFrame, detected: DataFrame) -> DataFrame:
+    """``base`` with bookmark titles as their pages spell them: a detected title that a bookmark's begins, or equals but for its form.
+
+    Of several on a bookmark's page the shortest counts; a bookmark of fewer than four letters is left.
+    """
+    form = as_column(lambda t: title_form(t), "string")
+    own = base.withColumn("_form", form(F.coalesce("title", F.lit(""))))
+    seen = detected.where(F.length("title") <= LONGEST).select("doc_id", "start", F.col("title").alias("_seen"), form(F.coalesce("title", F.lit(""))).alias("_of"))
+    met = own.where(F.length("_form") >= 4).join(seen, ["doc_id", "start"]).where(F.startswith("_of", F.col("_form")))
+    best = met.groupBy("doc_id", "node_id").agg(F.min_by("_seen", F.struct(F.length("_of"), "_seen")).alias("_seen"))
+    return own.drop("_form").join(best, ["doc_id", "node_id"], "left").withColumn("title", F.coalesce("_seen", "title")).drop("_seen")
+
+
+def merged_bookmarks(base: DataFrame, detected: DataFrame) -> DataFrame:
+    """``NODES``: a bookmark tree, its titles repaired, with the detected nodes hung into it by their pages.
+
+    A detected node is held by the deepest bookmark on whose pages it begins. One that goes on past its holder is
+    dissolved: what hangs below it is hung anew, each under its own holder or the nearest detected node above it that
+    stays under the same one. So do the nodes below a title that is refused: one over ``LONGEST`` characters, one
+    that stands ``OFTEN`` times or more, or its holder's own title. Bookmarks keep their pages: none is lost or doubled.
+    """
+    base, found = repaired_titles(base, detected), trees.with_path_ids(detected)
+    often = detected.groupBy("doc_id", title_key("title").alias("_key")).agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).select("doc_id", "_key")
+    covers = (F.col("d.doc_id") == F.col("b.doc_id")) & F.col("d.start").between(F.col("b.start"), F.col("b.end"))
+    pairs = found.alias("d").join(base.alias("b"), covers)
+    holder = F.struct("b.depth", "b.start", "b.ord")
+    placed = pairs.groupBy("d.doc_id", "d.node_id").agg(F.max_by(F.struct(F.col("b.node_id").alias("node_id"), F.col("b.title").alias("title"), F.col("b.depth").alias("depth"), F.col("b.ord").alias("ord"), F.col("b.end").alias("end")), holder).alias("h"))
+    rows = found.join(placed, ["doc_id", "node_id"]).withColumn("_key", title_key("title"))
+    stays = (F.col("end") <= F.col("h.end")) & (F.length("title") <= LONGEST) & (F.col("_key") != title_key("h.title")) & (F.col("_key") != "")
+    stays = rows.where(stays).join(often, ["doc_id", "_key"], "left_anti")
+    stays = written(stays.select("doc_id", "node_id", "ord", "title", "start", "end", "path_ids", "h"), "bookmark-parts")
+
+    up = stays.select("doc_id", "node_id", F.col("h.node_id").alias("holder"), F.posexplode("path_ids").alias("level", "top")).where("top != node_id")
+    tops = stays.select("doc_id", F.col("node_id").alias("top"), F.col("h.node_id").alias("holder"))
+    above = up.join(tops, ["doc_id", "top", "holder"]).groupBy("doc_id", "node_id").agg(F.max_by("top", "level").alias("top"), F.count("*").alias("between"))
+    hung = stays.join(above, ["doc_id", "node_id"], "left")
+    hung = hung.select("doc_id", F.concat(F.lit("d"), "node_id").alias("node_id"), F.coalesce(F.concat(F.lit("d"), "top"), F.col("h.node_id")).alias("parent_id"), (F.col("h.depth") + 1 + F.coalesce("between", F.lit(0))).cast("int").alias("depth"), F.col("h.ord").alias("_first"), "start", (F.col("ord") + 1).alias("_then"), "title", "end")
+    whole = base.select("doc_id", "node_id", "parent_id", "depth", F.col("ord").alias("_first"), "start", F.lit(0).alias("_then"), "title", "end").unionByName(hung)
+    # What hangs under a bookmark with children of its own stands among them by page.
+    at = _placed(whole)
+    return numbered(at, "_at")
+
+
+def _placed(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``_at``: the way to each from the top, a bookmark before what begins with it and children in order of pages."""
+    own = F.struct("start", F.col("_then"), "_first", "node_id")
+    rows = nodes.withColumns({"_at": F.array(own), "_up": F.col("parent_id")})
+    steps = nodes.select("doc_id", F.col("node_id").alias("_up"), F.col("parent_id").alias("_next"), F.array(own).alias("_step"))
+    for _ in range((nodes.agg(F.max("depth")).first()[0] or 1) - 1):
+        rows = rows.join(steps, ["doc_id", "_up"], "left").withColumns({"_at": F.when(F.col("_step").isNotNull(), F.concat("_step", "_at")).otherwise(F.col("_at")), "_up": F.col("_next")}).drop("_step", "_next")
+    return rows.drop("_up")
+
+
 def graft(base: DataFrame, detected: DataFrame) -> DataFrame:
     """Detected nodes hung under the deepest leaf of a bookmark tree that covers them.
 

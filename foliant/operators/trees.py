@@ -288,18 +288,27 @@ def frontier(nodes: DataFrame) -> DataFrame:
 
 
 def tree_metrics(nodes: DataFrame, page_counts: DataFrame, routing: int = ROUTING_COST) -> DataFrame:
-    """Search complexity of each document's tree: worst case, average, depths, probability mass."""
-    f = frontier(nodes).join(page_counts.select("doc_id", F.col("pages").alias("total")), "doc_id")
+    """Search complexity of each document's tree: worst case, average, depths, probability mass.
+
+    Sums are of whole numbers and divided once; ties of rounding go up.
+    """
+    f = frontier(nodes).join(page_counts.select("doc_id", F.col("pages").cast("long").alias("total")), "doc_id")
     cost = F.col("depth") * routing + F.col("pages")
-    share = F.col("pages") / F.col("total")
+    total = F.max("total")
     return f.groupBy("doc_id").agg(
-        F.first("total").alias("total_pages"), F.count("*").alias("frontier_nodes"), F.max(cost).alias("worst_case"),
-        F.round(F.sum(share * (F.col("depth") * routing + (F.col("pages") + 1) / 2)), 3).alias("average_case"),
-        F.round(F.max(cost) / F.first("total"), 4).alias("normalized_worst_case"), F.max("depth").alias("max_depth"),
-        F.round(F.avg("depth"), 2).alias("mean_depth"), F.round(F.sum(share), 4).alias("probability_mass"),
+        F.max(F.col("total").cast("int")).alias("total_pages"), F.count("*").alias("frontier_nodes"), F.max(cost).alias("worst_case"),
+        quotient(F.sum((F.col("depth") * 2 * routing + F.col("pages") + 1) * F.col("pages").cast("long")), 2 * total, 3).alias("average_case"),
+        quotient(F.max(cost).cast("long"), total, 4).alias("normalized_worst_case"), F.max("depth").alias("max_depth"),
+        quotient(F.sum("depth"), F.count("*"), 2).alias("mean_depth"), quotient(F.sum("pages"), total, 4).alias("probability_mass"),
     )
 
 
+def quotient(n: Column, d: Column, places: int) -> Column:
+    """``n / d`` of whole numbers, not negative, to ``places``; exact ties go up."""
+    unit = 10**places
+    return F.call_function("div", 2 * n * unit + d, 2 * d) / F.lit(float(unit))
+
+
 def tree_costs(nodes: DataFrame, routing: int = ROUTING_COST) -> DataFrame:
     """``doc_id, node_id, span, cost``: a node's pages, and the worst case of searching its subtree.
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from foliant.functions import calc, periods, text
-from foliant.functions.python_text import as_column, highlight_pattern, snippet, title_form
-from foliant.operators import bm25, changes, citations, evaluate, layout, pages as pages_, passages, routing, statistics, tree_rules, trees
+from foliant.functions.python_text import as_column, title_form
+from foliant.functions.snippets import snippet
+from foliant.operators import assembly, bm25, changes, citations, detectors, evaluate, furniture, gutters, layout, pages as pages_, passages, routing, statistics, tree_rules, trees, tries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -77,8 +78,9 @@ ONE = "the heading of thentin edre and onan for thble"
 
 
 def _stable(scored: DataFrame, k: int) -> DataFrame:
-    """Top k by scores that are rounded first, so that engines which add in another order agree."""
-    return rounded(bm25.top_k(scored.withColumn("score", F.round("score", 9)), k))
+    """Top k by scores that are rounded first, so that engines which add in another order agree; the score shown is rounded once."""
+    ranked = bm25.top_k(scored.withColumns({"whole": F.col("score"), "score": F.round("score", 9)}), k)
+    return rounded(ranked.drop("score").withColumnRenamed("whole", "score"))
 
 
 @query(f"WITH {UNITS}, q AS (SELECT 1::BIGINT AS query_id, '{ONE}' AS query)" + BM25_ALL.replace("{k}", "10"))
@@ -287,8 +289,14 @@ def tree_cost_frontier(spark, sf_dir):
     return costs.where(F.startswith("node_id", F.lit("n"))).select("doc_id", "node_id", F.col("span").cast("int").alias("span"), F.col("cost").cast("int").alias("cost"))
 
 
-@query(CTREE + """ SELECT doc_id, any_value(total)::INT AS total_pages, count(*) AS frontier_nodes, max(depth + pages)::INT AS worst_case, round(sum(pages / total * (depth + (pages + 1) / 2)), 3) AS average_case,
-round(max(depth + pages) / any_value(total), 4) AS normalized_worst_case, max(depth)::INT AS max_depth, round(avg(depth), 2) AS mean_depth, round(sum(pages / total), 4) AS probability_mass FROM f JOIN t USING (doc_id) GROUP BY doc_id""")
+def _quotient(n: str, d: str, places: int) -> str:
+    """``n / d`` of whole numbers to ``places``; exact ties go up."""
+    unit = 10**places
+    return f"(2 * ({n}) * {unit} + {d}) // (2 * {d}) / {unit}.0::DOUBLE"
+
+
+@query(CTREE + f""" SELECT doc_id, max(total)::INT AS total_pages, count(*) AS frontier_nodes, max(depth + pages)::INT AS worst_case, {_quotient('sum(pages * (2 * depth + pages + 1))::BIGINT', '(2 * max(total))::BIGINT', 3)} AS average_case,
+{_quotient('max(depth + pages)::BIGINT', 'max(total)::BIGINT', 4)} AS normalized_worst_case, max(depth)::INT AS max_depth, {_quotient('sum(depth)::BIGINT', 'count(*)', 2)} AS mean_depth, {_quotient('sum(pages)::BIGINT', 'max(total)::BIGINT', 4)} AS probability_mass FROM f JOIN t USING (doc_id) GROUP BY doc_id""")
 def tree_metrics(spark, sf_dir):
     out = trees.tree_metrics(customer_tree(spark, sf_dir), customer_pages(spark, sf_dir))
     return out.withColumns({c: F.col(c).cast("int") for c in ("total_pages", "worst_case", "max_depth")})
@@ -683,7 +691,7 @@ def parsed_pages(spark, sf_dir):
 def snippets(spark, sf_dir):
     asked = item_queries(spark, sf_dir)
     hits = bm25.search(units(spark, sf_dir), asked, 1, markup=False).join(asked, "query_id").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return hits.select("query_id", "doc_id", as_column(lambda t, q: snippet(t, highlight_pattern(q)), "string")("text", "query").alias("snippet"))
+    return hits.select("query_id", "doc_id", as_column(snippet, "string")("text", "query").alias("snippet"))
 
 
 @query("""WITH x AS (SELECT o_orderkey, year(o_orderdate) AS y, quarter(o_orderdate) AS q, month(o_orderdate) AS m, o_orderkey % 9 AS kind FROM orders)
@@ -727,6 +735,81 @@ def layout_outline(spark, sf_dir):
     return layout.outline(layout.heading_candidates(blocks, docs)).select("doc_id", "page", "ord", "level", "text")
 
 
+SHEET = 36
+NLINES = "WITH li AS (SELECT doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS n FROM documents)"
+
+
+def set_lines(spark, sf_dir, per_page: int) -> DataFrame:
+    """Every line of every document, ``per_page`` to a page: ``doc_id, page, k`` (from 0 on its page), ``on_page`` and ``text``."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n", "text"))
+    lines = lines.select("doc_id", (F.floor(F.col("n") / per_page) + 1).cast("int").alias("page"), (F.col("n") % per_page).alias("k"), "text")
+    return lines.withColumn("on_page", F.count("*").over(Window.partitionBy("doc_id", "page")))
+
+
+@query(NLINES + f""" SELECT doc_id, (n // {SHEET} + 1)::INT AS page, md5(string_agg((n % {SHEET})::VARCHAR, ',' ORDER BY n)) AS reading FROM li GROUP BY ALL""")
+def nested_columns(spark, sf_dir):
+    """Lines of documents set in a title over two columns, a rule over three, and one column where a page is not full; read back in order."""
+    k, whole = F.col("k"), F.col("on_page") == SHEET
+    two, three = (k >= 1) & (k < 19), k >= 21
+    column = F.when(two, F.floor((k - 1) / 9)).when(three, F.floor((k - 21) / 5)).otherwise(0)
+    row = F.when(two, 1 + (k - 1) % 9).when(three, 13 + (k - 21) % 5).when(k >= 19, k - 8).otherwise(0)
+    width = F.when(two, 240.0).when(three, 150.0).otherwise(500.0)
+    left = F.when(whole, 50 + column * F.when(two, 260.0).otherwise(175.0)).otherwise(50.0)
+    top = 800 - F.when(whole, row).otherwise(k) * 14.0
+    lines = set_lines(spark, sf_dir, SHEET).select("doc_id", "page", "k", left.alias("left"), (left + F.when(whole, width).otherwise(500.0)).alias("right"), top.alias("top"), (top - 10).alias("bottom"), F.lit(10.0).alias("font_size"))
+    found = gutters.columns(lines, lines.select("doc_id", "page").distinct().withColumn("width", F.lit(600.0)))
+    order = F.transform(F.array_sort(F.collect_list(F.struct("column", (-F.col("top")).alias("y"), "left", "k"))), lambda x: x["k"].cast("string"))
+    return found.groupBy("doc_id", "page").agg(F.md5(F.array_join(order, ",")).alias("reading"))
+
+
+@query(NLINES + """, p AS (SELECT doc_id, max(n) // 30 + 1 AS pages FROM li GROUP BY doc_id) SELECT doc_id, pages AS headers, pages AS footers FROM p WHERE pages > 1""")
+def running_headers(spark, sf_dir):
+    """Documents on pages of 30 lines with their source above and a number below: how many of either are found, and no line of text."""
+    lines = set_lines(spark, sf_dir, 30)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    sheet = lines.groupBy("doc_id", "page").agg(F.count("*").alias("lines")).join(docs, "doc_id")
+    box = lambda block, top, bottom, n, text: F.struct(F.lit(block).alias("block"), F.lit(60.0).alias("left"), F.lit(top).alias("top"), F.lit(bottom).alias("bottom"), n.cast("long").alias("n_lines"), text.alias("text"))
+    whole = lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), " ").alias("text"))
+    blocks = sheet.join(whole, ["doc_id", "page"]).select("doc_id", "page", F.lit(0).alias("column"), F.explode(F.array(
+        box(0, 830.0, 820.0, F.lit(1), F.concat(F.lit("Report of "), F.coalesce("source", F.lit("none")))), box(1, 780.0, 100.0, F.greatest("lines", F.lit(4)), F.col("text")), box(2, 30.0, 20.0, F.lit(1), F.concat(F.lit("Page "), F.col("page").cast("string"))),
+    )).alias("b")).select("doc_id", "page", "column", "b.*")
+    found = furniture.furniture(blocks, sheet.select("doc_id", "page", F.lit(850.0).alias("height")))
+    count = lambda zone: F.count(F.when(F.col("zone") == zone, 1)).alias(zone + "s")
+    return found.groupBy("doc_id").agg(count("header"), count("footer"))
+
+
+@query(NLINES + """, p AS (SELECT doc_id, max(n) // 24 + 1 AS pages, max(n) + 1 AS lines FROM li GROUP BY doc_id),
+h AS (SELECT doc_id, pages, lines, unnest(range(pages)) AS p FROM p WHERE pages >= 3), e AS (SELECT doc_id, p, 0 AS part FROM h UNION ALL SELECT doc_id, p, 1 FROM h WHERE lines > p * 24 + 12)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY p, part) - 1)::INT AS ord, CASE WHEN part = 1 THEN (row_number() OVER (PARTITION BY doc_id ORDER BY p, part) - 2)::INT END AS parent_ord, part + 1 AS depth, (p + 1)::INT AS page, (p + 1)::INT AS "end" FROM e""")
+def assembled_outline(spark, sf_dir):
+    """Documents on pages of 24 lines, each headed by a chapter and, after twelve lines, by a smaller heading: the outline found in them."""
+    lines = set_lines(spark, sf_dir, 24)
+    half = lines.groupBy("doc_id", "page", F.floor(F.col("k") / 12).alias("half")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), " ").alias("text"), F.count("*").alias("n_lines"))
+    y = 800 - F.col("half") * 380.0
+    head = F.struct((F.col("half") * 2).cast("int").alias("block"), y.alias("top"), (y - F.when(F.col("half") == 0, 18.0).otherwise(13.0)).alias("bottom"), F.lit(1).cast("long").alias("n_lines"), F.when(F.col("half") == 0, F.concat(F.lit("Chapter "), F.col("page").cast("string"), F.lit(" Results"))).otherwise(F.concat(F.lit("Further figures for "), F.col("page").cast("string"))).alias("text"), F.when(F.col("half") == 0, 18.0).otherwise(13.0).alias("font_size"), F.lit(1.0).alias("bold"))
+    body = F.struct((F.col("half") * 2 + 1).cast("int").alias("block"), (y - 22).alias("top"), (y - 340).alias("bottom"), F.greatest(F.lit(6), "n_lines").alias("n_lines"), F.col("text").alias("text"), F.lit(10.0).alias("font_size"), F.lit(0.0).alias("bold"))
+    blocks = half.select("doc_id", "page", F.lit(0).alias("column"), F.lit(60.0).alias("left"), F.lit(540.0).alias("right"), F.explode(F.array(head, body)).alias("b")).select("doc_id", "page", "column", "left", "right", "b.*")
+    pages = blocks.select("doc_id", "page").distinct().withColumns({"width": F.lit(600.0), "height": F.lit(850.0)})
+    docs = pages.groupBy("doc_id").agg(F.max("page").alias("pages"), F.lit(10.0).alias("body_size"), F.lit(False).alias("body_bold"))
+    nodes = assembly.outline(detectors.headings(blocks, pages, docs), docs)
+    return nodes.select("doc_id", "ord", "parent_ord", "depth", "page", "end")
+
+
+GRAMS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')"
+
+
+@query(rf"""WITH b AS (SELECT {GRAMS} AS w FROM benchmark), t AS (SELECT DISTINCT w[i:i + 2] AS term FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM b)),
+d AS (SELECT doc_id, {GRAMS} AS w FROM documents), g AS (SELECT doc_id, w[i:i + 2] AS term FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d))
+SELECT doc_id, count(*) AS places, count(DISTINCT term) AS terms FROM g JOIN t USING (term) GROUP BY doc_id""")
+def term_occurrences(spark, sf_dir):
+    """Every three words in a row of the benchmark as a term, and all their places in all documents."""
+    words = tries.words
+    grams = table(spark, sf_dir, "benchmark").select(words("text").alias("w")).where("size(w) >= 3")
+    grams = grams.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice(F.col("w"), i, F.lit(3)), " "))).alias("term")).distinct()
+    found = tries.occurrences(table(spark, sf_dir, "documents").select("doc_id", "text"), grams.withColumn("term_id", F.monotonically_increasing_id()))
+    return found.groupBy("doc_id").agg(F.count("*").alias("places"), F.count_distinct("term_id").alias("terms"))
+
+
 @query("SELECT floor(epoch(ts) / 86400)::BIGINT AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def event_windows(spark, sf_dir):
     """Records by window: what the stream of a log counts, over the table as it is."""

@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from foliant.operators.joins import spread
+
 QUESTION = "id string, question string, expected string, doc array<string>, extra map<string,string>"
 
 
@@ -34,6 +36,45 @@ def listing(spark: SparkSession, folder: str, include: list[str] | None = None,
     return out.limit(most) if most else out
 
 
+def carried_listing(spark: SparkSession, folder: str, before: DataFrame | None, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """``listing`` with ``content_hash`` of each file, and ``carried``: whether that comes from ``before``, an earlier result of this.
+
+    A file of the same path, size and time as before is not opened; its entry is carried over. Files that are gone
+    have no row. Keep the result (``store.written``, a table) as ``before`` of the next scan.
+    """
+    from foliant.operators.changes import content_key
+
+    now = listing(spark, folder, include, exclude)
+    known = spark.createDataFrame([], "path string, size long, mtime timestamp, content_hash string") if before is None else before.select("path", "size", "mtime", "content_hash")
+    met = now.join(known, ["path", "size", "mtime"], "left").withColumn("carried", F.col("content_hash").isNotNull())
+    fresh = _texts(spark, folder, met.where("not carried").select("path")).select("path", content_key("text").alias("_hash"))
+    return met.join(fresh, "path", "left").withColumn("content_hash", F.coalesce("content_hash", "_hash")).drop("_hash")
+
+
+def changed_files(spark: SparkSession, folder: str, before: DataFrame | None, include: list[str] | None = None) -> DataFrame:
+    """``path, name, text`` of the files that are new or have another size or time than in ``before(path, size, mtime)``; others are not opened."""
+    now = listing(spark, folder, include)
+    changed = now if before is None else now.join(before.select("path", "size", "mtime"), ["path", "size", "mtime"], "left_anti")
+    return _texts(spark, folder, changed.select("path"))
+
+
+def _texts(spark: SparkSession, folder: str, paths: DataFrame) -> DataFrame:
+    """``path, name, text`` of files by path: tasks open the files of their own rows."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(spark._jvm.org.apache.hadoop.fs.Path(folder)).toString()
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for frame in frames:
+            for path in frame["path"]:
+                files, at = fs.FileSystem.from_uri(f"{base}/{path}" if "://" in base else f"file://{base.removeprefix('file:')}/{path}")
+                with files.open_input_stream(at) as stream:
+                    text = stream.read().decode(errors="replace").replace("\r\n", "\n").replace("\r", "\n").removeprefix("\ufeff")
+                yield pd.DataFrame({"path": [path], "name": [path.rpartition("/")[2]], "text": [text]})
+
+    return spread(paths).mapInPandas(read, "path string, name string, text string")
+
+
 def _questions(rows: DataFrame) -> DataFrame:
     """Blank questions go, missing ids are ``Q001`` on, repeated ids are an error."""
     have = rows.columns
