@@ -6,24 +6,24 @@ such kinds, the largest first. Levels are put in order by a comparator (forms fi
 weight and case), and headings are hung by a stack that is popped until the comparator says deeper.
 Headings whose numbers go back, jump or repeat, or whose style fits none of their kind, are refused.
 
-Style clusters and refusals are windows; cliques and the stack take a document at a time, whose
-headings are few.
+Style clusters and refusals are windows; cliques and the stack take a document's headings, which are
+few, as arrays in Arrow batches of documents.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from functools import cmp_to_key
-from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 #: Points between sizes of one style, and between those of what may share a level.
 CLOSE, SHARED = 0.9, 0.5
 #: Forms from the outermost; kinds that are not here have no form, and their style decides.
 OUTER = {"chapter": 0, "appendix": 0, "abstract": 0, "introduction": 0, "references": 0}
-NODES = "doc_id {}, ord int, parent_ord int, depth int, title string, page int, end int"
 
 
 def styled(headings: DataFrame) -> DataFrame:
@@ -121,31 +121,33 @@ def levels(kinds: dict[Kind, int]) -> dict[Kind, int]:
     return {k: rank for rank, one in enumerate(ordered) for k in one}
 
 
-def _assembled(rows: pd.DataFrame) -> pd.DataFrame:
-    """The nodes of one document's headings."""
-    rows = rows.sort_values(["page", "column", "top", "left"], ascending=[True, True, False, True]).reset_index(drop=True)
-    kinds = [Kind(k if d else "plain", int(d), int(s), float(z), bool(b > 0.5), bool(c)) for k, d, s, z, b, c in zip(rows["kind"], rows["depth"], rows["style"], rows["style_size"], rows["bold"], rows["capitals"])]
-    counts = {k: len(list(g)) for k, g in groupby(sorted(kinds, key=repr))}
-    rank = levels(counts)
+def placed(kinds: list[Kind], numbers: list[tuple], pages: list[int], opens: list[bool], last: int) -> tuple[list[int | None], list[int], list[int]]:
+    """``parent, depth, end`` of each of one document's headings, in reading order."""
+    rank = levels(Counter(kinds))
     stack: list[int] = []
     parent: list[int | None] = []
     depth: list[int] = []
-    numbers = [tuple(n) for n in rows["numbers"]]
-    for i, kind in enumerate(kinds):
+    for i in range(len(kinds)):
         while stack and not _deeper(i, stack[-1], kinds, numbers, rank):
             stack.pop()
         parent.append(stack[-1] if stack else None)
         depth.append(len(stack) + 1)
         stack.append(i)
-    pages, opens = rows["page"].tolist(), rows["opens"].tolist()
-    end = [0] * len(rows)
-    last = int(rows["pages"].iloc[0])
-    for i in range(len(rows)):  # to where the next one begins; below, holders take in what hangs under them
-        end[i] = last if i + 1 == len(rows) else max(pages[i], pages[i + 1] - 1 if opens[i + 1] else pages[i + 1])
-    for i in reversed(range(len(rows))):
+    # A node ends where the next one begins; then holders take in what hangs under them.
+    end = [max(page, after - 1 if opened else after) for page, after, opened in zip(pages, pages[1:], opens[1:])] + [max(pages[-1], last)]
+    for i in reversed(range(len(kinds))):
         if parent[i] is not None:
             end[parent[i]] = max(end[parent[i]], end[i])
-    return pd.DataFrame({"doc_id": rows["doc_id"], "ord": range(len(rows)), "parent_ord": pd.array(parent, "Int32"), "depth": depth, "title": rows["text"], "page": pages, "end": end})
+    return parent, depth, end
+
+
+@F.pandas_udf(StructType([StructField(c, ArrayType(IntegerType())) for c in ("parent", "depth", "end")]))
+def _placed(kind: pd.Series, depth: pd.Series, style: pd.Series, size: pd.Series, bold: pd.Series, capitals: pd.Series, numbers: pd.Series, pages: pd.Series, opens: pd.Series, last: pd.Series) -> pd.DataFrame:
+    out = []
+    for k, d, s, z, b, c, n, p, o, end in zip(kind, depth, style, size, bold, capitals, numbers, pages, opens, last):
+        kinds = [Kind(form if level else "plain", int(level), int(st), float(points), bool(heavy), bool(caps)) for form, level, st, points, heavy, caps in zip(k, d, s, z, b, c)]
+        out.append(placed(kinds, [tuple(x) for x in n], [int(x) for x in p], [bool(x) for x in o], int(end)))
+    return pd.DataFrame(out, columns=["parent", "depth", "end"])
 
 
 def _deeper(i: int, holder: int, kinds: list[Kind], numbers: list[tuple], rank: dict[Kind, int]) -> bool:
@@ -165,9 +167,12 @@ def assembled(headings: DataFrame, page_counts: DataFrame) -> DataFrame:
     """
     fit = accepted(styled(headings)).join(page_counts.select("doc_id", "pages"), "doc_id")
     rows = fit.withColumn("opens", F.col("opens_page") & (F.col("column") == 0))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    columns = ["doc_id", "page", "column", "top", "left", "text", "kind", "numbers", "depth", "style", "style_size", "bold", "capitals", "opens", "pages"]
-    return rows.select(*columns).groupBy("doc_id").applyInPandas(_assembled, NODES.format(kind))
+    heading = F.struct("page", "column", (-F.col("top")).alias("y"), "left", "block", "text", "kind", "numbers", "depth", "style", "style_size", (F.col("bold") > 0.5).alias("heavy"), "capitals", "opens")
+    one = rows.groupBy("doc_id", "pages").agg(F.array_sort(F.collect_list(heading)).alias("h"))
+    of = lambda c: F.transform("h", lambda x: x[c])
+    one = one.withColumn("n", _placed(of("kind"), of("depth"), of("style"), of("style_size"), of("heavy"), of("capitals"), of("numbers"), of("page"), of("opens"), F.col("pages")))
+    each = one.select("doc_id", F.posexplode(F.arrays_zip("h", "n.parent", "n.depth", "n.end")).alias("ord", "x"))
+    return each.select("doc_id", "ord", F.col("x.parent").alias("parent_ord"), F.col("x.depth").alias("depth"), F.col("x.h.text").alias("title"), F.col("x.h.page").alias("page"), F.col("x.end").alias("end"))
 
 
 def valid(nodes: DataFrame, page_counts: DataFrame) -> DataFrame:

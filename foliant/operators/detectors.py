@@ -96,15 +96,17 @@ def candidates(blocks_: DataFrame, pages: DataFrame, documents: DataFrame) -> Da
     pitch = F.greatest("body_size", F.lit(1.0))
     above = F.coalesce((F.lag("bottom").over(order) - F.col("top")) / pitch, F.lit(9.0))
     below = F.coalesce((F.col("bottom") - F.lead("top").over(order)) / pitch, F.lit(9.0))
-    n, letters = F.length("text"), F.length(F.regexp_replace("text", r"\P{L}", ""))
-    upper = F.length(F.regexp_replace("text", r"\P{Lu}", ""))
-    rows = rows.withColumns({"above": above, "below": below, "capitals": (letters >= 3) & (upper >= 0.7 * letters), "gain": F.col("font_size") - F.col("body_size"), "opens_page": F.col("top") >= F.max("top").over(Window.partitionBy("doc_id", "page"))})
+    rows = rows.withColumns({"above": above, "below": below, "gain": F.col("font_size") - F.col("body_size"), "opens_page": F.col("top") >= F.max("top").over(Window.partitionBy("doc_id", "page"))})
+    n = F.length("text")
+    placed = (F.col("n_lines") <= MOST_LINES) & (n < MOST_CHARS) & (F.col("bottom") <= (1 - TOP_STRIP) * F.col("height")) & (F.col("left") <= 0.8 * F.col("width"))
+    rows = rows.where(placed)  # long texts are not looked into
+    letters, upper = F.length(F.regexp_replace("text", r"\P{L}+", "")), F.length(F.regexp_replace("text", r"\P{Lu}+", ""))
+    rows = rows.withColumn("_letters", letters).withColumn("capitals", (F.col("_letters") >= 3) & (upper >= 0.7 * F.col("_letters")))
 
     strong_style = F.col("capitals") | (F.col("gain") >= LARGE)
     gates = (
-        (F.col("n_lines") <= F.when(strong_style, MOST_LINES).otherwise(PLAIN_LINES)) & (n < MOST_CHARS) & (letters > 0)
-        & (F.col("bottom") <= (1 - TOP_STRIP) * F.col("height")) & (F.col("left") <= 0.8 * F.col("width")) & ~F.col("text").rlike(r"(?:\.\s*){4,}[0-9]*\s*$|(?i)^(?:fig(?:ure)?|table|chart|图|表)\s*\.?\s*[0-9]")
-        & ~F.col("text").rlike(r"[,;]\s*$")
+        (F.col("n_lines") <= F.when(strong_style, MOST_LINES).otherwise(PLAIN_LINES)) & (F.col("_letters") > 0)
+        & ~F.col("text").rlike(r"(?:\.\s*){4,}[0-9]*\s*$|(?i)^(?:fig(?:ure)?|table|chart|图|表)\s*\.?\s*[0-9]") & ~F.col("text").rlike(r"[,;]\s*$")
     )
     centred = (F.abs((F.col("left") + F.col("right") - F.col("width")) / 2) < 0.03 * F.col("width")) & (F.col("right") - F.col("left") < 0.6 * F.col("width"))
     heavy = (F.col("bold") > 0.5) & ~F.col("body_bold")
@@ -118,9 +120,9 @@ def candidates(blocks_: DataFrame, pages: DataFrame, documents: DataFrame) -> Da
     found = F.array(*[F.when(F.col("text").rlike(d.pattern) & (F.col("proof") >= d.proof), F.struct(F.lit(d.kind).alias("kind"), _mark(d).alias("mark"))) for d in DETECTORS])
     plain = F.when((F.col("proof") >= 2) & ~F.col("text").rlike(r"[.!?。！？]\s*$"), F.struct(F.lit("plain").alias("kind"), F.lit("").alias("mark")))
     best = F.coalesce(F.try_element_at(F.filter(found, lambda x: x.isNotNull()), F.lit(1)), plain)
-    rows = rows.withColumn("_best", best).where("_best is not null").withColumns({"kind": F.col("_best.kind"), "numbers": numbers_of(F.col("_best.kind"), F.col("_best.mark"))})
+    rows = rows.withColumn("_best", F.explode(F.filter(F.array(best), lambda x: x.isNotNull()))).withColumns({"kind": F.col("_best.kind"), "numbers": numbers_of(F.col("_best.kind"), F.col("_best.mark"))})
     depth = F.when(F.col("kind").isin("numbered", "labelled"), F.greatest(F.size("numbers"), F.lit(1))).when(F.col("kind") == "plain", 0).otherwise(1)
-    return rows.withColumn("depth", depth).drop("_best", "width", "height", "body_size", "body_bold", "above", "below")
+    return rows.withColumn("depth", depth).drop("_best", "_letters", "width", "height", "body_size", "body_bold", "above", "below")
 
 
 def filtered(found: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 #: A column takes this part of the page's width at least, a gutter so many font sizes.
 LEAST_COLUMN, LEAST_GUTTER = 1 / 6, 1.2
@@ -26,16 +27,12 @@ BAND = 1.6
 def stretches(low: np.ndarray, high: np.ndarray, most: int) -> Iterator[tuple[float, float, int]]:
     """``start, end, crossing`` of the widest stretches between edges that at most ``most`` intervals cross; the outer ones are left out."""
     edges = np.concatenate((low, high))
-    step = np.concatenate((np.ones(len(low), int), -np.ones(len(high), int)))
+    step = np.repeat((1, -1), len(low))
     order = np.lexsort((step, edges))  # of equal edges an end comes first
     edges, active = edges[order], np.cumsum(step[order])
-    begin, crossing = None, 0
-    for i in range(len(edges) - 1):
-        if active[i] <= most:
-            begin, crossing = (edges[i], active[i]) if begin is None else (begin, max(crossing, active[i]))
-        if begin is not None and (active[i + 1] > most or i == len(edges) - 2):
-            yield begin, edges[i + 1], int(crossing)
-            begin = None
+    free = np.flatnonzero(active[:-1] <= most)
+    for run in np.split(free, np.flatnonzero(np.diff(free) > 1) + 1) if len(free) else ():
+        yield float(edges[run[0]]), float(edges[run[-1] + 1]), int(active[run].max())
 
 
 class Page:
@@ -49,12 +46,15 @@ class Page:
         best = (0.0, 0.0, 0)
         left, right = self.left[some], self.right[some]
         height = self.top[some].max() - self.bottom[some].min()
+        least = LEAST_GUTTER * float(np.median(self.size[some]))
         for most in sorted({0, int(len(some) * MOST_CROSSING)}):
             for start, end, crossing in stretches(left, right, most):
+                if end - start < least:
+                    continue
                 middle = (start + end) / 2
                 over = (left < middle) & (right > middle)
                 before, after = some[~over & (right <= middle)], some[~over & (left >= middle)]
-                if not len(before) or not len(after) or end - start < LEAST_GUTTER * float(np.median(self.size[some])):
+                if not len(before) or not len(after):
                     continue
                 wide = min(self.right[before].max() - self.left[before].min(), self.right[after].max() - self.left[after].min())
                 beside = min(self.top[before].max(), self.top[after].max()) - max(self.bottom[before].min(), self.bottom[after].min())
@@ -124,15 +124,22 @@ def columns(lines_: DataFrame, pages: DataFrame) -> DataFrame:
     ``lines_(doc_id, page, left, right, top, bottom, font_size, ...)``, ``pages(doc_id, page, width)``.
     """
     rows = lines_.join(pages.select("doc_id", "page", F.col("width").alias("_width")), ["doc_id", "page"])
-    schema = f"{lines_.select('doc_id', 'page', *[c for c in lines_.columns if c not in ('doc_id', 'page')]).schema.simpleString()[7:-1]},column:int"
-    names = ["doc_id", "page", *[c for c in lines_.columns if c not in ("doc_id", "page")], "column"]
-
-    def place(page: pd.DataFrame) -> pd.DataFrame:
-        of = lambda c: page[c].to_numpy(dtype=float)
-        sheet = Page(of("left"), of("right"), of("top"), of("bottom"), of("font_size"), float(page["_width"].iloc[0]))
-        number = np.zeros(len(page), dtype=np.int32)
-        for k, some in enumerate(sheet.regions()):
+    rest = [c for c in lines_.columns if c not in ("doc_id", "page")]
+    whole = rows.groupBy("doc_id", "page", "_width").agg(F.collect_list(F.struct(*rest)).alias("_lines"))
+    of = lambda c: F.transform("_lines", lambda x: x[c].cast("double"))
+    boxes = map(of, ("left", "right", "top", "bottom", "font_size"))
+    whole = whole.select("doc_id", "page", "_lines", _numbers(*boxes, F.col("_width").cast("double")).alias("_columns"))
+    each = whole.select("doc_id", "page", F.explode(F.zip_with("_lines", "_columns", lambda x, n: F.struct(x.alias("line"), n.alias("column")))).alias("_x"))
+    return each.select("doc_id", "page", *[F.col(f"_x.line.{c}").alias(c) for c in rest], F.col("_x.column").alias("column"))
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _numbers(left: pd.Series, right: pd.Series, top: pd.Series, bottom: pd.Series, size: pd.Series, width: pd.Series) -> pd.Series:
+    """The region of each line of each page."""
+    out = []
+    for one in zip(left, right, top, bottom, size, width):
+        number = np.zeros(len(one[0]), dtype=np.int32)
+        for k, some in enumerate(Page(*one).regions()):
             number[some] = k
-        return page.assign(column=number)[names]
-
-    return rows.groupBy("doc_id", "page").applyInPandas(place, schema)
+        out.append(number)
+    return pd.Series(out)
