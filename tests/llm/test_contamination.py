@@ -180,7 +180,7 @@ def test_against_one_by_one(spark, monkeypatch):
     assert got == want and 20 < len(want) < 45, (got ^ want, len(want))
 
 
-def test_long_items_are_found_whole(spark):
+def test_items_of_every_length_in_long_documents(spark):
     rng = random.Random(9)
     sizes = (5, 8, 30, 96, 121, 150, 175, 300, 1000)
     items = {i: words(n, rng) for i, n in enumerate(sizes)}
