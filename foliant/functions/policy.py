@@ -19,6 +19,7 @@ class Policy:
     aliases: list[list[str]] = field(default_factory=list)
     periods: list[str] = field(default_factory=list)
     report_types: list[tuple[int, str, str, str]] = field(default_factory=list)
+    splits: list[tuple[str, str]] = field(default_factory=list)  # report types and what they split into
     halves: set[str] = field(default_factory=set)  # report types whose quarters are halves
     corpora: dict[str, Policy] = field(default_factory=dict)
 
@@ -47,9 +48,13 @@ class Policy:
             out.periods.append(p)
         for i, (key, t) in enumerate(get("report_types", dict).items()):
             t = _typed(t, dict, f"{at}report_types.{key}")
-            out.report_types += [(i, key, kind, term) for kind, name in (("folder", "folders"), ("alias", "aliases")) for term in _typed(t.get(name, []), list, f"{at}report_types.{key}.{name}")]
+            out.report_types += [(i, key, kind, _typed(term, str, f"{at}report_types.{key}.{name}")) for kind, name in (("folder", "folders"), ("alias", "aliases"), ("filename", "filename")) for term in _typed(t.get(name, []), list, f"{at}report_types.{key}.{name}")]
+            out.splits += [(key, _typed(sub, str, f"{at}report_types.{key}.split")) for sub in _typed(t.get("split", []), list, f"{at}report_types.{key}.split")]
             if t.get("quarter_as_half"):
                 out.halves.add(key)
+        for key, sub in out.splits:
+            if sub not in mapping["report_types"]:
+                raise PolicyError(f"{at}report_types.{key}.split: unknown type {sub!r}")
         out.corpora = {name: cls.of(m, f"{at}corpora.{name}.") for name, m in get("corpora", dict).items()}
         return out
 
@@ -60,15 +65,15 @@ class Policy:
             return self
         n = len(self.weights)
         shifted = [(i + n, *rest) for i, *rest in own.weights]
-        return Policy(self.weights + shifted, self.exclude + own.exclude, self.aliases + own.aliases, self.periods + own.periods, self.report_types + own.report_types, self.halves | own.halves, {})
+        return Policy(self.weights + shifted, self.exclude + own.exclude, self.aliases + own.aliases, self.periods + own.periods, self.report_types + own.report_types, self.splits + own.splits, self.halves | own.halves, {})
 
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
-        """``weights, excludes, aliases, types`` as ``operators.routing`` takes them."""
+        """``weights, excludes, aliases, types, splits`` as ``operators.routing`` takes them."""
         return {
             "weights": spark.createDataFrame(self.weights, "ord int, pattern string, weight int, label string"),
             "excludes": spark.createDataFrame([(x,) for x in self.exclude], "pattern string"),
             "aliases": spark.createDataFrame([(i, t) for i, g in enumerate(self.aliases) for t in g], "group_id int, term string"),
-            "types": spark.createDataFrame(self.report_types, "ord int, key string, kind string, term string"),
+            "types": spark.createDataFrame(self.report_types, "ord int, key string, kind string, term string"), "splits": spark.createDataFrame(self.splits, "key string, sub string"),
         }
 
     def periods_in(self, question: str) -> list[str]:
@@ -88,18 +93,31 @@ def _typed(value, kind: type, at: str):
     return value
 
 
+#: Characters that a question may have, and words that ask.
+MOST_QUESTION = 80
+INTENT = re.compile(r"(?i)多少|几|什么|哪|如何|怎么|为什么|是否|有没有|谁|何时|对比|差异|区别|分别|同比|\b(?:what|which|how|when|why|where|who|whom|whose|is|are|was|were|does|do|did|can|could|should|compare)\b")
+#: What disqualifies a text as a question: no letter, another question in it, an end that trails off.
+REFUSED = [re.compile(r"^[^A-Za-z一-鿿]*$"), re.compile(r"[?？].*\S"), re.compile(r"[，,、;；:：]$")]
+
+
+def as_question(text: object) -> str | None:
+    """A text as one question: without a list's mark and quotes, with a mark at its end; None if it asks nothing, is cut off, or asks twice."""
+    bare = re.sub(r"^(?:[-*·•]|\(?\d{1,2}[.)、])\s*", "", " ".join(str(text or "").split())).strip().strip("“”\"'‘’")
+    if not bare or len(bare) > MOST_QUESTION or any(p.search(bare) for p in REFUSED):
+        return None
+    if bare[-1] in "?？":
+        return bare
+    return bare.rstrip(".。") + ("？" if re.search("[一-鿿]", bare) else "?") if INTENT.search(bare) else None
+
+
 def suggested_questions(reply: object, known: list[str] | None = None, most: int = 5) -> list[str]:
-    """Questions of a reply (a list, or an object that holds one): trimmed, with a question mark, each once."""
-    items = reply if isinstance(reply, list) else next((v for v in reply.values() if isinstance(v, list)), []) if isinstance(reply, dict) else []
-    out: dict[str, str] = {}
-    seen = {_key(q) for q in known or []}
-    for item in items:
-        text = item.get("question", "") if isinstance(item, dict) else item
-        text = " ".join(re.sub(r"^\s*(?:[-*•]|\d+[.)、])\s*", "", str(text)).split())
-        if 4 <= len(text) <= 200 and _key(text) not in seen:
-            chinese = re.search("[㐀-鿿]", text)
-            out.setdefault(_key(text), text if text[-1] in "?？" else text.rstrip(".。") + ("？" if chinese else "?"))
-    return list(out.values())[:most]
+    """The questions of a reply (a list, an object that holds one, or a text), each once and none that is ``known``."""
+    items = reply if isinstance(reply, list) else [reply] if isinstance(reply, str) else next((v for v in reply.values() if isinstance(v, list)), []) if isinstance(reply, dict) else []
+    asked = filter(None, (as_question(x.get("question") if isinstance(x, dict) else x) for x in items))
+    first: dict[str, str] = {}
+    for question in asked:
+        first.setdefault(_key(question), question)
+    return [q for k, q in first.items() if k not in set(map(_key, known or []))][:most]
 
 
 def _key(question: str) -> str:

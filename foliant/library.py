@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foliant.functions import calc
 from foliant.functions.periods import name_facts
+from foliant.functions.policy import Policy
 from foliant.functions.python_text import as_column, close_names, heading_before
 from foliant.functions.snippets import best_place, snippet
 from foliant.functions.text import page_tags, tokens
-from foliant.operators import bm25, changes, citations, evaluate, pages, passages, routing, trees
+from foliant.operators import bm25, changes, citations, evaluate, pages, passages, routing, scopes as scopes_, trees
+from foliant.sources.staging import delete, written
 from foliant.sources.store import Store
 
 
@@ -80,6 +82,7 @@ class Library:
     root: str
     store: Store = field(init=False)
     tools: dict[str, Tool] = field(default_factory=dict)
+    policy: Policy = field(default_factory=Policy)
 
     def __post_init__(self) -> None:
         self.store = Store(self.spark, self.root)
@@ -93,26 +96,62 @@ class Library:
     def index(self, files: DataFrame, page_chars: int = pages.PAGE_CHARS) -> int:
         """Index ``files(name, text)``; files whose content is known already are left. Returns how many were not.
 
-        With a column ``path`` files of one name in two folders are two documents.
+        With a column ``path`` files of one name in two folders are two documents. Report types are those of the
+        policy by folder and name, then by the name alone; columns ``company``, ``region``, ``period`` and ``report_type`` of
+        ``files`` are kept and go before what a name says.
         """
         known = self.store.documents()
         path = F.coalesce("path", "name") if "path" in files.columns else F.col("name")
-        fresh = files.withColumns({"content_hash": changes.content_key("text"), "doc_id": changes.file_key(path)})
+        given = [c for c in ("company", "region", "period", "report_type") if c in files.columns]
+        fresh = files.withColumns({"content_hash": changes.content_key("text"), "doc_id": changes.file_key(path), "path": path})
         if known is not None:
             fresh = fresh.join(known.select("doc_id", "content_hash"), ["doc_id", "content_hash"], "left_anti")
-        fresh = fresh.select("doc_id", "name", "text", "content_hash")
+        fresh = fresh.select("doc_id", "name", "path", "text", "content_hash", *given)
         n = fresh.count()
         if n:
-            paged = pages.pages(fresh, page_chars)
+            fresh = written(fresh, "library-files")
+            paged = written(pages.pages(fresh, page_chars), "library-pages")  # read by five tables
             nodes = trees.page_tree(pages.lines(fresh, page_chars, mask=True), fresh.select("doc_id", F.col("name").alias("title")))
-            cut = passages.passages(paged)
+            cut = written(passages.passages(paged), "library-passages")
             counts = paged.groupBy("doc_id").agg(F.max("page").alias("page_num"))
-            facts = name_facts("name")
-            docs = fresh.select("doc_id", "name", "content_hash", facts.alias("f")).select("doc_id", "name", "content_hash", "f.period", "f.report_type").join(counts, "doc_id", "left")
+            docs = self._described(fresh.drop("text"), given).join(counts, "doc_id", "left")
             docs = docs.withColumns({"status": F.lit("completed"), "created_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")})
             self.store.upsert({"documents": docs.withColumn("index_version", F.lit(bm25.VERSION)), "pages": paged.withColumn("tags", page_tags("markdown")), "nodes": nodes, "passages": cut} | _index_tables(paged, cut))
+            delete(fresh, paged, cut)
         return n
 
+    def _described(self, files: DataFrame, given: list[str]) -> DataFrame:
+        """``doc_id, name, content_hash, period, report_type, report_type_source, company, region`` of ``files``."""
+        rows = files.withColumnsRenamed({c: f"_{c}" for c in given})
+        configured: Column | None = None
+        half: bool | Column = False
+        rows = rows.withColumn("report_type_source", F.lit(None).cast("string"))
+        if self.policy.report_types:
+            rules = self.policy.tables(self.spark)
+            rows = scopes_.document_types(rows, rules["types"], rules["splits"]).withColumnRenamed("report_type", "_configured")
+            configured = F.col("_configured")
+            half = F.coalesce(configured.isin(*self.policy.halves), F.lit(False)) if self.policy.halves else False
+        facts = name_facts("name", configured, half)
+        known = lambda c: F.col(f"_{c}").cast("string") if c in given else F.lit(None).cast("string")
+        rows = rows.withColumn("f", facts)
+        return rows.select("doc_id", "name", "content_hash", F.coalesce(known("period"), "f.period").alias("period"), F.coalesce(known("report_type"), "f.report_type").alias("report_type"), "report_type_source", known("company").alias("company"), known("region").alias("region"))
+
+    def routed_search(self, queries: DataFrame, k: int = 5, match: str = "page") -> DataFrame:
+        """``search`` of each question within the documents that its period, report type, company and region name; with ``reason``.
+
+        A question that names no scope is searched in all documents.
+        """
+        docs = self.store.documents()
+        if docs is None:
+            return self.search(queries, k).withColumn("reason", F.lit("no_meta"))
+        rules = self.policy.tables(self.spark)
+        routes, scopes = scopes_.routed(queries.select("query_id", "query"), docs, rules["types"], rules["splits"], rules["aliases"])
+        routes = written(routes.select("query_id", "reason"), "routes")
+        own = queries.join(routes.where("reason = 'routed'").select("query_id"), "query_id", "left_semi")
+        free = queries.join(routes.where("reason != 'routed'").select("query_id"), "query_id", "left_semi")
+        found = self.search(own, k, scopes, match).unionByName(self.search(free, k, None, match))
+        return found.join(routes, "query_id")
+
     def _index_is_current(self, docs: DataFrame) -> None:
         """Make the index of documents anew that has another version or is missing."""
         old = docs if "index_version" not in docs.columns else docs.where(~F.col("index_version").eqNullSafe(F.lit(bm25.VERSION)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
+from foliant.functions.arrays import scan
 from foliant.functions.text import col
 
 
@@ -95,13 +96,13 @@ def skip_to_fit(pages: DataFrame, budget: int = 95_000) -> DataFrame:
     request's pages, of which there are at most thousands.
     """
 
-    def step(done: Column, x: Column) -> Column:
-        takes = (F.size(done["out"]) == 0) | (done["used"] + x["size"] <= budget)
-        return F.struct((done["used"] + F.when(takes, x["size"]).otherwise(0)).alias("used"), F.array_append(done["out"], F.struct(x["ord"].alias("ord"), x["size"].alias("size"), takes.alias("taken"))).alias("out"))
+    def step(done: Column, x: Column) -> tuple[Column, Column]:
+        takes = done["none"] | (done["used"] + x["size"] <= budget)
+        return F.struct((done["used"] + F.when(takes, x["size"]).otherwise(0)).alias("used"), F.lit(False).alias("none")), F.struct(x["ord"].alias("ord"), x["size"].alias("size"), takes.alias("taken"))
 
     one = pages.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col("ord").cast("int").alias("ord"), F.col("size").cast("long").alias("size")))).alias("x"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<ord:int,size:bigint,taken:boolean>>").alias("out"))
-    return one.select("query_id", F.explode(F.aggregate("x", zero, step, lambda done: done["out"])).alias("x")).select("query_id", "x.*")
+    zero = F.struct(F.lit(0).cast("long").alias("used"), F.lit(True).alias("none"))
+    return one.select("query_id", F.explode(scan(F.col("x"), zero, step, "struct<ord:int,size:bigint,taken:boolean>")).alias("x")).select("query_id", "x.*")
 
 
 def image_pages(wanted: DataFrame, docs: DataFrame, limit: int = 3) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
+from foliant.functions.arrays import scan
 from foliant.functions.text import col, title_key
 
 ROUTING_COST = 1
@@ -54,25 +55,33 @@ def heading_nodes(lines: DataFrame, bold: bool = True, flat_bold: bool = False)
     its level or above; levels of later bold lines are read as from the heading that asks.
     """
     docs = headings(lines, bold, flat_bold)
+    of_bold = lambda last: F.when(last > 0, F.least(last + 1, F.lit(6))).otherwise(1)
 
-    def step(done: Column, h: Column) -> Column:
+    def down(done: Column, h: Column) -> tuple[Column, Column]:
+        """From the first heading on: what holds it. Titles of the way go with the stack."""
         is_bold = h["level"] == BOLD
-        last = F.when(is_bold, done["last"]).otherwise(h["level"])
-        level = F.when(is_bold, F.when(done["last"] > 0, F.least(done["last"] + 1, F.lit(6))).otherwise(1)).otherwise(h["level"])
+        level = F.when(is_bold, of_bold(done["last"])).otherwise(h["level"])
         stack = F.filter(done["stack"], lambda s: s["level"] < level)
-        later = F.filter(F.col("found"), lambda x: (x["line"] > h["line"]) & (F.when(x["level"] == BOLD, F.when(last > 0, F.least(last + 1, F.lit(6))).otherwise(1)).otherwise(x["level"]) <= level))
-        end = F.coalesce(F.try_element_at(later, F.lit(1))["line"] - 1, F.col("last_line")).cast("int")
-        ord_ = F.size(done["out"])
-        node = F.struct(
-            ord_.alias("ord"), level.alias("level"), (F.size(stack) + 1).alias("depth"), h["title"].alias("title"), h["line"].alias("start"), end.alias("end"),
-            F.try_element_at(stack, F.lit(-1))["ord"].alias("parent_ord"), F.array_append(F.transform(stack, lambda s: s["title"]), h["title"]).alias("path"),
-        )
-        pushed = F.array_append(stack, F.struct(level.alias("level"), ord_.alias("ord"), h["title"].alias("title")))
-        return F.struct(last.alias("last"), pushed.alias("stack"), F.array_append(done["out"], node).alias("out"))
-
-    node = "array<struct<ord:int,level:int,depth:int,title:string,start:int,end:int,parent_ord:int,path:array<string>>>"
-    zero = F.struct(F.lit(0).alias("last"), F.array().cast("array<struct<level:int,ord:int,title:string>>").alias("stack"), F.array().cast(node).alias("out"))
-    return docs.select("doc_id", F.explode(F.aggregate("found", zero, step, lambda done: done["out"])).alias("n")).select("doc_id", "n.*")
+        node = F.struct(level.alias("level"), done["ord"].alias("ord"), F.try_element_at(stack, F.lit(-1))["ord"].alias("parent_ord"), F.array_append(F.transform(stack, lambda s: s["title"]), h["title"]).alias("path"))
+        pushed = F.array_append(stack, F.struct(level.alias("level"), done["ord"].alias("ord"), h["title"].alias("title")))
+        return F.struct(F.when(is_bold, done["last"]).otherwise(h["level"]).alias("last"), (done["ord"] + 1).alias("ord"), pushed.alias("stack")), node
+
+    def up(after: Column, x: Column) -> tuple[Column, Column]:
+        """From the last one back: the lines where the nearest later heading of each level, and the nearest bold one, begin."""
+        own, level = x["h"], x["n"]["level"]
+        bold_too = (own["level"] == BOLD) | (level == 6)  # a bold line is below the heading before it, but no deeper than 6
+        nearest = F.array_min(F.concat(F.slice(after, 1, level), F.when(bold_too, F.slice(after, 7, 1)).otherwise(F.slice(after, 1, 0))))
+        place = F.when(own["level"] == BOLD, 6).otherwise(own["level"] - 1)
+        return F.transform(after, lambda a, i: F.when(i == place, own["line"]).otherwise(a)), F.coalesce(nearest - 1, F.col("last_line")).cast("int")
+
+    node = "struct<level:int,ord:int,parent_ord:int,path:array<string>>"
+    start = F.struct(F.lit(0).alias("last"), F.lit(0).alias("ord"), F.array().cast("array<struct<level:int,ord:int,title:string>>").alias("stack"))
+    docs = docs.withColumn("nodes", scan(F.col("found"), start, down, node))
+    both = F.reverse(F.zip_with("found", "nodes", lambda h, n: F.struct(h.alias("h"), n.alias("n"))))
+    docs = docs.withColumn("ends", F.reverse(scan(both, F.array_repeat(F.lit(None).cast("int"), 7), up, "int")))
+    each = docs.select("doc_id", F.explode(F.arrays_zip("found", "nodes", "ends")).alias("x"))
+    n = lambda c: F.col(f"x.nodes.{c}").alias(c)
+    return each.select("doc_id", n("ord"), n("level"), F.size("x.nodes.path").alias("depth"), F.col("x.found.title").alias("title"), F.col("x.found.line").alias("start"), F.col("x.ends").alias("end"), n("parent_ord"), n("path"))
 
 
 def with_ids(nodes: DataFrame) -> DataFrame:
@@ -227,16 +236,16 @@ def group_by_numbering(siblings: DataFrame) -> DataFrame:
     ranked = siblings.withColumn("rank", numbering_rank("title"))
     one = ranked.groupBy("doc_id", "parent_id").agg(F.array_sort(F.collect_list(F.struct("ord", "rank"))).alias("items"), F.count_distinct("rank").alias("styles"))
 
-    def step(done: Column, x: Column) -> Column:
+    def step(done: Column, x: Column) -> tuple[Column, Column]:
         stack = F.when(x["rank"].isNull(), done["stack"]).otherwise(F.filter(done["stack"], lambda s: s["rank"] < x["rank"]))
         holder = F.when(x["rank"].isNull(), done["holder"]).otherwise(F.try_element_at(stack, F.lit(-1))["ord"])
         pushed = F.when(x["rank"].isNull(), stack).otherwise(F.array_append(stack, x))
-        return F.struct(pushed.alias("stack"), holder.alias("holder"), F.array_append(done["out"], F.struct(x["ord"].alias("ord"), holder.alias("holder_ord"))).alias("out"))
+        return F.struct(pushed.alias("stack"), holder.alias("holder")), F.struct(x["ord"].alias("ord"), holder.alias("holder_ord"))
 
     kind = "array<struct<ord:int,rank:int>>"
     one = one.withColumn("items", F.col("items").cast(kind))
-    zero = F.struct(F.array().cast(kind).alias("stack"), F.lit(None).cast("int").alias("holder"), F.array().cast("array<struct<ord:int,holder_ord:int>>").alias("out"))
-    placed = one.select("doc_id", "parent_id", "styles", F.explode(F.aggregate("items", zero, step, lambda done: done["out"])).alias("x"))
+    zero = F.struct(F.array().cast(kind).alias("stack"), F.lit(None).cast("int").alias("holder"))
+    placed = one.select("doc_id", "parent_id", "styles", F.explode(scan(F.col("items"), zero, step, "struct<ord:int,holder_ord:int>")).alias("x"))
     return placed.select("doc_id", "parent_id", "x.ord", F.when(F.col("styles") >= 2, F.col("x.holder_ord")).alias("holder_ord"))
 
 

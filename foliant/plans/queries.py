@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from foliant.functions import calc, periods, text
 from foliant.functions.python_text import as_column, title_form
 from foliant.functions.snippets import snippet
-from foliant.operators import assembly, bm25, changes, citations, detectors, evaluate, furniture, gutters, layout, pages as pages_, passages, routing, statistics, tree_rules, trees, tries
+from foliant.operators import assembly, bm25, changes, citations, detectors, evaluate, furniture, gutters, joins, layout, pages as pages_, passages, routing, statistics, summaries, tree_rules, trees, tries
+from foliant.sources.staging import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -187,19 +188,20 @@ def boilerplate_lines(spark, sf_dir):
 
 
 def document_markdown(spark, sf_dir) -> DataFrame:
-    """A Markdown text for each document: its source, and for each eight of its lines a heading, the first of them, a bold line and one more."""
+    """A Markdown text for each document: its source, and for each eight of its lines a heading, these as a list, a bold line and one more."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    part = lambda k: F.concat(F.lit("## Part "), k.cast("string"), F.lit("\n- "), F.get(F.col("lines"), (k - 1) * 8), F.lit("\n**Note**\nmore text"))
+    listed = lambda k: F.array_join(F.transform(F.slice(F.col("lines"), (k - 1) * 8 + 1, F.lit(8)), lambda x: F.concat(F.lit("- "), x)), "\n")
+    part = lambda k: F.concat(F.lit("## Part "), k.cast("string"), F.lit("\n"), listed(k), F.lit("\n**Note**\nmore text"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "source", lines.alias("lines"))
     body = F.array_join(F.transform(F.sequence(F.lit(1), F.ceil(F.size("lines") / 8).cast("int")), part), "\n")
     return docs.select("doc_id", F.concat(F.lit("# "), F.col("source"), F.lit("\nopening\n"), body).alias("text"))
 
 
-HEADINGS = """WITH c AS (SELECT doc_id::VARCHAR AS doc_id, source, (len(string_split(coalesce(text, ''), chr(10))) + 7) // 8 AS n FROM documents),
-k AS (SELECT doc_id, source, n, 'Part ' || k AS name, k FROM (SELECT doc_id, source, n, unnest(generate_series(1, n)) AS k FROM c)),
-h AS (SELECT doc_id, 0 AS ord, 1 AS depth, source AS title, 1 AS "start", (2 + 4 * n)::INT AS "end", source AS path, NULL::INT AS parent_ord FROM c
-UNION ALL SELECT doc_id, (2 * k - 1)::INT, 2, name, (4 * k - 1)::INT, (4 * k + 2)::INT, source || ' > ' || name, 0 FROM k
-UNION ALL SELECT doc_id, (2 * k)::INT, 3, 'Note', (4 * k + 1)::INT, (4 * k + 2)::INT, source || ' > ' || name || ' > Note', (2 * k - 1)::INT FROM k)"""
+HEADINGS = """WITH c AS (SELECT doc_id::VARCHAR AS doc_id, source, len(string_split(coalesce(text, ''), chr(10))) AS lines FROM documents),
+k AS (SELECT doc_id, source, lines, (lines + 7) // 8 AS n, 'Part ' || k AS name, k, least(8, lines - 8 * (k - 1)) AS own, 3 + 11 * (k - 1) AS first FROM (SELECT doc_id, source, lines, unnest(generate_series(1, (lines + 7) // 8)) AS k FROM c)),
+h AS (SELECT doc_id, 0 AS ord, 1 AS depth, source AS title, 1 AS "start", max(first + own + 2)::INT AS "end", source AS path, NULL::INT AS parent_ord FROM k GROUP BY doc_id, source
+UNION ALL SELECT doc_id, (2 * k - 1)::INT, 2, name, first::INT, (first + own + 2)::INT, source || ' > ' || name, 0 FROM k
+UNION ALL SELECT doc_id, (2 * k)::INT, 3, 'Note', (first + own + 1)::INT, (first + own + 2)::INT, source || ' > ' || name || ' > Note', (2 * k - 1)::INT FROM k)"""
 
 
 @query(HEADINGS + ' SELECT doc_id, ord, depth, title, "start", "end", path, parent_ord FROM h')
@@ -795,6 +797,28 @@ def assembled_outline(spark, sf_dir):
     return nodes.select("doc_id", "ord", "parent_ord", "depth", "page", "end")
 
 
+@query("""WITH v AS (SELECT user_id, ts, max(event_id) AS last_view FROM events WHERE event_type = 'view' GROUP BY ALL)
+SELECT e.event_id, v.last_view FROM (SELECT * FROM events WHERE event_type <> 'view') e ASOF LEFT JOIN v ON v.user_id = e.user_id AND v.ts <= e.ts""")
+def last_view_before(spark, sf_dir):
+    """For every event that is no view, the last view of the same user at or before it."""
+    e = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    views = e.where("event_type = 'view'").select("user_id", "at", F.col("event_id").alias("last_view"))
+    return joins.as_of(e.where("event_type != 'view'").select("event_id", "user_id", "at"), views, ["user_id"], "at", "last_view", 86_400_000_000.0).select("event_id", "last_view")
+
+
+@query("""WITH leaf AS (SELECT n_regionkey AS doc_id, n_nationkey, n_name, c_custkey, c_name, c_name || ' of ' || c_mktsegment AS own FROM customer JOIN nation ON c_nationkey = n_nationkey),
+s AS (SELECT doc_id, n_nationkey, n_name, c_custkey, c_name, CASE WHEN length(own) > 30 THEN left(md5(own), 8) ELSE own END AS summary FROM leaf),
+top AS (SELECT doc_id, n_nationkey, left(md5(n_name || chr(10) || string_agg(c_name || ': ' || summary, chr(10) ORDER BY c_custkey)), 8) AS summary FROM s GROUP BY doc_id, n_nationkey, n_name)
+SELECT doc_id, 'c' || c_custkey AS node_id, summary FROM s UNION ALL SELECT doc_id, 'n' || n_nationkey, summary FROM top""")
+def tree_summaries(spark, sf_dir):
+    """Customers under their nations, summarised from below: short texts stand for themselves, others are digests."""
+    nodes = customer_tree(spark, sf_dir)
+    c = table(spark, sf_dir, "customer")
+    texts = c.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("doc_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node_id"), F.concat("c_name", F.lit(" of "), "c_mktsegment").alias("text"))
+    digest = lambda asked: asked.select("fingerprint", F.left(F.md5("source"), F.lit(8)).alias("summary"))
+    return summaries.summarized(nodes, texts, digest, fresh_path(spark, "summaries"), short=30).select("doc_id", "node_id", "summary")
+
+
 GRAMS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')"
 
 
