@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import cache
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
@@ -37,17 +38,36 @@ def without_markup(text: str | Column) -> Column:
 
 
 def plain_text(text: str | Column) -> Column:
-    """``without_markup``, then the fixed entities as characters."""
+    """``without_markup``, then entities as characters: those by name, the common ones first, and those by number, each once."""
 
-    def spelled(out: Column) -> Column:
-        signs = out
+    def common(out: Column) -> Column:
         for name, sign in ENTITIES.items():
-            signs = F.replace(signs, F.lit(name), F.lit(sign))
-        return F.when(F.contains(out, F.lit("&")), signs).otherwise(out)
+            out = F.replace(out, F.lit(name), F.lit(sign))
+        return out
+
+    def spelled(out: Column) -> Column:
+        rare = F.concat(F.lit("&(?!(?:"), F.lit("|".join(n[1:-1] for n in ENTITIES)), F.lit(");)(?:[A-Za-z][A-Za-z0-9]+|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"))
+        return F.when(~F.contains(out, F.lit("&")), out).when(F.regexp_like(out, rare), unescaped(out)).otherwise(common(out))
 
     return let(without_markup(text), spelled)
 
 
+def unescaped(text: Column) -> Column:
+    """A text with every entity that ends in a semicolon as its characters; unknown names stay, numbers of no character become U+FFFD."""
+    names = F.create_map(*[F.lit(x) for name, sign in html5.items() if name.endswith(";") for x in ("&" + name, sign)])
+    old = F.create_map(*[F.lit(x) for i in range(0x80, 0xA0) if (c := bytes([i]).decode("cp1252", "ignore")) for x in (i, c)])  # numbers of an older set
+    parts = F.regexp_extract_all(text, F.lit(r"&(?:[A-Za-z][A-Za-z0-9]+|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});|[^&]+|&"), F.lit(0))
+
+    def sign(p: Column) -> Column:
+        hexed = F.regexp_extract(p, "^&#[xX]([0-9A-Fa-f]+);$", 1)
+        code = F.when(hexed != "", F.conv(hexed, 16, 10)).otherwise(F.regexp_extract(p, "^&#([0-9]+);$", 1)).cast("int")
+        known = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        by_number = F.when(known, F.coalesce(F.try_element_at(old, code), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))).otherwise("\ufffd")
+        return F.when(p.rlike("^&#"), by_number).when(p.rlike("^&.+;$"), F.coalesce(F.try_element_at(names, p), p)).otherwise(p)
+
+    return F.array_join(F.transform(parts, sign), "")
+
+
 #: Of the characters up to U+00FF those that compatibility forms leave as they are; a text of these alone is not looked at again.
 UNCHANGED = "\\x00-\\x9f\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u00ff"
 
@@ -228,3 +248,37 @@ def markdown_stats(markdown: str | Column) -> Column:
     tables = count(r"(?m)^\|(?: *:?-{3,}:? *\|)+ *$")
     rows = count(r"(?m)^\|")
     return F.struct(tables.alias("tables"), (rows - tables).alias("table_rows"), count(r"(?m)^#{1,6} ").alias("headings"), F.length(text).alias("chars"))
+
+
+#: Classes of characters, as Java's patterns name them, and scripts by the blocks that decide a text's family.
+CLASSES = {"upper": r"\p{Lu}", "lower": r"\p{Ll}", "other_letters": r"[\p{Lo}\p{Lt}\p{Lm}]", "digits": r"\p{Nd}", "other_numbers": r"[\p{Nl}\p{No}]", "marks": r"\p{M}", "punctuation": r"\p{P}", "symbols": r"\p{S}", "spaces": r"[\p{Z}\x09-\x0d]"}
+SCRIPTS = {"cjk": r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]", "arabic": r"[\p{IsArabic}\p{IsHebrew}]", "cyrillic": r"[\p{IsCyrillic}\p{IsGreek}]", "latin": r"\p{IsLatin}"}
+
+
+def char_classes(text: str | Column) -> Column:
+    """Struct of how many characters of each of ``CLASSES`` a text has, and ``others``; null counts as empty."""
+    t = F.coalesce(col(text), F.lit(""))
+    counts = {name: F.regexp_count(t, F.lit(pattern)) for name, pattern in CLASSES.items()}
+    return F.struct(*[c.cast("int").alias(n) for n, c in counts.items()], (F.length(t) - sum(counts.values())).cast("int").alias("others"))
+
+
+def script_of(text: str | Column) -> Column:
+    """The family of most of a text's letters, the first of equals; null without letters of any."""
+    t = F.coalesce(col(text), F.lit(""))
+    found = F.array(*[F.struct(F.regexp_count(t, F.lit(p)).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, p) in enumerate(SCRIPTS.items())])
+    best = F.array_max(found)
+    return F.when(best["n"] > 0, best["name"])
+
+
+@cache
+def _accented() -> tuple[str, str]:
+    """Letters with marks, and the letters alone, by canonical decomposition."""
+    pairs = [(chr(i), unicodedata.normalize("NFD", chr(i))) for i in range(0xC0, 0x2000)]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and all(unicodedata.combining(m) for m in d[1:])]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+def without_marks(text: str | Column) -> Column:
+    """A text whose letters have lost their diacritics."""
+    accented, bare = _accented()
+    return F.translate(F.regexp_replace(col(text), r"\p{Mn}+", ""), accented, bare)

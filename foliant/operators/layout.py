@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, Window
 
+from foliant.functions.text import script_of
 from foliant.operators.furniture import furniture
 from foliant.operators.gutters import columns
 from foliant.operators.statistics import weighted_percentile
@@ -161,3 +162,20 @@ def outline_is_valid(headings: DataFrame, page_counts: DataFrame) -> DataFrame:
     facts = top.withColumn("gap", gap).groupBy("doc_id", "pages").agg(F.count("*").alias("n"), F.max("gap").alias("gap"), F.max("page").alias("last"))
     widest = F.greatest("gap", F.col("pages") - F.col("last"))
     return facts.select("doc_id", ((F.col("n") >= 5) | ((F.col("n") >= 3) & (widest <= 0.5 * F.col("pages")))).alias("valid"))
+
+
+def document_statistics(lines_: DataFrame, pages: DataFrame) -> DataFrame:
+    """A row of facts for each document of ``pages(doc_id, page, width, height)``.
+
+    ``pages, landscape`` (pages wider than high), ``width, height`` (medians), ``line_width, line_left`` (medians over lines),
+    ``body_size, p80_size`` (by characters) and ``script`` (the family that most of its lines are in).
+    """
+    sheets = pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum((F.col("width") > F.col("height")).cast("long")).alias("landscape"), F.percentile("width", F.lit(0.5)).alias("width"), F.percentile("height", F.lit(0.5)).alias("height"))
+    rows = lines_.withColumns({"n": F.length("text").cast("double"), "script": script_of("text")})
+    boxes = rows.groupBy("doc_id").agg(F.percentile(F.col("right") - F.col("left"), F.lit(0.5)).alias("line_width"), F.percentile("left", F.lit(0.5)).alias("line_left"))
+    body = weighted_percentile(rows, ["doc_id"], "font_size", "n", 0.5).withColumnRenamed("percentile", "body_size")
+    high = weighted_percentile(rows, ["doc_id"], "font_size", "n", 0.8).withColumnRenamed("percentile", "p80_size")
+    most = rows.where("script is not null").groupBy("doc_id", "script").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max_by("script", F.struct("n", "script")).alias("script"))
+    for more in (boxes, body, high, most):
+        sheets = sheets.join(more, "doc_id", "left")
+    return sheets

@@ -98,3 +98,25 @@ def spread(items: DataFrame, order: str, limit: int) -> DataFrame:
     at = F.row_number().over(Window.orderBy(order)) - 1
     picked = [i * n // limit for i in range(limit)]
     return items.withColumn("_at", at).where(F.col("_at").isin(picked)).drop("_at")
+
+
+def duplication(duplicates: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``doc_id, chunks, repeated, pairs, across``: how much of each document repeats elsewhere.
+
+    ``duplicates(a, b)`` are pairs of like chunks, ``chunks(key, doc_id)`` all of them. Repeated: chunks that are in any pair;
+    pairs: those that touch the document, once each; across: those of them with another document.
+    """
+    first, second = (chunks.select(F.col("key").alias(k), F.col("doc_id").alias(f"doc_{k}")) for k in ("a", "b"))
+    met = duplicates.select("a", "b").join(first, "a").join(second, "b")
+    ends = met.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("doc_a").alias("doc_id")), F.struct(F.col("b").alias("key"), F.col("doc_b").alias("doc_id")))).alias("x"), "a", "b", (F.col("doc_a") != F.col("doc_b")).alias("across"))
+    touched = ends.select("x.key", "x.doc_id", "a", "b", "across")
+    repeated = touched.groupBy("doc_id").agg(F.count_distinct("key").alias("repeated"))
+    pairs = touched.select("doc_id", "a", "b", "across").distinct().groupBy("doc_id").agg(F.count("*").alias("pairs"), F.sum(F.col("across").cast("long")).alias("across"))
+    sizes = chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return sizes.join(repeated, "doc_id", "left").join(pairs, "doc_id", "left").select("doc_id", "chunks", zero("repeated"), zero("pairs"), zero("across"))
+
+
+def audit_depth(nodes: DataFrame) -> DataFrame:
+    """``doc_id, nodes, depth, top, longest_path``: the tree that a document's headings would make, of ``trees.heading_nodes``."""
+    return nodes.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth"), F.sum((F.col("depth") == 1).cast("long")).alias("top"), F.max(F.size("path")).alias("longest_path"))

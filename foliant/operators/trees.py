@@ -260,11 +260,15 @@ def bad_tree_reason(nodes: DataFrame, page_counts: DataFrame) -> DataFrame:
     """``doc_id, reason`` (null: a good tree) for ``page_counts(doc_id, pages, toc_source)``."""
     facts = nodes.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg(is_fake_title("title").cast("int")).alias("fake"))
     facts = page_counts.join(facts, "doc_id", "left")
-    reason = (
+    return facts.select("doc_id", _reason().alias("reason"))
+
+
+def _reason() -> Column:
+    """What is wrong with a tree of ``n`` nodes over ``pages``, of which a share is ``fake``; null for nothing."""
+    return (
         F.when(F.col("n").isNull(), "no structure").when((F.col("toc_source") == "pages") & (F.col("pages") > FLAT_PAGES), "one node per page")
         .when(F.col("n") > NODES_PER_PAGE * F.greatest("pages", F.lit(1)), "too many nodes").when(F.col("fake") > FAKE_SHARE, "too many fake titles")
     )
-    return facts.select("doc_id", reason.alias("reason"))
 
 
 def clamped(nodes: DataFrame, page_counts: DataFrame) -> DataFrame:
@@ -403,3 +407,46 @@ def recursive_counts(files: DataFrame) -> DataFrame:
     up = F.filter(F.transform(F.sequence(F.lit(0), F.size(F.split("dir", "/")) - 1), lambda i: F.array_join(F.slice(F.split("dir", "/"), F.lit(1), i), "/")), lambda d: d != F.col("dir"))
     n_dirs = dirs.where("dir != ''").select(F.explode(up).alias("dir")).groupBy("dir").agg(F.count("*").alias("n_dirs"))
     return n_files.join(n_dirs, "dir", "left").withColumn("n_dirs", F.coalesce("n_dirs", F.lit(0)))
+
+
+def page_marker_chapters(marks: DataFrame) -> DataFrame:
+    """``doc_id, ord, title, page, start, end`` of lines: a chapter for each page mark of ``marks(doc_id, line_no, page, last_line)``, to the line before the next one."""
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    end = F.coalesce(F.lead("line_no").over(order) - 1, F.col("last_line")).cast("int")
+    return marks.select("doc_id", (F.row_number().over(order) - 1).alias("ord"), F.concat(F.lit("Page "), F.col("page").cast("string")).alias("title"), "page", F.col("line_no").cast("int").alias("start"), end.alias("end"))
+
+
+def chosen_trees(sources: list[tuple[str, DataFrame]], page_counts: DataFrame) -> DataFrame:
+    """The nodes of each document's first good source, with ``toc_source``: ``sources`` are names and ``nodes``, the best first.
+
+    ``page_counts(doc_id, pages)``. A tree is good if ``bad_tree_reason`` has nothing against it; where none is, the last source
+    that has any nodes is taken. A source may be none for some documents.
+    """
+    every = None
+    for rank, (name, nodes) in enumerate(sources):
+        rows = nodes.withColumns({"_rank": F.lit(rank), "toc_source": F.lit(name)})
+        every = rows if every is None else every.unionByName(rows, allowMissingColumns=True)
+    of_source = every.groupBy("doc_id", "_rank", "toc_source").agg(F.count("*").alias("n"), F.avg(is_fake_title("title").cast("int")).alias("fake")).join(page_counts.select("doc_id", "pages"), "doc_id")
+    good = _reason().isNull()
+    order = F.when(good, F.col("_rank")).otherwise(2 * len(sources) - F.col("_rank"))
+    choice = of_source.groupBy("doc_id").agg(F.min_by("_rank", order).alias("_rank"))
+    return every.join(choice, ["doc_id", "_rank"]).drop("_rank")
+
+
+def valid_groups(top: DataFrame, groups: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """``doc_id, valid``: whether ``groups(doc_id, nth, title, first, last)`` of top nodes, by ``ord``, may be used.
+
+    Groups in order must take in all of ``top(doc_id, ord)`` one after the other, leave none and overlap nowhere, and have
+    a title each; with ``texts(doc_id, text)`` a title must stand in its document, whatever its case and white space.
+    """
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))
+    places = top.select("doc_id", "ord", number.alias("place"))
+    known = groups.join(places.select("doc_id", F.col("ord").alias("first"), F.col("place").alias("a")), ["doc_id", "first"], "left").join(places.select("doc_id", F.col("ord").alias("last"), F.col("place").alias("b")), ["doc_id", "last"], "left")
+    before = F.coalesce(F.lag("b").over(Window.partitionBy("doc_id").orderBy("nth")), F.lit(0))
+    good = F.coalesce((F.col("a") == before + 1) & (F.col("b") >= F.col("a")) & (F.trim(F.coalesce("title", F.lit(""))) != ""), F.lit(False))
+    if texts is not None:
+        known = known.join(texts.select("doc_id", title_key("text").alias("_text")), "doc_id", "left")
+        good = good & F.coalesce(F.contains("_text", title_key("title")), F.lit(False))
+    facts = known.withColumn("good", good).groupBy("doc_id").agg(F.min("good").alias("good"), F.max("b").alias("b"))
+    sizes = places.groupBy("doc_id").agg(F.max("place").alias("n"))
+    return sizes.join(facts, "doc_id", "left").select("doc_id", F.coalesce(F.col("good") & (F.col("b") == F.col("n")), F.lit(False)).alias("valid"))

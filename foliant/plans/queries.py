@@ -840,3 +840,6 @@ def event_windows(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     counted = e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
     return counted.select(F.floor(F.unix_seconds(F.col("w.start").cast("timestamp")) / 86400).alias("day"), "event_type", "n")
+
+
+from foliant.plans import rules  # noqa: E402, F401  registers the queries of single rules
