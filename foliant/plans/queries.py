@@ -107,9 +107,9 @@ SELECT query_id, rank::INT AS rank, doc_id, round(score, 6) AS score FROM (SELEC
 @query(f"WITH {UNITS}, q AS (SELECT item_id AS query_id, text AS query FROM benchmark)" + SCOPED)
 def bm25_scoped_topk(spark, sf_dir):
     asked, docs = item_queries(spark, sf_dir), units(spark, sf_dir)
-    even = asked.where("query_id % 2 = 0").select("query_id").join(F.broadcast(docs.where("lang = 'en'").select("doc_id")))
-    odd = asked.where("query_id % 2 = 1").select("query_id").join(F.broadcast(docs.where("source in ('src0', 'src3')").select("doc_id")))
-    return _stable(bm25.scores(docs, asked, even.union(odd), markup=False), 5)
+    named = F.when(F.col("query_id") % 2 == 0, F.array(F.lit("en"))).otherwise(F.array(F.lit("src0"), F.lit("src3")))
+    members = docs.select(F.explode(F.array("lang", "source")).alias("scope"), "doc_id")
+    return _stable(bm25.scores(docs, asked, asked.select("query_id", F.explode(named).alias("scope")), markup=False, members=members), 5)
 
 
 PASSAGES = f"""WITH {UNITS}, q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
