@@ -65,10 +65,11 @@ def _texts(spark: SparkSession, folder: str, paths: DataFrame) -> DataFrame:
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
+        local = base.startswith("file:")  # names may hold signs that a URI must not
+        files, root = (fs.LocalFileSystem(), "/" + base.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(base)
         for frame in frames:
             for path in frame["path"]:
-                files, at = fs.FileSystem.from_uri(f"{base}/{path}" if "://" in base else f"file://{base.removeprefix('file:')}/{path}")
-                with files.open_input_stream(at) as stream:
+                with files.open_input_stream(f"{root}/{path}") as stream:
                     text = stream.read().decode(errors="replace").replace("\r\n", "\n").replace("\r", "\n").removeprefix("\ufeff")
                 yield pd.DataFrame({"path": [path], "name": [path.rpartition("/")[2]], "text": [text]})
 

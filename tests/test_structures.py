@@ -251,10 +251,10 @@ def test_unchanged_files_are_not_opened(spark, tmp_path):
     os.utime(root / "a.md", ns=(stat.st_atime_ns, stat.st_mtime_ns))
     (root / "sub/b.md").write_bytes(b"changed")
     (root / "c.txt").unlink()
-    (root / "new.md").write_bytes(b"\xff new")
+    (root / "new one #1 %.md").write_bytes(b"\xff new")
     now = {r.path: (r.carried, r.content_hash) for r in readers.carried_listing(spark, str(root), before, [".md", ".txt"]).collect()}
-    assert now["a.md"] == (True, kept["a.md"]) and now["sub/b.md"][0] is False and now["sub/b.md"][1] != kept["sub/b.md"] and "c.txt" not in now and now["new.md"][0] is False
-    assert {(r.path, r.text) for r in readers.changed_files(spark, str(root), before).collect()} == {("sub/b.md", "changed"), ("new.md", "� new")}
+    assert now["a.md"] == (True, kept["a.md"]) and now["sub/b.md"][0] is False and now["sub/b.md"][1] != kept["sub/b.md"] and "c.txt" not in now and now["new one #1 %.md"][0] is False
+    assert {(r.path, r.text) for r in readers.changed_files(spark, str(root), before).collect()} == {("sub/b.md", "changed"), ("new one #1 %.md", "� new")}
 
 
 def test_metrics_divide_once_and_round_ties_up(spark):
