@@ -37,7 +37,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 WORDS, SPREAD = 25, 26
 BANDS = 2
-CHUNK = 512
+#: Members of a bucket that are compared at once; those compared pair by pair.
+CHUNK, FEW = 4096, 24
 #: Words beside an occurrence that it is grown over; bytes that are compared of a word's hash.
 SIDE, HELD = SPREAD - 1, 3
 SEEDS = [0x51ED27, 0xC0FFEE]
@@ -222,7 +223,49 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 
 def _forest(sigs: list[int], contents_: list[bytes], parts: list[int], cross: bool, similarity: float) -> list[tuple[int, int]]:
-    """Links of a spanning forest of all pairs of ``similarity``; ``cross``: only pairs of different parts."""
+    """Links of a spanning forest of all pairs of ``similarity``; ``cross``: only pairs of different parts.
+
+    Sets of a similarity share one of their rarest shingles, as many as they may differ in and one more: a node is compared
+    with those nodes alone that it meets there, and with none that a link has reached before.
+    """
+    if len(sigs) <= FEW:
+        return _forest_of_few(sigs, contents_, parts, cross, similarity)
+    values = np.frombuffer(b"".join(contents_), "<u4").reshape(len(sigs), -1)
+    distinct, codes = np.unique(values, return_inverse=True)
+    codes, none = np.sort(codes.reshape(values.shape), axis=1), len(distinct)
+    codes[:, 1:][codes[:, 1:] == codes[:, :-1]] = none  # repeats count once
+    often = np.bincount(codes.ravel(), minlength=none + 1)[:none]
+    rank = np.full(none + 1, none)
+    rank[np.argsort(often, kind="stable")] = np.arange(none)
+    codes = np.sort(rank[codes], axis=1)
+    sizes = (codes < none).sum(axis=1)
+    rarest = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    of = np.arange(codes.shape[1]) < rarest[:, None]
+    listed, member = codes[of], np.nonzero(of)[0]
+    order = np.argsort(listed, kind="stable")
+    listed, member = listed[order], member[order]
+    first, last = np.searchsorted(listed, codes), np.searchsorted(listed, codes, "right")
+    left = (of & (last - first > 1)).any(axis=1)
+    part, held, out = np.array(parts), np.zeros(none + 1, np.uint8), []
+    for start in np.flatnonzero(left).tolist():
+        reached, left[start] = [start] if left[start] else [], False
+        while reached:
+            x = reached.pop()
+            near = np.concatenate([member[i:j] for i, j in zip(first[x, : rarest[x]].tolist(), last[x, : rarest[x]].tolist())])
+            near = np.unique(near[left[near] & (part[near] != part[x])] if cross else near[left[near]])
+            if not len(near):
+                continue
+            held[codes[x, : sizes[x]]] = 1
+            both = held[codes[near]].sum(axis=1, dtype=np.int64)
+            held[codes[x, : sizes[x]]] = 0
+            hit = near[both >= similarity * (sizes[x] + sizes[near] - both)].tolist()
+            left[hit] = False
+            out += [(sigs[x], sigs[y]) for y in hit]
+            reached += hit
+    return out
+
+
+def _forest_of_few(sigs: list[int], contents_: list[bytes], parts: list[int], cross: bool, similarity: float) -> list[tuple[int, int]]:
     sets = [frozenset(np.frombuffer(c, "<u4").tolist()) for c in contents_]
     up = list(range(len(sigs)))
 
@@ -300,7 +343,7 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> Data
     those of fewer words than a shingle, have no paragraphs. Repeated rows are documents
     of their own. No rows: no rows. Other columns are not read.
     """
-    all_ = written(paragraphs(docs), "paragraphs")
+    all_ = written(paragraphs(docs).drop("doc_id", "word"), "paragraphs")
     bands = F.explode(F.array(*[f"h{b}" for b in range(BANDS)]))
     keyed = all_.select("row", "sig", bands.alias("h"))
     shared = keyed.groupBy("h").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low != high")
@@ -309,14 +352,14 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> Data
     several = met_at_all.groupBy("h").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low != high")
     met = written(met_at_all.join(several.select(dealt_anew("h").alias("h")), "h", "left_semi"), "paragraphs-several")
     wanted = written(met.select("sig").distinct(), "paragraphs-wanted")
-    held = contents(docs, wanted).select(dealt_anew("sig").alias("sig"), "content")
-    links = written(verified_links(met.join(held, "sig").select("h", "sig", "content"), similarity), "paragraph-links")
+    held = written(contents(docs, wanted), "paragraph-contents")  # written: a join may read a side once more for its filter, and this one reads the texts
+    links = written(verified_links(met.join(held.select(dealt_anew("sig").alias("sig"), "content"), "sig").select("h", "sig", "content"), similarity), "paragraph-links")
     roots = written(components(links), "paragraph-roots")
 
     rows = all_.groupBy("sig").agg(F.min("row").alias("low"), F.max("row").alias("high"))
     known = rows.join(roots.withColumnRenamed("node", "sig"), "sig", "left").where("low != high or root is not null")
     known = written(known.select("sig", F.coalesce("root", "sig").alias("class_id")), "paragraph-classes")
-    delete(all_, met, met_at_all, wanted, links, roots)
+    delete(all_, met, met_at_all, wanted, held, links, roots)
     found = written(occurrences(docs, known.select("sig")), "paragraphs-everywhere")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "word")
     own = found.groupBy("sig").agg(F.min(place).alias("own"), F.min("row").alias("low"), F.max("row").alias("high"))
