@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
 
@@ -49,31 +53,63 @@ def markdown_audit(docs: DataFrame) -> DataFrame:
     return out.withColumns({"density": density, "verdict": verdict})
 
 
-def unit_vectors(table: DataFrame, key: str, vector: str) -> DataFrame:
-    """``key, v``: vectors of doubles of length one."""
-    v = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return table.select(F.col(key).alias("key"), v.alias("v")).withColumn("n", norm).where("n > 0").select("key", F.transform("v", lambda x: x / F.col("n")).alias("v"))
+#: Vectors of a block at most, and of a block that is worth a task; products that are held at once.
+BLOCK, LEAST, CELLS = 32768, 512, 1 << 22
+
+
+def _close(x: np.ndarray, y: np.ndarray, least: float, within: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of ``x`` and ``y`` of a cosine of ``least`` and the cosines, some at a time; ``within``: ``y`` is ``x``, a pair comes once.
+
+    Products of single precision leave out what their error cannot explain; the rest is computed in double precision,
+    dimension by dimension.
+    """
+    norms = [sum((z[:, d] * z[:, d] for d in range(1, z.shape[1])), z[:, 0] * z[:, 0]) for z in (x, y)]
+    units = [(z / np.sqrt(n)[:, None]).astype(np.float32) for z, n in zip((x, y), norms)]
+    floor = np.float32(least - 1e-5 - 2e-7 * x.shape[1])
+    strip = max(1, CELLS // len(y))
+    for low in range(0, len(x), strip):
+        r, c = np.nonzero(units[0][low : low + strip] @ units[1].T >= floor)
+        r += low
+        if within:
+            r, c = r[r < c], c[r < c]
+        for some in range(0, len(r), 1 << 16):
+            i, j = r[some : some + (1 << 16)], c[some : some + (1 << 16)]
+            dot = x[i, 0] * y[j, 0]
+            for d in range(1, x.shape[1]):
+                dot += x[i, d] * y[j, d]
+            cosine = np.clip(dot / np.sqrt(norms[0][i] * norms[1][j]), -1, 1)
+            held = cosine >= least
+            yield i[held], j[held], cosine[held]
 
 
 def cosine_duplicates(table: DataFrame, key: str, vector: str, least: float = 0.97) -> DataFrame:
-    """``a, b, cosine``: pairs of at least this cosine.
+    """``a, b, cosine``: pairs of at least this cosine, ``a`` less than ``b``.
 
-    Unit vectors that close differ by at most ``sqrt(2 - 2 * least)`` in every direction, so
-    they are banded by their projection on the diagonal: a pair lies in one band or in two
-    neighbours. Pairs are verified exactly.
+    Vectors are dealt to blocks, and each two blocks are compared by matrix products in one task. Vectors that are
+    null or zero or hold a null or what is not finite take no part, nor do null keys; vectors of different sizes are not compared.
     """
-    units = unit_vectors(table, key, vector)
-    # the projection on the diagonal: its difference is bounded by the distance
-    length = F.sqrt(F.size("v").cast("double"))
-    projection = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / length
-    width = (2 - 2 * least) ** 0.5 + 1e-9
-    band = F.floor(projection / width).cast("long")
-    left = units.select("key", "v", band.alias("band"))
-    right = units.select(F.col("key").alias("b"), F.col("v").alias("w"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    pairs = left.join(right, "band").where(F.col("key") < F.col("b")).select(F.col("key").alias("a"), "b", dot.alias("cosine"))
-    return pairs.where(F.col("cosine") >= least)
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    number = lambda x: x.cast("double")
+    kind = "float" if table.schema[vector].dataType.elementType.simpleString() == "float" else "double"
+    held = table.select(F.col(key).alias("key"), F.col(vector).cast(f"array<{kind}>").alias("v")).where("key is not null and v is not null")
+    held = held.where(F.forall("v", lambda x: finite(number(x))) & F.exists("v", lambda x: number(x) * number(x) > 0)).withColumn("size", F.size("v"))
+    n = held.count()
+    blocks = max(1, min(6, n // LEAST), -(-n // BLOCK))
+    own, other = F.col("own"), F.col("other")
+    dealt = held.withColumn("own", F.pmod(F.xxhash64("key", "v"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("size", F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), "own", "key", "v").repartition(blocks * (blocks + 1), "size", "i", "j")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).combine_chunks()
+        own, i, j = (rows.column(c).to_numpy() for c in ("own", "i", "j"))
+        v = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), -1)
+        keys, first, second = rows.column("key").combine_chunks(), np.flatnonzero(own == i), np.flatnonzero(own == j)
+        for x, y, cosine in _close(v[first], v[second], least, i[0] == j[0]) if len(first) and len(second) else ():
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(first[x])), keys.take(pa.array(second[y])), pa.array(cosine)], names=["a", "b", "cosine"])
+
+    name = held.schema["key"].dataType.simpleString()
+    pairs = dealt.groupBy("size", "i", "j").applyInArrow(compare, f"a {name}, b {name}, cosine double")
+    return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine")
 
 
 def wasted_slots(ranked: DataFrame, duplicates: DataFrame) -> DataFrame:

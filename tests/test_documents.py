@@ -153,6 +153,25 @@ def test_cosine_duplicates_miss_none(spark):
     assert {(r.a, r.b) for r in statistics.cosine_duplicates(rows, "id", "e").collect()} == want
 
 
+def test_cosine_duplicates_of_many(spark):
+    """Blocks against all pairs, with vectors that take no part; 18 million pairs are no rows of a join."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(6000, 48)).astype("f4")
+    v[1::500] = v[::500] * 3
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    want = {(f"k{min(i, j):05}", f"k{max(i, j):05}") for i, j in zip(*np.nonzero(u @ u.T >= 0.6)) if i != j}
+    rows = [(f"k{i:05}", x.tolist()) for i, x in enumerate(v)]
+    odd = [("z1", None), ("z2", [0.0] * 48), ("z3", [None, *[1.0] * 47]), ("z4", [float("nan")] * 48), ("z5", [float("inf")] * 48), (None, rows[0][1]), ("z6", [1.0, 1.0]), ("z7", [2.0, 2.0]), ("z7", [2.0, 2.0]), ("z8", [])]
+    table = frame(spark, rows + odd, "id string, e array<float>")
+    began = time.perf_counter()
+    got = [(r.a, r.b) for r in statistics.cosine_duplicates(table, "id", "e", 0.6).collect()]
+    assert time.perf_counter() - began < 25
+    assert sorted(got) == sorted([*want, ("z6", "z7"), ("z6", "z7")])
+    assert statistics.cosine_duplicates(table.limit(0), "id", "e").count() == 0
+
+
 def test_rules(spark):
     files = frame(spark, [("QMR/a.pdf", "QMR", "a.pdf"), ("x/IR_2021.pdf", "x", "IR_2021.pdf"), ("x/y.pdf", "x", "y.pdf")], "path string, folder string, name string")
     types = frame(spark, [(1, "qmr", "folder", "qmr"), (2, "interim", "alias", "ir")], "ord int, key string, kind string, term string")
