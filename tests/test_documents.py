@@ -277,3 +277,34 @@ def test_sql_functions(spark):
     register_sql(spark)
     assert "**profit**" in spark.sql("SELECT foliant_snippet('the profit of the year', 'profit') AS p").first().p
     assert spark.sql("SELECT count(*) AS n FROM foliant_passages('# A\n\ntext')").first().n == 1
+
+
+def test_duplication_of_many(spark):
+    import numpy as np
+
+    v, label, table = many(spark)
+    like = (v @ v.T >= 0.6) & ~np.eye(len(v), dtype=bool)
+    across = like & (label[:, None] != label)
+    began = time.perf_counter()
+    found = statistics.duplication(statistics.cosine_duplicates(table, "id", "e", 0.6), table.select(F.col("id").alias("key"), F.col("label").alias("doc_id")))
+    got = {r.doc_id: (r.chunks, r.repeated, r.pairs, r.across) for r in found.collect()}
+    assert time.perf_counter() - began < 30
+    want = {}
+    for k in range(5):
+        own = label == k
+        each = int(across[own].sum())
+        want[k] = (int(own.sum()), int(like[own].any(axis=1).sum()), int((like[own] & own).sum()) // 2 + each, each)
+    assert got == want
+
+
+def many(spark):
+    """6000 unit vectors, their labels, and a table of them."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(6000, 48)).astype("f4")
+    v[1::400] = v[::400] * 2
+    label = rng.integers(0, 5, 6000)
+    table = frame(spark, [(i, int(label[i]), x.tolist()) for i, x in enumerate(v)], "id int, label int, e array<float>")
+    u = v.astype(float)
+    return u / np.linalg.norm(u, axis=1, keepdims=True), label, table
