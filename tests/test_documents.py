@@ -279,6 +279,18 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT count(*) AS n FROM foliant_passages('# A\n\ntext')").first().n == 1
 
 
+def test_wasted_slots_of_many(spark):
+    import numpy as np
+
+    v, label, table = many(spark)
+    like = v @ v.T >= 0.6
+    began = time.perf_counter()
+    ranked = table.select(F.col("label").alias("query_id"), F.col("id").alias("key"), F.col("id").alias("rank"))
+    got = {r.query_id: r.wasted for r in statistics.wasted_slots(ranked, statistics.cosine_duplicates(table, "id", "e", 0.6)).collect()}
+    assert time.perf_counter() - began < 30
+    assert got == {k: int((np.tril(like & (label[:, None] == label), -1).any(axis=1) & (label == k)).sum()) for k in range(5)}
+
+
 def test_duplication_of_many(spark):
     import numpy as np
 
