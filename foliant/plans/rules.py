@@ -224,8 +224,7 @@ def document_statistics(spark, sf_dir):
 t AS (SELECT la AS label, a AS key, a, b, la <> lb AS across FROM p UNION ALL SELECT lb, b, a, b, la <> lb FROM p), d AS (SELECT label, count(DISTINCT key) AS repeated FROM t GROUP BY label), n AS (SELECT label, count(*) AS pairs, sum(across::INT)::BIGINT AS across FROM (SELECT DISTINCT label, a, b, across FROM t) GROUP BY label)
 SELECT label AS doc_id, chunks, coalesce(repeated, 0) AS repeated, coalesce(pairs, 0) AS pairs, coalesce(across, 0)::BIGINT AS across FROM (SELECT label, count(*) AS chunks FROM embeddings GROUP BY label) LEFT JOIN d USING (label) LEFT JOIN n USING (label)""")
 def duplication_probe(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    return statistics.duplication(statistics.cosine_duplicates(e, "vec_id", "embedding", 0.45), e.select(F.col("vec_id").alias("key"), F.col("label").alias("doc_id")))
+    return statistics.vector_duplication(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", 0.45)
 
 
 @query("""SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id::VARCHAR || 'x' ELSE doc_id::VARCHAR END AS key, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS round, md5(coalesce(text, '')) AS digest FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id::VARCHAR, 1, md5(coalesce(text, '')) FROM documents WHERE doc_id % 3 <> 0""")
