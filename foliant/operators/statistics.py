@@ -180,6 +180,52 @@ def wasted_slots(ranked: DataFrame, duplicates: DataFrame) -> DataFrame:
     return ranked.select("query_id").distinct().join(hits.groupBy("query_id").agg(F.count("*").alias("wasted")), "query_id", "left").withColumn("wasted", F.coalesce("wasted", F.lit(0)))
 
 
+def vector_repeats(table: DataFrame, by: str, key: str, vector: str, least: float = 0.97) -> DataFrame:
+    """``query_id, wasted``: ``wasted_slots`` of the pairs of ``cosine_duplicates`` if each ``by`` ranks its rows by ``key``.
+
+    Only vectors of one ``by`` are compared, equal ones as the first of them, and one that repeats an earlier one is not
+    compared again in its task. If rows of a key have different vectors, all pairs are made, since any of them counts.
+    """
+    held = _vectors(table, vector, key=key, query_id=by)
+    _, repeated, differ = _repeated(held, "v")
+    if differ:
+        rank = F.row_number().over(Window.partitionBy(by).orderBy(key))
+        return wasted_slots(table.select(F.col(by).alias("query_id"), F.col(key).alias("key"), rank.alias("rank")), cosine_duplicates(table, key, vector, least))
+    held = held.where("query_id is not null")
+    rows, queries, most = held.groupBy("query_id").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*"), F.coalesce(F.max("count"), F.lit(0))).first()
+    blocks = max(1, min(3, most // (8 * LEAST)), -(-most // BLOCK))
+    tasks = max(-(-rows * blocks // BLOCK), min(queries * blocks * (blocks + 1), 200), 1)
+    counted = held.groupBy("size", "query_id", "key", "v").agg(F.count("*").alias("n")) if repeated else held.withColumn("n", F.lit(1).cast("long"))
+    alike = counted.groupBy("size", "query_id", "v").agg(F.min_by("n", "key").alias("n"), (F.sum("n") - F.min_by("n", "key")).alias("more"), F.min("key").alias("key"))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).combine_chunks()
+        v, first, second, within = _blocks(rows)
+        keys, n, more = rows.column("key").combine_chunks(), rows.column("n").to_numpy(), rows.column("more").to_numpy()
+        order = np.unique(keys.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        norms, all_ = _norms(v), np.arange(len(n))
+        units, both, found = _units(v, norms), (norms, norms), np.zeros(len(n), bool)
+        for earlier, later in [(first, second)] if within else [(first, second), (second, first)]:
+            earlier = earlier[np.argsort(order[earlier])]
+            for low in range(0, len(earlier), SIDE):
+                some = earlier[low : low + SIDE]
+                later = later[~found[later] & (order[later] > order[some[0]])]
+                for r, c, product in _near(units[some], units[later], least):
+                    r, c = some[r], later[c]
+                    before = order[r] < order[c]
+                    r, c = r[before], c[before]
+                    found[c[_reach(v, v, both, least, r, c, product[before])]] = True
+        more = more * (_cosines(v, v, both, all_, all_) >= least) * within
+        kept = np.flatnonzero(found | (more > 0))
+        yield pa.RecordBatch.from_arrays([*(rows.column(c).combine_chunks().take(pa.array(kept)) for c in ("query_id", "key")), pa.array((n * found)[kept]), pa.array(more[kept])], names=["query_id", "key", "n", "more"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in alike.schema}
+    dealt = _dealt(alike, blocks, ["size", "query_id"], tasks)
+    found = dealt.groupBy("size", "query_id", "i", "j").applyInArrow(find, f"query_id {kinds['query_id']}, key {kinds['key']}, n long, more long")
+    each = found.groupBy("query_id", "key").agg((F.max("n") + F.max("more")).alias("n")).groupBy("query_id").agg(F.sum("n").alias("wasted"))
+    return table.select(F.col(by).alias("query_id")).distinct().join(each, "query_id", "left").withColumn("wasted", F.coalesce("wasted", F.lit(0).cast("long")))
+
+
 def fingerprints(items: DataFrame, by: str, order: str, text: str) -> DataFrame:
     """``by, fingerprint``: 16 hex digits of the SHA-1 of the texts in order."""
     one = items.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("x"))
